@@ -7,16 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import decontamination, token_transducer
+from foliant.llm import decontamination, packing, token_transducer
 from foliant.llm.common import read_table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_transducer.count_tokens(read_table(spark, sf_dir, "documents"), BYTE_BPE, limit=512)
 
 
+def op6_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), WORD_BPE, capacity=2048)
+
+
 def op7_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_benchmark(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=10)
     return decontamination.contamination_report(found)
