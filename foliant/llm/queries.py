@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import decontamination, packing, token_transducer
+from foliant.llm import decontamination, packing, simhash, token_transducer
 from foliant.llm.common import read_table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +27,10 @@ def op7_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination_report(found)
 
 
+def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), size=4, budget=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every opN_ query by name."""
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
