@@ -60,5 +60,5 @@ def partitions_for(spark: SparkSession, df: DataFrame, bytes_each: int) -> int:
     The estimate follows the input files, so the count grows in step with the data.
     """
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return max(least, min(200_000, -(-size // bytes_each)))

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliant.llm import decontamination, packing, simhash, token_transducer
+from foliant.llm import decontamination, packing, simhash, substrings, token_transducer
 from foliant.llm.common import read_table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -18,6 +19,11 @@ def op1_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_transducer.count_tokens(read_table(spark, sf_dir, "documents"), BYTE_BPE, limit=512)
 
 
+def op10_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substrings.remove_repeats(read_table(spark, sf_dir, "documents"), window=13)
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), WORD_BPE, capacity=2048)
 
