@@ -163,7 +163,7 @@ def groups_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(new) - 1, np.flatnonzero(new)
 
 
-def deal_anchors(rows: DataFrame, buckets: int, block: int) -> DataFrame:
+def deal_anchors(rows: DataFrame, buckets: int, block: int, flush_words: int) -> DataFrame:
     """Step 1 in the tasks that read documents (_id, _text): anchor entries by bucket, and hits that the task knows already."""
 
     def flush(hashes: list, docs: list, places: list) -> Iterator[pa.RecordBatch]:
@@ -208,7 +208,7 @@ def deal_anchors(rows: DataFrame, buckets: int, block: int) -> DataFrame:
                 found = window_hashes(word_hashes(text, starts, ends, ahead, back), block)
                 hashes.append(found), docs.append(np.full(len(found), doc, np.int64)), places.append(np.arange(len(found), dtype=np.int64))
                 held += len(found)
-                if held >= FLUSH_WORDS:
+                if held >= flush_words:
                     yield from flush(hashes, docs, places)
                     hashes, docs, places, held = [], [], [], 0
         yield from flush(hashes, docs, places)
@@ -236,7 +236,7 @@ def anchor_hits(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return docs[order[hit]], places[order[hit]]
 
 
-def deal_windows(rows: DataFrame, buckets: int, window: int, block: int) -> DataFrame:
+def deal_windows(rows: DataFrame, buckets: int, window: int, block: int, flush_words: int) -> DataFrame:
     """Step 2 for documents (_id, _text, hits): windows that hold a hit, by bucket of their 128-bit hash."""
 
     def flush(highs: list, lows: list, docs: list, places: list) -> Iterator[pa.RecordBatch]:
@@ -281,7 +281,7 @@ def deal_windows(rows: DataFrame, buckets: int, window: int, block: int) -> Data
                     value = digest(joined[a:b])
                     highs.append(value >> 64), lows.append(value & 0xFFFFFFFFFFFFFFFF)
                 docs.append(np.full(len(starts), doc, np.int64)), places.append(starts)
-                if len(highs) >= FLUSH_WORDS // 2:
+                if len(highs) >= flush_words // 2:
                     yield from flush(highs, lows, docs, places)
                     highs, lows, docs, places = [], [], [], []
         yield from flush(highs, lows, docs, places)
@@ -307,18 +307,18 @@ def settled(dealt: DataFrame, partitions: int, settle) -> DataFrame:
     return found.groupBy(F.col("doc").alias("_id")).agg(F.collect_list("places").alias("hits"))
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", flush_words: int = FLUSH_WORDS) -> DataFrame:
     """All documents (_id, _text) with `hits`: packed places of windows that start in a document with a smaller id too; null if none."""
     spark, block = docs.sparkSession, (window + 1) // 2
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_bytes(text_col).alias("_text"))
     partitions = partitions_for(spark, docs, BUCKET_BYTES)
     placed = rows.repartition(partitions, "_id")
-    anchors = settled(deal_anchors(rows, partitions, block), partitions, anchor_hits)
-    windows = settled(deal_windows(placed.join(anchors, "_id"), partitions, window, block), partitions, later_windows)
+    anchors = settled(deal_anchors(rows, partitions, block, flush_words), partitions, anchor_hits)
+    windows = settled(deal_windows(placed.join(anchors, "_id"), partitions, window, block, flush_words), partitions, later_windows)
     return placed.join(windows, "_id", "left")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", flush_words: int = FLUSH_WORDS) -> DataFrame:
     """The id, n_words, n_removed, spans (disjoint word ranges that go, end excluded) and kept (the words left, joined by one space) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -339,5 +339,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()).cast(pa.string())], [id_col, "n_words", "n_removed", "spans", "kept"])
 
-    rows = repeated_windows(docs, window, id_col, text_col).select(F.col("_id").alias(id_col), "_text", "hits")
+    rows = repeated_windows(docs, window, id_col, text_col, flush_words).select(F.col("_id").alias(id_col), "_text", "hits")
     return map_arrow(rows, f"{id_col} long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string", run)

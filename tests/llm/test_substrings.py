@@ -17,7 +17,7 @@ def brute(rows, window=13):
     return out
 
 
-def test_removal_equals_brute_force(spark, monkeypatch):
+def test_removal_equals_brute_force(spark):
     rng = random.Random(10)
     vocabulary = [f"w{i}" for i in range(400)] + ["É", "A", "a.", "\x00", "\x85x"]
     sentence = lambda n: [rng.choice(vocabulary) for _ in range(n)]
@@ -27,10 +27,9 @@ def test_removal_equals_brute_force(spark, monkeypatch):
         parts = [sentence(rng.randint(0, 40)), rng.choice(passages), sentence(rng.randint(0, 20)), rng.choice(passages)[: rng.randint(0, 40)]]
         rows.append((i * 7 % 161 + 1000, rng.choice([" ", "\n", "\t "]).join(sum(parts, []))))
     rows += [(5000 + i, rows[9][1]) for i in range(20)]
-    docs = spark.createDataFrame([(*r, "clash", 3) for r in rows], "doc_id long, text string, hits string, n_words int").repartition(9)
+    docs = spark.createDataFrame([(*r, "clash", 3) for r in rows], "doc_id long, text string, hits string, n_words int").repartition(3)
     for held in (substrings.FLUSH_WORDS, 300):
-        monkeypatch.setattr(substrings, "FLUSH_WORDS", held)
-        got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeats(docs).collect()}
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeats(docs, flush_words=held).collect()}
         assert got == brute(rows)
     assert substrings.remove_repeats(docs.limit(0)).count() == 0
 
