@@ -265,6 +265,8 @@ def deal_windows(rows: DataFrame, buckets: int, window: int, block: int, flush_w
         digest = xxhash.xxh3_128_intdigest
         for batch in batches:
             for doc, text, hits in zip(column_values(batch, "_id"), column_values(batch, "_text"), column_values(batch, "hits")):
+                if not hits:
+                    continue
                 words = text.split()
                 last = len(words) - window
                 if last < 0:
@@ -314,7 +316,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     partitions = partitions_for(spark, docs, BUCKET_BYTES)
     placed = rows.repartition(partitions, "_id")
     anchors = settled(deal_anchors(rows, partitions, block, flush_words), partitions, anchor_hits)
-    windows = settled(deal_windows(placed.join(anchors, "_id"), partitions, window, block, flush_words), partitions, later_windows)
+    # Both joins are left joins so that one exchange of the documents serves both.
+    windows = settled(deal_windows(placed.join(anchors, "_id", "left"), partitions, window, block, flush_words), partitions, later_windows)
     return placed.join(windows, "_id", "left")
 
 
