@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -41,19 +42,28 @@ def slabs(texts: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def checkpoint(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder that the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: what `spark.checkpoint.dir` names.
 
-    Only where `spark.checkpoint.dir` is unset (a local test session) a folder of the
-    warehouse is used, which executors and driver share.
+    Only where that is unset (a local test session) a folder of the warehouse is taken.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
+
+
+def checkpoint(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def stage_folder(spark: SparkSession) -> str:
+    """A new folder for written stages in the shared folder."""
+    return f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}"
+
+
 def partitions_for(spark: SparkSession, df: DataFrame, bytes_each: int) -> int:
     """Partitions of about `bytes_each` bytes by the planner's size estimate of the scan, at least the shuffle setting.
 

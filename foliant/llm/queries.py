@@ -33,28 +33,28 @@ OP2_SQL = """
 WITH url_parts AS (
   SELECT page_id, url, coalesce(html, '') AS html, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme,
          lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS raw_host,
-         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) AS rest, 1704067200 + page_id * 60 AS at FROM pages
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) AS rest, 1704067200 + page_id * 60 AS sec FROM pages
 ), page AS (
   SELECT *, CASE WHEN scheme <> '' THEN scheme || '://' || CASE WHEN scheme = 'http' THEN regexp_replace(raw_host, ':80$', '')
             WHEN scheme = 'https' THEN regexp_replace(raw_host, ':443$', '') ELSE raw_host END || CASE WHEN starts_with(rest, '/') THEN rest ELSE '/' || rest END END AS canonical_url,
          CASE WHEN contains(url, '?') THEN NULL ELSE '"' || md5(html) || '"' END AS tag FROM url_parts
 ), revisits AS (
-  SELECT page_id * 3 AS record_id, canonical_url, at - 3600 AS captured, tag AS etag, 't' || at AS lm, 60 AS age FROM page
+  SELECT page_id * 3 AS record_id, canonical_url, sec - 3600 AS captured, tag AS etag, 't' || sec AS lm, 60 AS age FROM page
   UNION ALL
-  SELECT page_id * 3 + 2, canonical_url, at + 30 * 86400, CASE WHEN contains(url, '#') THEN '"other"' ELSE tag END, 't' || at, 180 FROM page
+  SELECT page_id * 3 + 2, canonical_url, sec + 30 * 86400, CASE WHEN contains(url, '#') THEN '"other"' ELSE tag END, 't' || sec, 180 FROM page
 ), based AS (
   SELECT r.record_id, r.captured, any_value(r.canonical_url) AS canonical_url, any_value(r.etag) AS etag, any_value(r.lm) AS lm, any_value(r.age) AS age, max(p.page_id) AS base
-  FROM revisits r LEFT JOIN page p ON p.canonical_url = r.canonical_url AND p.at < r.captured GROUP BY r.record_id, r.captured
+  FROM revisits r LEFT JOIN page p ON p.canonical_url = r.canonical_url AND p.sec < r.captured GROUP BY r.record_id, r.captured
 ), judged AS (
-  SELECT b.*, p.tag, p.at, p.html, CASE WHEN base IS NULL THEN 'orphan'
+  SELECT b.*, p.tag, p.sec, p.html, CASE WHEN base IS NULL THEN 'orphan'
       WHEN etag IS NOT NULL AND tag IS NOT NULL THEN CASE WHEN etag = tag THEN 'resolved' ELSE 'mismatch' END
-      WHEN lm = 't' || p.at THEN 'resolved' ELSE 'mismatch' END AS outcome
+      WHEN lm = 't' || p.sec THEN 'resolved' ELSE 'mismatch' END AS outcome
   FROM based b LEFT JOIN page p ON p.page_id = b.base
 )
 SELECT record_id, canonical_url, captured, base * 3 + 1 AS response_id, outcome, CASE WHEN base IS NOT NULL THEN md5(html) END AS payload_digest,
        CASE outcome WHEN 'orphan' THEN NULL
          WHEN 'resolved' THEN 'cache-control: max-age=' || age || '; content-length: ' || length(html) || '; content-type: text/html; date: t' || captured
-         ELSE 'cache-control: max-age=120; content-length: ' || length(html) || '; content-type: text/html; date: t' || at END AS headers
+         ELSE 'cache-control: max-age=120; content-length: ' || length(html) || '; content-type: text/html; date: t' || sec END AS headers
 FROM judged
 """
 

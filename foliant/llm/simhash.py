@@ -52,15 +52,30 @@ def shingle_hashes(text: bytes, size: int, seed: int) -> np.ndarray:
     return np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[size - 1 :].tolist())], np.uint64)
 
 
-def fingerprint(text: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
-    """A bit is 1 if it is set in over half of the shingle hashes."""
-    hashes, set_in = shingle_hashes(text, size, seed), np.zeros(BITS, np.int64)
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes."""
+    set_in = np.zeros(BITS, np.int64)
     for first in range(0, len(hashes), 65_536):
         part = hashes[first : first + 65_536]
         set_in += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * set_in > len(hashes), bitorder="little").tobytes(), "little") if len(hashes) else 0
 
 
+def fingerprint(text: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
+    """The fingerprint of a text's shingles."""
+    return fingerprint_of(shingle_hashes(text, size, seed))
+
+
+def remixed(hashes: np.ndarray, table: int) -> np.ndarray:
+    """Other hashes of the same shingles; table 0 has those of XXH64 themselves."""
+    if table == 0:
+        return hashes
+    x = hashes ^ np.uint64(0x9E3779B97F4A7C15 * (2 * table + 1) & (2**64 - 1))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def fingerprints(docs: DataFrame, size: int = SHINGLE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and the fingerprint (fp, a signed long of the same bits) of each document."""
 
@@ -97,12 +112,12 @@ class Trie:
         self.low, self.high, self.child, self.mask = map(np.concatenate, (low, high, children, masks))
 
 
-def linked(values: np.ndarray, roots: list[tuple[int, int]], budget: int, half_budget: int) -> np.ndarray:
-    """The component label (least position) of each value, by links between the two roots' values, or within the only root's."""
+def linked(values: np.ndarray, roots: list[tuple[int, int]], budget: int, half_budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """The component label (least position) of each value, by links between the two roots' values, or within the only root's; and links that span the components."""
     trie, label = Trie(values, roots), np.arange(len(values))
     change = np.arange(len(values))  # counts the label changes up to each position: equal at both ends of a node, its leaves are in one component
     low, high, child, mask = trie.low, trie.high, trie.child, trie.mask
-    half = np.uint64(32)
+    half, links = np.uint64(32), [np.empty((0, 2), np.int64)]
     stack = [np.array([[0, len(roots) - 1]], np.int64)]
     while stack:
         pairs = stack.pop()
@@ -123,7 +138,8 @@ def linked(values: np.ndarray, roots: list[tuple[int, int]], budget: int, half_b
             differ = values[i] ^ values[j]
             near = (np.bitwise_count(differ) <= budget) & (label[i] != label[j])
             if near.any():
-                label = united(label, i[near], j[near])
+                label, used = united(label, i[near], j[near])
+                links.append(used)
                 change = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
             u, v = u[~ends], v[~ends]
         if len(u):
@@ -138,23 +154,27 @@ def linked(values: np.ndarray, roots: list[tuple[int, int]], budget: int, half_b
                 parts.append(np.stack([child[u[~same & first]] + side, v[~same & first]], 1))
                 parts.append(np.stack([u[~same & ~first], child[v[~same & ~first]] + side], 1))
             stack.append(np.concatenate(parts))
-    return label
+    return label, np.concatenate(links)
 
 
-def united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Labels after the links between positions i and j."""
-    parent = np.arange(len(label))
+def united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Labels after the links between positions i and j, and those links that tied components together."""
+    parent, used = np.arange(len(label)), []
     a, b = label[i], label[j]
     while True:
         a, b = parent[a], parent[b]
         apart = a != b
         if not apart.any():
             break
-        a, b = a[apart], b[apart]
-        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        a, b, i, j = a[apart], b[apart], i[apart], j[apart]
+        high, low = np.maximum(a, b), np.minimum(a, b)
+        order = np.lexsort((low, high))
+        first = order[np.concatenate([[True], high[order][1:] != high[order][:-1]])]
+        parent[high[first]] = low[first]
+        used.append(np.stack([i[first], j[first]], 1))
         while not np.array_equal(parent, parent[parent]):
             parent = parent[parent]
-    return parent[label]
+    return parent[label], np.concatenate(used) if used else np.empty((0, 2), np.int64)
 
 
 def neighbour_masks(depth: int, errors: int) -> list[int]:
@@ -167,10 +187,10 @@ def swapped(fp: Column) -> Column:
     return F.shiftleft(fp, 32).bitwiseOR(F.shiftrightunsigned(fp, 32))
 
 
-def trie_links(distinct: DataFrame, budget: int = BUDGET, nodes_each: int = NODES_EACH) -> DataFrame:
-    """Links (a, b) that tie all distinct fingerprints (fp) of a component together, one at most for each fingerprint and task."""
+def trie_links(distinct: DataFrame, budget: int = BUDGET, nodes_each: int = NODES_EACH, least_depth: int = LEAST_DEPTH) -> DataFrame:
+    """Links (a, b) that tie all distinct fingerprints (fp) of a component together: pairs within the budget, fewer than the fingerprints of a task."""
     size = distinct.count()
-    depth = min(MOST_DEPTH, max(LEAST_DEPTH, math.ceil(math.log2(max(1, size / nodes_each)))))
+    depth = min(MOST_DEPTH, max(least_depth, math.ceil(math.log2(max(1, size / nodes_each)))))
 
     def dealt(turned: Column, errors: int, turn: int) -> DataFrame:
         prefix = F.shiftrightunsigned(turned, BITS - depth).cast("int")
@@ -192,9 +212,8 @@ def trie_links(distinct: DataFrame, budget: int = BUDGET, nodes_each: int = NODE
         a = b = np.empty(0, np.uint64)
         if p1 == p2 or 0 < cut < len(values):
             roots = [(0, cut)] if p1 == p2 else [(0, cut), (cut, len(values))]
-            label = linked(values, roots, budget, first_half if turn == 0 else rest)
-            moved = label != np.arange(len(values))
-            a, b = values[moved], values[label[moved]]
+            _, links = linked(values, roots, budget, first_half if turn == 0 else rest)
+            a, b = values[links[:, 0]], values[links[:, 1]]
             if turn:
                 a, b = ((x << np.uint64(32)) | (x >> np.uint64(32)) for x in (a, b))
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
@@ -212,3 +231,66 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, budget: int = BUDGET,
     heads = tied.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = tied.join(heads, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+TABLES, TABLES_BUDGET = 8, 7
+SIMILARITY = 0.8
+
+
+def similar_groups(docs: DataFrame, size: int = 5, similarity: float = SIMILARITY, tables: int = TABLES, budget: int = TABLES_BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The id and component_id (smallest id in reach) of each document, by links of shingle similarity (Jaccard) of at least `similarity`.
+
+    Texts with equal words are one class.  Each of `tables` independent fingerprints has its own
+    trie self-join with a wider error budget; the pairs that tie its components together are
+    candidates, and those whose shingle sets are similar enough are links.  A pair with similarity
+    s differs in each bit with probability acos(2s / (1 + s)) / pi, which gives the chance that
+    all tables miss it.
+    """
+    spark = docs.sparkSession
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            names, found = [], []
+            for text in column_values(batch, "_text"):
+                hashes = shingle_hashes(text, size, SEED)
+                names.append(xxhash.xxh3_128_digest(b" ".join(text.translate(LOWER).split())))
+                found.append([fingerprint_of(remixed(hashes, k)) for k in range(tables)] if len(hashes) else [0] * tables)
+            values = np.array(found, np.uint64).reshape(-1, tables).view(np.int64)
+            fps = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * tables, pa.int32()), pa.array(values.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), fps], ["id", "class", "fps"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("_text"))
+    marked = checkpoint(spark, map_arrow(rows, "id long, class binary, fps array<long>", mark))
+    classes = checkpoint(spark, marked.groupBy("class").agg(F.min("id").alias("head"), F.first("fps").alias("fps")))
+    pairs = None
+    for k in range(tables):
+        own = classes.select("head", F.col("fps")[k].alias("fp"))
+        heads = own.groupBy("fp").agg(F.min("head").alias("least"))
+        same = own.join(heads, "fp").where("head <> least").select(F.col("head").alias("a"), F.col("least").alias("b"))
+        near = trie_links(heads.select("fp"), budget, nodes_each=1 << 17, least_depth=3)
+        tied = near.join(heads.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        both = same.unionByName(tied)
+        pairs = both if pairs is None else pairs.unionByName(both)
+    pairs = checkpoint(spark, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            values = [np.unique(shingle_hashes(t, size, SEED) >> np.uint64(24)).astype(np.uint64).tobytes() for t in column_values(batch, "_text")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], ["id", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(column_values(batch, "x"), column_values(batch, "y")):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    shingles = map_arrow(rows.join(wanted, "id").dropDuplicates(["id"]), "id long, shingles binary", sets)
+    left = pairs.join(shingles.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    matched = left.join(shingles.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    roots = least_members(map_arrow(matched, "a long, b long", compare))
+    component = classes.join(roots.withColumnRenamed("node", "head"), "head", "left").select("class", F.coalesce("root", "head").alias("component_id"))
+    return marked.join(component, "class").select(F.col("id").alias(id_col), "component_id")

@@ -321,8 +321,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     return placed.join(windows, "_id", "left")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", flush_words: int = FLUSH_WORDS) -> DataFrame:
-    """The id, n_words, n_removed, spans (disjoint word ranges that go, end excluded) and kept (the words left, joined by one space) of each document."""
+def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", flush_words: int = FLUSH_WORDS, keep_unchanged: bool = False) -> DataFrame:
+    """The id, n_words, n_removed, spans (disjoint word ranges that go, end excluded) and kept (the words left, joined by one space; null where none go, if `keep_unchanged`) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
@@ -338,7 +338,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                 spans.append([{"start": a, "end": b} for a, b in ranges])
                 for a, b in reversed(ranges):
                     del words[a:b]
-                kept.append(b" ".join(words))
+                kept.append(None if keep_unchanged and not ranges else b" ".join(words))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()).cast(pa.string())], [id_col, "n_words", "n_removed", "spans", "kept"])
 

@@ -58,7 +58,7 @@ def test_trie_join_loses_no_link_and_adds_none():
         for _ in range(3):
             values = values ^ (np.uint64(1) << rng.integers(0, 64, len(values)).astype(np.uint64))
         values = np.unique(values)
-        label = simhash.linked(values, [(0, len(values))], 4, 4)
+        label, _ = simhash.linked(values, [(0, len(values))], 4, 4)
         want = brute_components({int(v): int(v) for v in values})
         assert [int(values[k]) for k in label] == [want[int(v)] for v in values]
 
@@ -68,3 +68,15 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in components.least_members(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(1, 61)) and all(got[1000 + i] == 1000 for i in range(1, 200)) and got[2000] == 1000
     assert components.least_members(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_similar_groups_are_verified(spark):
+    rng = random.Random(6)
+    base = [f"t{rng.randrange(500)}" for _ in range(200)]
+    edited = list(base)
+    edited[100] = "other"
+    half = base[:100] + [f"u{i}" for i in range(100)]
+    texts = [" ".join(base), " ".join(half), "\n".join(edited), " ".join(base).upper(), None, "", " ".join(f"z{i}" for i in range(90))]
+    docs = spark.createDataFrame([(i + 10, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs, tables=4).collect()}
+    assert got == {10: 10, 11: 11, 12: 10, 13: 10, 14: 14, 15: 14, 16: 16}
