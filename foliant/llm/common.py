@@ -67,8 +67,9 @@ def stage_folder(spark: SparkSession) -> str:
 def partitions_for(spark: SparkSession, df: DataFrame, bytes_each: int) -> int:
     """Partitions of about `bytes_each` bytes by the planner's size estimate of the scan, at least the shuffle setting.
 
-    The estimate follows the input files, so the count grows in step with the data.
+    The estimate follows the input files, so the count grows in step with the data; without files
+    (the planner then assumes an unbounded size) the setting alone counts.
     """
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(least, min(200_000, -(-size // bytes_each)))
+    return least if size > 1 << 52 else max(least, min(200_000, -(-size // bytes_each)))

@@ -8,7 +8,7 @@ other texts' windows, and the words of windows that an earlier document has beco
 1. *Anchors.*  Hashes of all 7-word windows are dealt into buckets by their leading bits, as packed
    arrays of 4-byte remainders and places.  A bucket tells which places have a hash that two
    documents share, one of them at a reference block.
-2. *Extension.*  Windows of 13 words that hold a hit are dealt by a 128-bit hash of their words.
+2. *Extension.*  Windows of 13 words that hold a hit are dealt by a 96-bit hash of their words.
    A bucket tells which of them a smaller document id has too.
 3. *Spans.*  Those places go back to their documents, as disjoint ranges of words.
 
@@ -121,38 +121,42 @@ def by_document(docs: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, byt
         yield int(docs[a]), np.diff(places[a:b], prepend=0).astype(np.int32).tobytes()
 
 
-def places_of(values: Iterable[bytes]) -> np.ndarray:
-    """All places in several values of `by_document`, in order and once each."""
-    parts = [np.cumsum(np.frombuffer(v, np.int32), dtype=np.int64) for v in values]
-    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int64)
+def places_of(value: bytes) -> np.ndarray:
+    """The places in a value of `by_document`, once each."""
+    return np.unique(np.cumsum(np.frombuffer(value, np.int32), dtype=np.int64))
 
 
-DEALT = "bucket int, packed binary, doc long, places binary"
+DEALT = "bucket int, entries binary, places binary"
+
+
+def by_bucket(docs: np.ndarray, places: np.ndarray, count: int) -> Iterator[tuple[int, bytes]]:
+    """Places packed by their document's bucket: few rows, whatever the number of documents."""
+    if not len(docs):
+        return
+    bucket = np.mod(docs, count)
+    order = np.lexsort((places, docs, bucket))
+    docs, places, bucket = docs[order], places[order], bucket[order]
+    _, first = groups_of(bucket)
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(docs)]):
+        yield int(bucket[a]), pack_places(docs[a:b], places[a:b])
 
 
 class Dealer:
-    """Gathers entries of a task and gives them out by bucket; places that need no bucket's word go along in one that follows the document."""
+    """Gathers a task's rows: entries for a hash's bucket, and places that need no bucket's word for their document's bucket."""
 
     def __init__(self, count: int) -> None:
-        self.count = count
-        self.buckets: list[int] = []
-        self.packed: list[bytes | None] = []
-        self.docs: list[int | None] = []
-        self.places: list[bytes | None] = []
+        self.count, self.rows = count, []
 
     def entries(self, bucket: int, packed: bytes) -> None:
-        self.buckets.append(bucket), self.packed.append(packed), self.docs.append(None), self.places.append(None)
+        self.rows.append((bucket, packed, None))
 
     def results(self, docs: np.ndarray, places: np.ndarray) -> None:
-        for doc, value in by_document(docs, places):
-            self.buckets.append(doc % self.count), self.packed.append(None), self.docs.append(doc), self.places.append(value)
+        self.rows += [(bucket, None, packed) for bucket, packed in by_bucket(docs, places, self.count)]
 
     def batches(self) -> Iterator[pa.RecordBatch]:
-        step = 512
-        for a in range(0, len(self.docs), step):
-            columns = [pa.array(self.buckets[a : a + step], pa.int32()), pa.array(self.packed[a : a + step], pa.binary()), pa.array(self.docs[a : a + step], pa.int64()), pa.array(self.places[a : a + step], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["bucket", "packed", "doc", "places"])
-        self.__init__(self.count)
+        for a in range(0, len(self.rows), 256):
+            columns = zip(*self.rows[a : a + 256])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "entries", "places"])
 
 
 def groups_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,12 +220,19 @@ def deal_anchors(rows: DataFrame, buckets: int, block: int, flush_words: int) ->
     return map_arrow(rows, DEALT, run)
 
 
-def with_known(group: pa.Table, settle) -> pa.Table:
-    """What a bucket finds from its entries, and the places that came along."""
-    known = group.filter(group.column("packed").is_null()).select(["doc", "places"])
-    entries = group.column("packed").drop_null().to_pylist()
-    found = list(by_document(*settle(entries))) if entries else []
-    return pa.concat_tables([known, pa.table({"doc": pa.array([f[0] for f in found], pa.int64()), "places": pa.array([f[1] for f in found], pa.binary())})])
+def with_known(group: pa.Table, count: int, settle) -> pa.Table:
+    """What a bucket finds from its entries, by document bucket, and the places that came along."""
+    known = group.select(["bucket", "places"]).filter(group.column("places").is_valid())
+    entries = group.column("entries").drop_null().to_pylist()
+    found = list(by_bucket(*settle(entries), count)) if entries else []
+    return pa.concat_tables([known, pa.table({"bucket": pa.array([f[0] for f in found], pa.int32()), "places": pa.array([f[1] for f in found], pa.binary())})])
+
+
+def gathered(group: pa.Table) -> pa.Table:
+    """A row for each document of a bucket, with its places."""
+    parts = [unpack_places(v) for v in group.column("places").to_pylist()]
+    found = list(by_document(*(np.concatenate(x) for x in zip(*parts))))
+    return pa.table({"_id": pa.array([f[0] for f in found], pa.int64()), "hits": pa.array([f[1] for f in found], pa.binary())})
 
 
 def anchor_hits(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -237,12 +248,12 @@ def anchor_hits(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def deal_windows(rows: DataFrame, buckets: int, window: int, block: int, flush_words: int) -> DataFrame:
-    """Step 2 for documents (_id, _text, hits): windows that hold a hit, by bucket of their 128-bit hash."""
+    """Step 2 for documents (_id, _text, hits): windows that hold a hit, by bucket of their 96-bit hash."""
 
     def flush(highs: list, lows: list, docs: list, places: list) -> Iterator[pa.RecordBatch]:
         if not highs:
             return
-        high, low, d, p = np.array(highs, np.uint64), np.array(lows, np.uint64), np.concatenate(docs), np.concatenate(places)
+        high, low, d, p = np.array(highs, np.uint64), np.array(lows, np.uint32), np.concatenate(docs), np.concatenate(places)
         order = np.lexsort((d, low, high))
         new = np.ones(len(order), bool)
         new[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
@@ -281,7 +292,7 @@ def deal_windows(rows: DataFrame, buckets: int, window: int, block: int, flush_w
                 begins = np.concatenate([[0], ends[:-1] + 1])
                 for a, b in zip(begins[starts].tolist(), ends[starts + window - 1].tolist()):
                     value = digest(joined[a:b])
-                    highs.append(value >> 64), lows.append(value & 0xFFFFFFFFFFFFFFFF)
+                    highs.append(value >> 64), lows.append(value & 0xFFFFFFFF)
                 docs.append(np.full(len(starts), doc, np.int64)), places.append(starts)
                 if len(highs) >= flush_words // 2:
                     yield from flush(highs, lows, docs, places)
@@ -293,7 +304,7 @@ def deal_windows(rows: DataFrame, buckets: int, window: int, block: int, flush_w
 
 def later_windows(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Step 2 in a bucket: places of windows that a document with a smaller id has too."""
-    parts = [unpack_places(v, np.uint64, np.uint64) for v in entries]
+    parts = [unpack_places(v, np.uint64, np.uint32) for v in entries]
     docs, places, high, low = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((docs, low, high))
     new = np.ones(len(order), bool)
@@ -303,10 +314,10 @@ def later_windows(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return docs[later], places[later]
 
 
-def settled(dealt: DataFrame, partitions: int, settle) -> DataFrame:
-    """A row for each document with places: what tasks knew and what buckets found."""
-    found = dealt.repartition(partitions, "bucket").groupBy("bucket").applyInArrow(lambda group: with_known(group, settle), "doc long, places binary")
-    return found.groupBy(F.col("doc").alias("_id")).agg(F.collect_list("places").alias("hits"))
+def settled(dealt: DataFrame, count: int, settle) -> DataFrame:
+    """A row for each document with places (_id, hits): what tasks knew and what buckets found."""
+    found = dealt.repartition(count, "bucket").groupBy("bucket").applyInArrow(lambda group: with_known(group, count, settle), "bucket int, places binary")
+    return found.repartition(count, "bucket").groupBy("bucket").applyInArrow(gathered, "_id long, hits binary")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", flush_words: int = FLUSH_WORDS) -> DataFrame:
