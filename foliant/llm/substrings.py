@@ -17,8 +17,8 @@ places are hits at once (1) or, unless they are the least document's, removed at
 passage that a third of all documents hold sends one entry a task, and no bucket gathers it.
 
 Cases: a null text has no words; a text of fewer than 13 words loses none; rows that repeat an id
-are one document with that id, and neither removes the other's words; a text of any length is used
-in whole.
+are one document with that id, and neither removes the other's words (if their texts differ, each
+loses the places found for either, as far as it has them); a text of any length is used in whole.
 """
 
 from __future__ import annotations
@@ -284,6 +284,7 @@ def deal_windows(rows: DataFrame, buckets: int, window: int, block: int, flush_w
                     continue
                 wanted = np.zeros(len(words) + 1, np.int64)
                 at = places_of(hits)
+                at = at[at <= len(words) - block]
                 np.add.at(wanted, np.maximum(at - (window - block), 0), 1)
                 np.add.at(wanted, np.minimum(at, last) + 1, -1)
                 starts = np.flatnonzero(np.cumsum(wanted)[: last + 1] > 0)
@@ -343,8 +344,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                 ranges = []
                 if hits:
                     at = places_of(hits)
+                    at = at[at <= len(words) - window]
                     cuts = np.flatnonzero(np.diff(at) > window) + 1
-                    ranges = [(int(at[a]), int(at[b - 1]) + window) for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)])]
+                    ranges = [(int(at[a]), int(at[b - 1]) + window) for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)]) if b > a]
                 counts.append(len(words)), removed.append(sum(b - a for a, b in ranges))
                 spans.append([{"start": a, "end": b} for a, b in ranges])
                 for a, b in reversed(ranges):

@@ -25,7 +25,7 @@ def test_removal_equals_brute_force(spark):
     rows = [(0, None), (1, ""), (2, "  "), (3, "a b")]
     for i in range(4, 160):
         parts = [sentence(rng.randint(0, 40)), rng.choice(passages), sentence(rng.randint(0, 20)), rng.choice(passages)[: rng.randint(0, 40)]]
-        rows.append((i * 7 % 161 + 1000, rng.choice([" ", "\n", "\t "]).join(sum(parts, []))))
+        rows.append((i * 7 % 163 + 1000, rng.choice([" ", "\n", "\t "]).join(sum(parts, []))))
     rows += [(5000 + i, rows[9][1]) for i in range(20)]
     docs = spark.createDataFrame([(*r, "clash", 3) for r in rows], "doc_id long, text string, hits string, n_words int").repartition(3)
     for held in (substrings.FLUSH_WORDS, 300):
@@ -36,5 +36,5 @@ def test_removal_equals_brute_force(spark):
 
 def test_rows_of_one_id_are_one_document(spark):
     text = " ".join(f"v{i}" for i in range(40))
-    docs = spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id long, text string")
-    assert sorted((r.doc_id, r.n_removed) for r in substrings.remove_repeats(docs).collect()) == [(1, 0), (1, 0), (2, 40)]
+    docs = spark.createDataFrame([(1, text), (1, text), (2, text), (3, "a b"), (3, text[:60])], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in substrings.remove_repeats(docs).collect()) == [(1, 0), (1, 0), (2, 40), (3, 0), (3, 17)]
