@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from foliant import registry
+from foliant.operators import classify, diffs, graph, inventory, overlap, screening, windows  # noqa: F401
+from foliant.sources import corpus  # noqa: F401
+from foliant.streaming import changes  # noqa: F401
+from foliant.plans import reports  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    return {name: f for module in MODULES for name, f in module.QUERIES.items()}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
-    return {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
+    return dict(registry.ORACLES)

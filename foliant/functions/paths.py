@@ -1,0 +1,71 @@
+"""Column functions over paths that are relative to a workspace."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Folders that hold no content.
+EXCLUDED = ["_mirrors", "_templates", "_tmp", "tools", "node_modules"]
+OFFICE_SUFFIXES = [".docx", ".pptx", ".xlsx", ".doc"]
+SENSITIVE_PARTS = ["secret", "credential", "password", "token", "private", "confidential", "payroll", "passport", "sin", "ssn", "tax-return", "bank-statement"]
+LARGE_BYTES = 25_000_000
+
+
+def parts(path: Column) -> Column:
+    return F.filter(F.split(path, "/"), lambda p: p != "")
+
+
+def suffix(path: Column) -> Column:
+    """Lower-case suffix of the last part, with its dot; empty if there is none."""
+    return F.lower(F.regexp_extract(path, r"[^/](\.[^./]*)$", 1))
+
+
+def under(path: Column, folder: Column) -> Column:
+    """Whether a path is a folder or below it, by whole parts."""
+    return (path == folder) | path.startswith(F.concat(folder, F.lit("/")))
+
+
+def excluded(path: Column, dot_parts: bool = True, mirror_root: str = "_mirrors") -> Column:
+    """Hidden, reserved, archived or generated places; readers differ in whether dot parts count."""
+    names = [*EXCLUDED, mirror_root]
+    bad = F.exists(parts(path), lambda p: p.isin(names) | p.rlike("^_(archive|backup|deprecated)"))
+    return bad | F.exists(parts(path), lambda p: p.startswith(".")) if dot_parts else bad
+
+
+def normalized(path: Column) -> Column:
+    """Forward slashes, no blanks at the ends; null if empty, absolute, with `.` or `..` parts, or in the state folder."""
+    clean = F.trim(F.translate(path, "\\", "/"))
+    bad = (clean == "") | clean.startswith("/") | clean.rlike("^[A-Za-z]:") | F.exists(F.split(clean, "/"), lambda p: p.isin("", ".", "..")) | F.split(clean, "/")[0].startswith(".state")
+    return F.when(~bad, clean)
+
+
+def ignored_reason(path: Column, mirror_root: str = "_mirrors", repo_notes: str = "repos") -> Column:
+    """The first reason for which a change is not looked at; null if there is none."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return (
+        F.when(normalized(path).isNull(), "unsafe-path")
+        .when(under(path, F.lit(mirror_root)), "office-mirror")
+        .when(under(path, F.lit(repo_notes)), "repo-mirror")
+        .when(F.split(path, "/")[0].isin("_meta", "_templates", "tools", ".git"), "operational")
+        .when(name.startswith("~$") | name.endswith(".tmp") | name.startswith(".~"), "temporary")
+    )
+
+
+def risk_warnings(path: Column, size: Column) -> Column:
+    """Warnings for a sensitive name (the first only), a format that converts badly, and a large file."""
+    low = F.lower(path)
+    named = F.coalesce(*[F.when(low.contains(p), F.lit(f"sensitive-name:{p}")) for p in SENSITIVE_PARTS])
+    kind = F.when(suffix(path).isin(".xlsx", ".pptx", ".pdf", ".doc"), F.concat(F.lit("format:"), suffix(path)))
+    return F.filter(F.array(named, kind, F.when(size > LARGE_BYTES, F.lit("large-file"))), lambda w: w.isNotNull())
+
+
+def domain_of(path: Column) -> Column:
+    """The first part without a number prefix."""
+    return F.regexp_replace(F.split(path, "/")[0], r"^\d{2}_", "")
+
+
+def mirror_path(path: Column, root: str = "_mirrors", dedicated: bool = True) -> Column:
+    """Where the mirror of a source lies: under the root, or next to it."""
+    note = F.concat(F.regexp_replace(path, r"\.[^./]*$", ""), F.lit(".md"))
+    return F.concat(F.lit(root + "/"), note) if dedicated else note
