@@ -11,7 +11,7 @@ counted before they are collected; every block meets all documents in the same p
 
 Cases: a null or empty text or item has no words, and an item without words matches nothing; an
 item with fewer words than a window is one window; repeated items and rows count each for
-themselves; a text of any length is scanned in whole; columns besides id and text are ignored.
+themselves; an item without an id has the empty one; a text of any length is scanned in whole; columns besides id and text are ignored.
 """
 
 from __future__ import annotations
@@ -113,7 +113,7 @@ def union_of(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def benchmark_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
     """The items in blocks of at most `block_bytes` bytes of text, or of one item."""
-    rows = items.select(F.col(id_col).cast("string").alias("_id"), text_bytes(text_col).alias("_text")).where(F.length("_text") > 0)
+    rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"), text_bytes(text_col).alias("_text")).where(F.length("_text") > 0)
     block, size = [], 0
     for row in rows.toLocalIterator():
         if block and size + len(row["_text"]) > block_bytes:

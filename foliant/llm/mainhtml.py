@@ -37,6 +37,7 @@ WORD = re.compile(r"[a-z]+")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe template xmp noembed noframes".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+SILENT = set("script style template noscript iframe".split())  # hidden, but no end of a block
 NEVER = set("head nav footer aside form button select option svg canvas audio video object menu dialog fieldset math map".split()) | RAW
 SECTIONS = set("article main section div body td html".split())
 ENDS = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
@@ -92,7 +93,7 @@ class Page:
         if name == "br":
             self.characters(" ")
             return
-        if name not in INLINE:
+        if name not in INLINE and name not in SILENT:
             self.flush()
             if name not in VOID:
                 self.close_implied("p", {"button", "table", "td", "th", "caption"})
@@ -110,7 +111,8 @@ class Page:
         self.path.append(f"{self.path[self.open[-1]]}/{name}" + ("." + ".".join(found["class"].split()) if found.get("class") else ""))
         self.open.append(element)
         if not self.hidden and self.is_noise(name, found, labels):
-            self.flush()
+            if name not in SILENT:
+                self.flush()
             self.hidden = len(self.open)
 
     def is_noise(self, name: str, found: dict, labels: str) -> bool:
@@ -129,7 +131,7 @@ class Page:
                 return
 
     def close(self, name: str) -> None:
-        if name not in INLINE:
+        if name not in INLINE and name not in SILENT:
             self.flush()
         for k in range(len(self.open) - 1, 0, -1):
             if self.name[self.open[k]] == name:
@@ -138,7 +140,7 @@ class Page:
 
     def cut(self, depth: int) -> None:
         """Close all open elements from a depth on."""
-        if any(self.name[e] not in INLINE for e in self.open[depth:]):
+        if any(self.name[e] not in INLINE and self.name[e] not in SILENT for e in self.open[depth:]):
             self.flush()
         del self.open[depth:]
         if self.hidden > len(self.open):

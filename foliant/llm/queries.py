@@ -64,7 +64,7 @@ def op3_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordinal.grade_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), sample=20_000)
+    return ordinal.grade_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), sample=12_000)
 
 
 def op4_baseline_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:

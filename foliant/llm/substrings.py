@@ -18,7 +18,8 @@ passage that a third of all documents hold sends one entry a task, and no bucket
 
 Cases: a null text has no words; a text of fewer than 13 words loses none; rows that repeat an id
 are one document with that id, and neither removes the other's words (if their texts differ, each
-loses the places found for either, as far as it has them); a text of any length is used in whole.
+loses the places found for either, as far as it has them); a row without an id keeps its words and
+removes none; a text of any length is used in whole.
 """
 
 from __future__ import annotations
@@ -205,7 +206,7 @@ def deal_anchors(rows: DataFrame, buckets: int, block: int, flush_words: int) ->
         for batch in batches:
             for doc, text in zip(column_values(batch, "_id"), column_values(batch, "_text")):
                 starts, ends = word_places(text)
-                if len(starts) < 2 * block - 1:
+                if doc is None or len(starts) < 2 * block - 1:
                     continue
                 if len(text) >= len(ahead):
                     ahead, back = powers(STEP, 2 * len(text)), powers(STEP_BACK, 2 * len(text))

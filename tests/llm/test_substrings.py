@@ -36,5 +36,5 @@ def test_removal_equals_brute_force(spark):
 
 def test_rows_of_one_id_are_one_document(spark):
     text = " ".join(f"v{i}" for i in range(40))
-    docs = spark.createDataFrame([(1, text), (1, text), (2, text), (3, "a b"), (3, text[:60])], "doc_id long, text string")
-    assert sorted((r.doc_id, r.n_removed) for r in substrings.remove_repeats(docs).collect()) == [(1, 0), (1, 0), (2, 40), (3, 0), (3, 17)]
+    docs = spark.createDataFrame([(1, text), (1, text), (2, text), (3, "a b"), (3, text[:60]), (None, text)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_removed) for r in substrings.remove_repeats(docs).collect()) == [(0, 0), (1, 0), (1, 0), (2, 40), (3, 0), (3, 17)]

@@ -75,4 +75,6 @@ def test_wu_manber_equals_brute_force(spark):
         assert len(got) == len(texts)
         for i, text in enumerate(texts):
             assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].contaminated) == brute(text, items), text
+    nameless = decontamination.find_benchmark(docs, spark.createDataFrame([(None, "a b"), (3, "b a")], "item_id long, text string")).collect()
+    assert any(r["items"] == [""] or r["items"] == ["", "3"] for r in nameless)
     assert not decontamination.contamination_report(decontamination.find_benchmark(docs, bench.limit(0))).where("contaminated").count()
