@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next stage's docs.  All stages but the last return the columns of `documents`.
 Null texts stay null unless a stage drops the row; empty tables give empty results; columns besides
-those of `documents` pass through the filters; a row without an id leaves at the first stage, as no
-decision can name it.
+those of `documents` pass through; a row without an id leaves at the second stage, as no decision about
+groups can name it.
 """
 
 from __future__ import annotations
@@ -19,9 +19,7 @@ from foliant.llm.common import read_table, stage_folder
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal grades keep."""
-    graded = ordinal.grade_documents(docs, read_table(spark, sf_dir, "labels"))
-    kept = graded.where("keep").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return ordinal.good(docs, read_table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +39,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
-    found = decontamination.find_benchmark(docs, read_table(spark, sf_dir, "benchmark"), window=10)
-    clean = found.where(F.size("hit_spans") == 0).select("doc_id").distinct()
-    return docs.join(clean, "doc_id", "left_semi")
+    return decontamination.without_benchmark(docs, read_table(spark, sf_dir, "benchmark"), window=10)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

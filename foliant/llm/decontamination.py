@@ -23,6 +23,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliant.llm.common import column_values, map_arrow, text_bytes
 
@@ -128,9 +129,9 @@ def benchmark_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes:
 _MATCHERS: dict[int, Matcher] = {}
 
 
-def find_benchmark(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The id, n_words, hit_spans (disjoint word ranges, end excluded) and items (ids, sorted as strings) of each document."""
-    context = docs.sparkSession.sparkContext
+def find_benchmark(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The id, the columns of `carry`, n_words, hit_spans (disjoint word ranges, end excluded) and items (ids, sorted as strings) of each document."""
+    context, carried = docs.sparkSession.sparkContext, carry or []
     blocks = [context.broadcast(b) for b in benchmark_blocks(items, item_col, item_text_col, block_bytes)]
 
     def matcher(k: int) -> Matcher:
@@ -160,16 +161,25 @@ def find_benchmark(docs: DataFrame, items: DataFrame, window: int = WINDOW, bloc
             spans = [union_of(found.get(i, none)[0]) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    *[batch.column(batch.schema.get_field_index(c)) for c in [id_col, *carried]],
                     pa.array(counts, pa.int64()),
                     pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                     pa.array([sorted(found.get(i, none)[1]) for i in range(batch.num_rows)], pa.list_(pa.string())),
                 ],
-                [id_col, "n_words", "hit_spans", "items"],
+                [id_col, *carried, "n_words", "hit_spans", "items"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), text_bytes(text_col).alias("_text"))
-    return map_arrow(rows, f"{id_col} long, n_words long, hit_spans array<struct<start:long,end:long>>, items array<string>", run)
+    rows = docs.select(F.col(id_col).cast("long").alias(id_col), *carried, text_bytes(text_col).alias("_text"))
+    spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    added = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", spans), T.StructField("items", T.ArrayType(T.StringType()))]
+    return map_arrow(rows, T.StructType([*rows.schema.fields[:-1], *added]), run)
+
+
+def without_benchmark(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text", **options) -> DataFrame:
+    """The documents without any occurrence of a benchmark window; all columns, no shuffle."""
+    carried = docs.select(F.monotonically_increasing_id().alias("__row"), text_bytes(text_col).alias("__text"), F.struct(*[docs[c] for c in docs.columns]).alias("__all"))
+    found = find_benchmark(carried, items, window, id_col="__row", text_col="__text", carry=["__all"], **options)
+    return found.where(F.size("hit_spans") == 0).select("__all.*")
 
 
 def contamination_report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -8,16 +8,16 @@ import corpus_pipeline
 def test_stages_take_effect(spark, tmp_path):
     assert ROOT
     rng = random.Random(3)
-    words = [f"w{i}" for i in range(900)]
+    words = [f"w{i}" for i in range(90)]
     text = lambda n: " ".join(rng.choice(words) for _ in range(n))
     base, passage, item = text(150), text(60), text(25)
     near = base.split()
     near[70] = "changed"
-    texts = {0: base, 1: base.upper(), 2: " ".join(near), 3: text(80) + " " + passage, 4: passage + " " + text(90), 5: text(40) + " " + item, 6: "vile " + text(50), 7: text(3000)}
+    texts = {0: base, 1: base.upper(), 2: " ".join(near), 3: text(80) + " " + passage, 4: passage + " " + text(90), 5: text(40) + " " + item, 6: "vile foul rotten " + text(50), 7: text(3000)}
     for i in range(10, 400):
-        texts[i] = ("vile " if i % 5 == 0 else "") + text(60)
+        texts[i] = ("vile foul rotten " if i % 5 == 0 else "") + text(60)
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()] + [(8, None, "en", "s", 0), (9, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
-    labels = spark.createDataFrame([(i, 1, 1 if i % 5 == 0 else 0) for i in range(10, 350)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, 1, 1 if i % 5 == 0 else 0) for i in range(10, 400)], "doc_id long, quality int, toxic int")
     folder = str(tmp_path)
     docs.repartition(3).write.parquet(f"{folder}/documents.parquet")
     labels.write.parquet(f"{folder}/labels.parquet")
