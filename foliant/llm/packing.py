@@ -8,7 +8,7 @@ keeps as many partitions as that needs, so no task grows with the corpus.  Each
 checkpointed, which also makes the bins stable if executors are lost.
 
 Token ids come from a vocabulary of the `tokenizers` library.  A text's words are looked up in a
-table of the words met so far, and unknown words go to the library, since the library's own
+table of the words met so far, and unknown words go to the library's model, since the library's own
 splitting rule makes the encoding of a text the sequence of its words' encodings.
 
 Cases: a null text counts as empty and has the closing id alone; a document longer than the
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.common import checkpoint, column_values, map_arrow
+from foliant.llm.token_transducer import byte_symbols
 
 CAPACITY = 2048
 SLACK = 8
@@ -59,6 +60,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model, self.symbols = self.library.model, {b: s for s, b in byte_symbols().items()}
         with open(path, encoding="utf-8") as file:
             added = json.load(file)["added_tokens"]
         self.specials = {t["content"]: int(t["id"]).to_bytes(4, "little") for t in added}
@@ -82,12 +84,23 @@ class WordEncoder:
         if not run.isascii():
             run = unicodedata.normalize("NFC", run).replace("Σ", "σ")
         run = run.lower()
-        if run.isalpha() and run.isascii():
-            return [run]
-        return (PLAIN if max(run) < self.plain_below else self.word).findall(run)
+        if run.isascii() or max(run) < self.plain_below:
+            if run.isalpha():
+                return [run]
+            if run[:-1].isalpha() and not run[-1].isalpha() and run[-1].isascii():
+                return [run[:-1], run[-1]]
+            return PLAIN.findall(run)
+        return self.word.findall(run)
+
+    def encode_word(self, word: str) -> list[int]:
+        """The ids of a word: by the library's merges alone, or with its normaliser where a newer Unicode might matter."""
+        if word and max(word) >= self.plain_below:
+            return self.library.encode(word, add_special_tokens=False).ids
+        symbols = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.symbols)
+        return [t.id for t in self.model.tokenize(symbols)]
 
     def learn(self, runs: list[str]) -> None:
-        """Add runs to the table; words that are unknown too go to the library together."""
+        """Add runs to the table; words that are unknown too go to the library's model."""
         if len(self.runs) > RUNS_KEPT:
             self.runs.clear()
         split = {r: self.split_run(r) for r in runs if r not in self.runs}
@@ -96,8 +109,8 @@ class WordEncoder:
             if len(self.words) > WORDS_KEPT:
                 self.words.clear()
                 unknown = list({w for words in split.values() for w in words})
-            for word, found in zip(unknown, self.library.encode_batch_fast(unknown, add_special_tokens=False)):
-                self.words[word] = array("I", found.ids).tobytes()
+            for word in unknown:
+                self.words[word] = array("I", self.encode_word(word)).tobytes()
         for run, words in split.items():
             self.runs[run] = b"".join([self.words[w] for w in words])
 
