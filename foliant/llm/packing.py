@@ -23,7 +23,7 @@ import os
 import unicodedata
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import regex
@@ -48,6 +48,17 @@ PLAIN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L
 MEMBER = "struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long>"
 
 
+class Known(dict):
+    """A table that makes what it lacks."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self[key] = self.make(key)
+        return value
+
+
 class WordEncoder:
     """Encodes texts to little-endian 32-bit ids for a lower-casing word vocabulary.
 
@@ -65,8 +76,8 @@ class WordEncoder:
             added = json.load(file)["added_tokens"]
         self.specials = {t["content"]: int(t["id"]).to_bytes(4, "little") for t in added}
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if added else None
-        self.words: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.words = Known(lambda word: array("I", self.encode_word(word)).tobytes())
+        self.runs = Known(self.encode_run)
         self.word = self.word_pattern()
         self.run = regex.compile(f"[^{WHITE}]+")
 
@@ -99,20 +110,9 @@ class WordEncoder:
         symbols = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.symbols)
         return [t.id for t in self.model.tokenize(symbols)]
 
-    def learn(self, runs: list[str]) -> None:
-        """Add runs to the table; words that are unknown too go to the library's model."""
-        if len(self.runs) > RUNS_KEPT:
-            self.runs.clear()
-        split = {r: self.split_run(r) for r in runs if r not in self.runs}
-        unknown = list({w for words in split.values() for w in words if w not in self.words})
-        if unknown:
-            if len(self.words) > WORDS_KEPT:
-                self.words.clear()
-                unknown = list({w for words in split.values() for w in words})
-            for word in unknown:
-                self.words[word] = array("I", self.encode_word(word)).tobytes()
-        for run, words in split.items():
-            self.runs[run] = b"".join([self.words[w] for w in words])
+    def encode_run(self, run: str) -> bytes:
+        """The ids of a run without white space."""
+        return b"".join([self.words[w] for w in self.split_run(run)])
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text."""
@@ -123,13 +123,11 @@ class WordEncoder:
                 continue
             odd = any(c in part for c in "\x1c\x1d\x1e\x1f")  # white space to Python, not to the rule
             runs = self.run.findall(part) if odd else part.split()
-            try:
-                out += [self.runs[r] for r in runs]
-            except KeyError:
-                for first in range(0, len(runs), 100_000):
-                    own = runs[first : first + 100_000]
-                    self.learn(own)
-                    out += [self.runs[r] for r in own]
+            for first in range(0, len(runs), 100_000):
+                for known, most in ((self.runs, RUNS_KEPT), (self.words, WORDS_KEPT)):
+                    if len(known) > most:
+                        known.clear()
+                out += [self.runs[r] for r in runs[first : first + 100_000]]
         return b"".join(out)
 
 
