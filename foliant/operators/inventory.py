@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.registry import query, table
@@ -25,6 +25,14 @@ def zero_filled(counts: DataFrame, vocabulary: list[str], key: str, n: str = "n"
     return words.join(counts, key, "left").select(key, F.coalesce(n, F.lit(0)).alias(n))
 
 
+def side_by_side(*single_rows: DataFrame) -> DataFrame:
+    """Frames of one row each as one row."""
+    first, *rest = [df.withColumn("_one", F.lit(1)) for df in single_rows]
+    for df in rest:
+        first = first.join(df, "_one")
+    return first.drop("_one")
+
+
 def list_items(values: Column, blanks: bool = False) -> Column:
     """Entries of a list, blank ones only if `blanks`."""
     return F.size(values if blanks else F.filter(values, lambda x: F.trim(x) != "")).cast("long")
@@ -66,7 +74,7 @@ def label_quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     missing = table(spark, sf_dir, "documents").join(labels, "doc_id", "left_anti").agg(F.count(F.lit(1)).alias("n_missing"))
     own = labels.agg(F.count(F.lit(1)).alias("n_reviews"), F.count_if(F.col("quality") == 1).alias("n_good"), F.count_if(F.col("toxic") == 1).alias("n_toxic"), F.round(F.avg("quality"), 2).alias("mean_quality"))
-    return own.join(missing)  # one row each
+    return side_by_side(own, missing)
 
 
 @query("""WITH seen AS (SELECT DISTINCT conv_id, role FROM conversations) SELECT c.conv_id, v.role FROM (SELECT DISTINCT conv_id FROM conversations) c CROSS JOIN (VALUES ('assistant'), ('system'), ('tool'), ('user')) v(role)
@@ -102,10 +110,9 @@ def journal_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH t AS (SELECT lang, sum(n_chars) AS chars FROM documents GROUP BY 1) SELECT lang, chars, round(100.0::DOUBLE * chars / sum(chars) OVER (), 1) AS share FROM t ORDER BY chars DESC, lang LIMIT 5""")
 def language_share_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    total = docs.agg(F.sum("n_chars").alias("total"))
-    counts = docs.groupBy("lang").agg(F.sum("n_chars").alias("chars")).join(total)  # one row
-    return counts.select("lang", "chars", F.round(F.lit(100.0) * F.col("chars") / F.col("total"), 1).alias("share")).orderBy(F.desc("chars"), "lang").limit(5)
+    counts = table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum("n_chars").alias("chars"))
+    total = F.sum("chars").over(Window.partitionBy(F.lit(1)))  # over a row for each language
+    return counts.select("lang", "chars", F.round(F.lit(100.0) * F.col("chars") / total, 1).alias("share")).orderBy(F.desc("chars"), "lang").limit(5)
 
 
 @query("SELECT lang, source, count(*) AS n_files, sum(n_chars) AS n_chars FROM documents GROUP BY GROUPING SETS ((lang), (source), ())")

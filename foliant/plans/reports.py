@@ -7,7 +7,7 @@ from html import escape
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.operators.inventory import group_counts
+from foliant.operators.inventory import group_counts, side_by_side
 from foliant.registry import query, table
 
 
@@ -66,7 +66,7 @@ def pilot_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     errors = table(spark, sf_dir, "events").agg(F.count_if(F.col("event_type") == "error").alias("n_errors"))
     clean = F.col("o_orderstatus") == "F"
     own = table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("n_sources"), F.count_if(clean).alias("n_clean"), F.count_if(~clean).alias("n_open"), F.count_distinct("o_custkey").alias("n_owners"))
-    return own.join(errors)  # one row each
+    return side_by_side(own, errors)
 
 
 @query("""WITH items AS (SELECT 'office' AS kind, o_orderkey AS id, o_orderstatus AS state FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT 'repo', s_suppkey, 'unconfigured' FROM supplier WHERE s_acctbal < 0),
