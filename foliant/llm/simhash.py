@@ -35,7 +35,7 @@ SHINGLE = 4
 NODES_EACH = 16_384
 LEAST_DEPTH, MOST_DEPTH = 6, 14
 LEAF = 4
-STEP = 1 << 18
+STEP = 1 << 16
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
