@@ -80,3 +80,38 @@ def test_similar_groups_are_verified(spark):
     docs = spark.createDataFrame([(i + 10, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs, tables=4).collect()}
     assert got == {10: 10, 11: 11, 12: 10, 13: 10, 14: 14, 15: 14, 16: 16}
+
+
+def brute_groups(texts, size=5):
+    """Components by links of Jaccard of at least 0.8 between all pairs, and those links."""
+    sets = {}
+    for i, text in texts.items():
+        words = text.lower().split()
+        sets[i] = {tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))}
+    ids, root, links = sorted(texts), {i: i for i in texts}, []
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = len(sets[a] & sets[b])
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                links.append((a, b))
+                x, y = root[a], root[b]
+                if x != y:
+                    root = {i: min(x, y) if r in (x, y) else r for i, r in root.items()}
+    return root, links
+
+
+def test_similar_groups_of_a_template_equal_brute_force(spark):
+    rng = random.Random(11)
+    template = [f"t{rng.randrange(5000)}" for _ in range(120)]
+    texts = {}
+    for i in range(300):
+        own = list(template)
+        for _ in range(rng.choice([1, 2, 3, 4, 5])):
+            own[rng.randrange(len(own))] = f"own{i}_{rng.randrange(99)}"
+        texts[i] = " ".join(own)
+        if i % 3 == 0:
+            own[rng.randrange(len(own))] = f"copy{i}"
+            texts[1000 + i] = " ".join(own)
+    want, _ = brute_groups(texts)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == want
