@@ -115,3 +115,16 @@ def test_similar_groups_of_a_template_equal_brute_force(spark):
     want, _ = brute_groups(texts)
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_recall_at_the_least_similarity_is_whole_at_any_length(spark):
+    rng, texts, pairs = random.Random(5), {}, {}
+    for n in (8, 9, 10, 14, 20, 40, 100):
+        for _ in range(40):
+            a = len(texts)
+            words = [f"v{rng.randrange(10**6)}" for _ in range(n)]
+            pairs.setdefault(n, []).append(a)
+            texts[a], texts[a + 1] = " ".join(words), " ".join(words + [f"v{rng.randrange(10**6)}" for _ in range((n - 4) // 4)])
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), tables=2).collect()}
+    assert got == brute_groups(texts)[0]
+    assert all(got[a + 1] == a for found in pairs.values() for a in found)
