@@ -237,6 +237,31 @@ class Merger:
         self.chains: list[tuple] = list(self.number)
         self.table = np.full(4096 * 256, self.MISSING, np.int32)
         self.table[:256] = self.DEAD << 8 | 128
+        self.room = MAX_STATES
+
+    def fit_table(self) -> None:
+        """Make the table as long as the states need, whatever their number."""
+        if len(self.chains) * 256 > len(self.table):
+            wanted = min(2 * len(self.table), (MAX_STATES + 65536) * 256)
+            grown = np.full(max(wanted, (len(self.chains) + 4096) * 256), self.MISSING, np.int32)
+            grown[: len(self.table)] = self.table
+            self.table = grown
+
+    def keep(self, states: np.ndarray) -> np.ndarray:
+        """Forget all states but these, the live ones; returns their new numbers.  There is room for as many again, at least."""
+        live, place = np.unique(states, return_inverse=True)
+        chains = [self.chains[s] for s in live.tolist()]
+        self.reset()
+        fresh = []
+        for chain in chains:
+            name = tuple((n, b if (may := self.still_open(n, b)) is None else may, d) for n, b, d in chain[:-1]) + chain[-1:]
+            if name not in self.number:
+                self.number[name] = len(self.chains)
+                self.chains.append(chain)
+            fresh.append(self.number[name])
+        self.fit_table()
+        self.room = max(MAX_STATES, 2 * len(self.chains))
+        return np.array(fresh, np.int64)[place]
 
     def encode(self, text: bytes) -> list[int]:
         """The tokens of a short text, by merging the pair of lowest rank first."""
@@ -306,10 +331,7 @@ class Merger:
         if following is None:
             following = self.number[name] = len(self.chains)
             self.chains.append(chain)
-            if len(self.chains) * 256 > len(self.table):
-                grown = np.full(min(2 * len(self.table), (MAX_STATES + 65536) * 256), self.MISSING, np.int32)
-                grown[: len(self.table)] = self.table
-                self.table = grown
+            self.fit_table()
         self.table[state << 8 | byte] = value = following << 8 | change + 128
         return value
 
@@ -331,6 +353,8 @@ class Merger:
         out = np.zeros(lanes.shape, np.int8)
         state = np.full(lanes.shape[1], self.DEAD, np.int64)
         for step in range(CHUNK):  # every chunk from its first reset on: there its state map is constant
+            if len(self.chains) > self.room:
+                state = self.keep(state)
             state[resets[step]] = self.INITIAL
             values = self.steps(state << 8 | lanes[step])
             out[step] = (values & 255) - 128
@@ -347,6 +371,8 @@ class Merger:
                     whole = first[ready] == CHUNK
                     keep = on | whole
                     ready, at, on = ready[keep], at[keep], on[keep]
+                if len(self.chains) > self.room:
+                    state, at = np.split(self.keep(np.concatenate([state, at])), [len(state)])
                 values = self.steps(at << 8 | lanes[step, ready])
                 out[step, ready] = (values & 255) - 128
                 at = (values >> 8).astype(np.int64)

@@ -78,3 +78,13 @@ def test_wu_manber_equals_brute_force(spark):
     nameless = decontamination.find_benchmark(docs, spark.createDataFrame([(None, "a b"), (3, "b a")], "item_id long, text string")).collect()
     assert any(r["items"] == [""] or r["items"] == ["", "3"] for r in nameless)
     assert not decontamination.contamination_report(decontamination.find_benchmark(docs, bench.limit(0))).where("contaminated").count()
+
+
+def test_a_slab_may_need_more_states_than_the_bound(monkeypatch):
+    monkeypatch.setattr(token_transducer, "MAX_STATES", 4600 - 65_536)  # the table once ended 65,536 states above it
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randint(3, 400))) for _ in range(400)), "".join(rng.choices(letters, k=3000))]
+    library = Tokenizer.from_file(BYTE_BPE)
+    own = token_transducer.TokenCounter(BYTE_BPE)
+    assert own.count([t.encode() for t in texts]) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
