@@ -3,10 +3,9 @@
 A page is read once into blocks of text.  For each root-to-leaf tag path (tags with their classes)
 the text length and the punctuation of its blocks are summed up and divided by the number of its
 nodes; the two ratios are smoothed over neighbouring paths, fused by their product, and paths above
-a multiple of the standard deviation are content.  The smallest element that holds nearly all
-content text, widened to the article or section around it, is the content node; its blocks are the
-main text, headings included.  Elements that never are content (scripts, menus, adverts, forms and
-so on, by name, role, class or id) take no part.
+a multiple of the standard deviation are content.  The blocks of content paths are the main text,
+wherever they are, with the headings right before them.  Elements that never are content (scripts,
+menus, adverts, forms and so on, by name, role, class or id) take no part.
 
 Cases: null or empty html gives the empty text; broken markup, missing end tags and truncated
 character references are read as browsers read them, in the main; a page without any path above
@@ -27,7 +26,6 @@ from pyspark.sql import functions as F
 from foliant.llm.common import column_values, map_arrow
 
 SPREAD = 0.1
-SHARE = 0.9
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
@@ -39,7 +37,7 @@ RAW = set("script style textarea title noscript iframe template xmp noembed nofr
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 SILENT = set("script style template noscript iframe".split())  # hidden, but no end of a block
 NEVER = set("head nav footer aside form button select option svg canvas audio video object menu dialog fieldset math map".split()) | RAW
-SECTIONS = set("article main section div body td html".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
 ENDS = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
 #: Words in a class, id or role that mark what is no content.
 NOISE = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer foot masthead topbar cookie cookies consent gdpr notice notices alert banner popup modal overlay newsletter subscribe subscription signup comment comments reply replies respond disqus discussion share sharing social related recommended recommendations widget toolbar pagination pager login search skip contentinfo complementary".split())
@@ -122,6 +120,12 @@ class Page:
             return True
         return bool(labels) and name not in ("html", "body", "main", "article") and not NOISE.isdisjoint(WORD.findall(labels))
 
+    def lineage(self, element: int) -> Iterator[int]:
+        """The element and those around it."""
+        while element >= 0:
+            yield element
+            element = self.parent[element]
+
     def close_implied(self, name: str, scope: set[str]) -> None:
         for k in range(len(self.open) - 1, 0, -1):
             if self.name[self.open[k]] == name:
@@ -163,42 +167,27 @@ def content_paths(page: Page, spread: float) -> set[str]:
     return {p for p, f in zip(paths, fused) if f > bound}
 
 
-def main_text(source: str, spread: float = SPREAD, share: float = SHARE) -> str:
-    """The main text of a page, one line for each block."""
+def main_text(source: str, spread: float = SPREAD) -> str:
+    """The main text of a page, one line for each block: those on content paths, and the headings right before them."""
     page = Page(source)
-    if not page.blocks:
-        return ""
     chosen = content_paths(page, spread)
-    weight = [0] * len(page.parent)
-    total = 0
-    for element, text in page.blocks:
-        if page.path[element] in chosen:
-            total += len(text)
-            while element >= 0:
-                weight[element] += len(text)
-                element = page.parent[element]
-    node = max((e for e in range(len(weight)) if weight[e] >= share * total), default=0)  # children have larger numbers
-    chain = [node]
-    while page.parent[chain[-1]] >= 0:
-        chain.append(page.parent[chain[-1]])
-    for kinds in ({"article"}, {"main"}, SECTIONS):
-        if around := next((e for e in chain if page.name[e] in kinds), None):
-            node = around
-            break
-    else:
-        node = 0
-    inside = [False] * len(page.parent)
-    for element in range(len(inside)):
-        inside[element] = element == node or (element > 0 and inside[page.parent[element]])
-    return "\n".join(text for element, text in page.blocks if inside[element])
-
-
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", spread: float = SPREAD, share: float = SHARE) -> DataFrame:
+    if not any(page.path[element] in chosen for element, _ in page.blocks):
+        return "\n".join(text for _, text in page.blocks)
+    kept, content = [], False
+    for element, text in reversed(page.blocks):
+        heading = any(page.name[e] in HEADINGS for e in page.lineage(element))
+        content = page.path[element] in chosen or (heading and content)
+        if content:
+            kept.append(text)
+    return "\n".join(reversed(kept))
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", spread: float = SPREAD) -> DataFrame:
     """The id, url, main text and its number of code points of each page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h, spread, share) for h in column_values(batch, "_html")]
+            texts = [main_text(h, spread) for h in column_values(batch, "_html")]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [id_col, url_col, "text", "n_chars"])
 
     rows = pages.select(F.col(id_col).cast("long").alias(id_col), F.col(url_col).cast("string").alias(url_col), F.coalesce(F.col(html_col), F.lit("")).alias("_html"))

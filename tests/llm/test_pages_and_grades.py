@@ -83,3 +83,13 @@ def test_grades_hold_out(spark):
     none = ordinal.grade_documents(docs, labels.limit(0)).where(F.col("keep")).count()
     assert none == 902
     assert ordinal.grade_documents(docs.limit(0), labels).count() == 0
+
+
+def test_content_paths_decide_wherever_the_blocks_are():
+    prose = "".join(f"<p>Sentence {i}, which is long, has commas. And it goes on, as prose does.</p>" for i in range(40))
+    lines = mainhtml.main_text(f"<body><main><h1>Headline</h1><p>A lead, of some length, that says it all.</p><article>{prose}</article></main></body>").split("\n")
+    assert lines[:2] == ["Headline", "A lead, of some length, that says it all."] and len(lines) == 42
+    second = "<div><p>The second part, which is short, ends here.</p></div>"
+    assert mainhtml.main_text(f"<body><div>{prose}</div>{second}</body>").split("\n")[-1] == "The second part, which is short, ends here."
+    rejected = mainhtml.main_text("<article>" + "".join(f"<ul><li>x{i}</li></ul>" for i in range(9)) + f"<div><b>y</b></div>{prose * 3}</article>")
+    assert "x1" not in rejected and "Sentence 39" in rejected
