@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -21,9 +22,47 @@ def text_bytes(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
-def map_arrow(df: DataFrame, schema: str | StructType, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]) -> DataFrame:
-    """`mapInArrow` without a barrier; `fn` sees whole record batches."""
-    return df.mapInArrow(fn, schema)
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+#: Tables that a Python worker keeps between tasks, of one operator at a time: another one's are dropped first.
+_KEPT: dict[str, dict] = {}
+
+
+def worker_tables(operator: str) -> dict:
+    """The tables of an operator in this Python worker; those of all others go."""
+    for other in [k for k in _KEPT if k != operator]:
+        del _KEPT[other]
+    return _KEPT.setdefault(operator, {})
+
+
+def give_back() -> None:
+    """Return what a task has freed to the system, as workers live on."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def map_arrow(df: DataFrame, schema: str | StructType, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], keeps: str = "") -> DataFrame:
+    """`mapInArrow` over batches of bounded bytes; a task's memory is given back at its end, but for the tables of the operator `keeps`."""
+    small_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_tables(keeps)
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes and rows of a batch that goes to a Python worker; smaller settings stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def column_values(batch: pa.RecordBatch, name: str) -> list:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import column_values, map_arrow, text_bytes
+from foliant.llm.common import column_values, map_arrow, text_bytes, worker_tables
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -126,22 +126,17 @@ def benchmark_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes:
         yield block
 
 
-_MATCHERS: dict[int, Matcher] = {}
-
-
 def find_benchmark(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The id, the columns of `carry`, n_words, hit_spans (disjoint word ranges, end excluded) and items (ids, sorted as strings) of each document."""
     context, carried = docs.sparkSession.sparkContext, carry or []
     blocks = [context.broadcast(b) for b in benchmark_blocks(items, item_col, item_text_col, block_bytes)]
 
     def matcher(k: int) -> Matcher:
-        if len(blocks) > 1:
-            return Matcher(blocks[k].value, window)
-        key = hash((tuple(blocks[k].value), window))
-        if key not in _MATCHERS:
-            _MATCHERS.clear()
-            _MATCHERS[key] = Matcher(blocks[k].value, window)
-        return _MATCHERS[key]
+        kept, key = worker_tables("decontamination"), (hash(tuple(blocks[k].value)), window)
+        if key not in kept:
+            kept.clear()
+            kept[key] = Matcher(blocks[k].value, window)
+        return kept[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
@@ -172,7 +167,7 @@ def find_benchmark(docs: DataFrame, items: DataFrame, window: int = WINDOW, bloc
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), *carried, text_bytes(text_col).alias("_text"))
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     added = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", spans), T.StructField("items", T.ArrayType(T.StringType()))]
-    return map_arrow(rows, T.StructType([*rows.schema.fields[:-1], *added]), run)
+    return map_arrow(rows, T.StructType([*rows.schema.fields[:-1], *added]), run, "decontamination")
 
 
 def without_benchmark(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text", **options) -> DataFrame:

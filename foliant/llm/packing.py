@@ -30,15 +30,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import checkpoint, column_values, map_arrow
+from foliant.llm.common import checkpoint, column_values, map_arrow, worker_tables
 from foliant.llm.token_transducer import byte_symbols
 
 CAPACITY = 2048
 SLACK = 8
 FAN_IN = 8
 ITEMS_EACH = 500_000
-WORDS_KEPT = 500_000
-RUNS_KEPT = 700_000
+WORDS_KEPT = 300_000
+RUNS_KEPT = 400_000
 END_ID = 0
 
 #: White space as the vocabulary's splitting rule has it.
@@ -127,20 +127,16 @@ class WordEncoder:
                 for known, most in ((self.runs, RUNS_KEPT), (self.words, WORDS_KEPT)):
                     if len(known) > most:
                         known.clear()
-                out += [self.runs[r] for r in runs[first : first + 100_000]]
+                out += map(self.runs.__getitem__, runs[first : first + 100_000])
         return b"".join(out)
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of all documents: doc_id, piece, start, length and ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        if vocabulary not in _ENCODERS:
-            _ENCODERS[vocabulary] = WordEncoder(vocabulary)
-        encoder, end = _ENCODERS[vocabulary], END_ID.to_bytes(4, "little")
+        kept, end = worker_tables("packing"), END_ID.to_bytes(4, "little")
+        encoder = kept[vocabulary] = kept.get(vocabulary) or WordEncoder(vocabulary)
         for batch in batches:
             rows = []
             for doc, text in zip(column_values(batch, id_col), column_values(batch, "_text")):
@@ -152,7 +148,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: s
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [id_col, "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    return map_arrow(rows, f"{id_col} long, piece int, start long, length long, ids_crc32 long", run)
+    return map_arrow(rows, f"{id_col} long, piece int, start long, length long, ids_crc32 long", run, "packing")
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:

@@ -66,16 +66,6 @@ def fingerprint(text: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
     return fingerprint_of(shingle_hashes(text, size, seed))
 
 
-def remixed(hashes: np.ndarray, table: int) -> np.ndarray:
-    """Other hashes of the same shingles; table 0 has those of XXH64 themselves."""
-    if table == 0:
-        return hashes
-    x = hashes ^ np.uint64(0x9E3779B97F4A7C15 * (2 * table + 1) & (2**64 - 1))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def fingerprints(docs: DataFrame, size: int = SHINGLE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and the fingerprint (fp, a signed long of the same bits) of each document."""
 
@@ -231,177 +221,3 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, budget: int = BUDGET,
     heads = tied.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = tied.join(heads, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-TABLES, TABLES_BUDGET = 8, 7
-SIMILARITY = 0.8
-SAMPLED, COMMON, COMMON_KEPT = 8192, 3, 65_536
-PAIRS_STEP = 1 << 20
-
-
-def text_class(text: bytes) -> int:
-    """The number (a signed long) of all texts with the same words."""
-    return xxhash.xxh3_64_intdigest(b" ".join(text.translate(LOWER).split())) - (1 << 63)
-
-
-def shingle_set(text: bytes, size: int) -> np.ndarray:
-    """The distinct shingles of a text, as sorted 40-bit hashes."""
-    return np.unique(shingle_hashes(text, size, SEED) >> np.uint64(24))
-
-
-def prefix_length(n: int, similarity: float) -> int:
-    """So many first shingles, in any common order, of a set of n: two sets that are similar enough share one of them at least."""
-    return n - math.ceil(similarity * n - 1e-9) + 1
-
-
-def prefix_of(shingles: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """The prefix of a sorted shingle set in the order of hashes, `common` ones (sorted) last."""
-    if not len(shingles):
-        return shingles
-    last = np.isin(shingles, common)
-    return np.concatenate([shingles[~last], shingles[last]])[: prefix_length(len(shingles), similarity)]
-
-
-def crossing_pairs(token: np.ndarray, node: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs of nodes with one token and different labels; rows of a token must be complete."""
-    order = np.lexsort((label, token))
-    token, node, label = token[order], node[order], label[order]
-    at = np.arange(len(token))
-    new_token = np.concatenate([[True], token[1:] != token[:-1]])
-    new_label = new_token | np.concatenate([[True], label[1:] != label[:-1]])
-    ends = lambda new: np.append(at[new][1:], len(at))[np.cumsum(new) - 1]
-    first, end = ends(new_label), ends(new_token)
-    upto = np.cumsum(end - first)
-    start = 0
-    while start < len(at):
-        done = upto[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(upto, done + PAIRS_STEP, "right")))
-        many = (end - first)[start:stop]
-        left = np.repeat(at[start:stop], many)
-        right = np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[start:stop], many)
-        if len(left):
-            yield node[left], node[right]
-        start = stop
-
-
-def common_shingles(texts: DataFrame, size: int, count: int) -> np.ndarray:
-    """Shingles that several texts of a sample hold.  They only set the order of the prefixes, which is exact in any order."""
-    every = max(1, count // SAMPLED)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in batches:
-            for text in column_values(batch, "_text"):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, size).astype(np.int64))], ["token"])
-
-    sample = texts.where(F.pmod(F.xxhash64("_text"), F.lit(every)) == 0).select("_text").distinct()
-    counts = map_arrow(sample, "token long", run).groupBy("token").count().where(F.col("count") >= COMMON)
-    return np.sort(np.array([r.token for r in counts.orderBy(F.desc("count"), "token").limit(COMMON_KEPT).collect()], np.uint64))
-
-
-def similar_groups(docs: DataFrame, size: int = 5, similarity: float = SIMILARITY, tables: int = TABLES, budget: int = TABLES_BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id and component_id (smallest id in reach) of each document, by links of shingle similarity (Jaccard) of at least `similarity`.
-
-    Texts with equal words are one class.  Each of `tables` independent fingerprints has its own
-    trie self-join with a wider error budget; the pairs that tie its components together are
-    candidates, and those whose shingle sets are similar enough are links.  What the tables miss
-    is found exactly: similar sets share a shingle of their prefixes, so all pairs of classes that
-    do, and that verified links do not tie together yet, are candidates too, less those whose
-    prefixes share fewer shingles than similar sets must.  The tables thus only save pairs of
-    large groups; the result is that of comparing all pairs.
-    """
-    spark = docs.sparkSession
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in batches:
-            names, sizes, found = [], [], []
-            for text in column_values(batch, "_text"):
-                hashes = shingle_hashes(text, size, SEED)
-                names.append(text_class(text))
-                sizes.append(len(np.unique(hashes >> np.uint64(24))))
-                found.append([fingerprint_of(remixed(hashes, k)) for k in range(tables)] if len(hashes) else [0] * tables)
-            values = np.array(found, np.uint64).reshape(-1, tables).view(np.int64)
-            fps = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * tables, pa.int32()), pa.array(values.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), fps], ["id", "node", "n", "fps"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("_text"))
-    marked = checkpoint(spark, map_arrow(rows, "id long, node long, n long, fps array<long>", mark))
-    classes = checkpoint(spark, marked.groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("fps").alias("fps")))
-    pairs = None
-    for k in range(tables):
-        own = classes.select("node", F.col("fps")[k].alias("fp"))
-        heads = own.groupBy("fp").agg(F.min("node").alias("head"))
-        same = own.join(heads, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-        near = trie_links(heads.select("fp"), budget, nodes_each=1 << 17, least_depth=3)
-        tied = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        both = same.unionByName(tied)
-        pairs = both if pairs is None else pairs.unionByName(both)
-    pairs = checkpoint(spark, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([text_class(t) for t in column_values(batch, "_text")], pa.int64()), batch.column(1)], ["node", "_text"])
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in batches:
-            values = [shingle_set(t, size).tobytes() for t in column_values(batch, "_text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], ["node", "shingles"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(column_values(batch, "x"), column_values(batch, "y")):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs whose shingle sets are similar enough."""
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        owners = wanted.join(classes, "node").select(F.col("least").alias("own")).distinct()
-        texts = map_arrow(rows.join(owners, F.col("id").eqNullSafe(F.col("own")), "left_semi"), "node long, _text binary", named)
-        shingles = map_arrow(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "node long, shingles binary", sets)
-        left = pairs.join(shingles.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-        matched = left.join(shingles.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-        return checkpoint(spark, map_arrow(matched, "a long, b long", compare))
-
-    links = verified(pairs)
-    common = common_shingles(rows, size, classes.count())
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in batches:
-            texts = column_values(batch, "_text")
-            found = [prefix_of(shingle_set(t, size), common, similarity).astype(np.int64) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([text_class(t) for t in texts], pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["node", "tokens"])
-
-    def crossing(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        held = pa.table({k: pa.array([], pa.int64()) for k in ("token", "node", "label")})
-
-        def found(part: pa.Table) -> Iterable[pa.RecordBatch]:
-            for a, b in crossing_pairs(*(part.column(k).to_numpy() for k in ("token", "node", "label"))):
-                ends = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ends[0][:, 0]), pa.array(ends[0][:, 1]), pa.array(ends[1].astype(np.int64))], ["a", "b", "shared"])
-
-        for batch in batches:
-            held = pa.concat_tables([held, pa.Table.from_batches([batch]).select(held.column_names).cast(held.schema)])
-            token = held.column("token").to_numpy()
-            whole = int(np.searchsorted(token, token[-1])) if len(token) else 0
-            if whole:
-                yield from found(held.slice(0, whole))
-                held = held.slice(whole)
-        if len(held):
-            yield from found(held)
-
-    known = least_members(links).select("node", F.col("root").alias("label"))
-    tokens = map_arrow(rows.select("_text"), "node long, tokens array<long>", prefixes).dropDuplicates(["node"])
-    tokens = tokens.join(known, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.explode("tokens").alias("token"))
-    shared = map_arrow(tokens.repartition("token").sortWithinPartitions("token"), "a long, b long, shared long", crossing).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    size_of = lambda end: classes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"))
-    sized = shared.join(size_of("a"), "a").join(size_of("b"), "b")
-    outside = F.greatest(*(F.ceil(similarity * F.col(f"n_{end}") - 1e-9) for end in "ab")) - 1  # the most shingles after a prefix
-    needed = F.ceil(similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-9)
-    rest = checkpoint(spark, sized.where((F.col("shared") >= needed - outside) & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9)).select("a", "b"))
-    roots = least_members(links.unionByName(verified(rest)))
-    tied = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    component = tied.join(tied.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    return marked.join(component, "node").select(F.col("id").alias(id_col), "component_id")

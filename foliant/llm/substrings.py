@@ -37,8 +37,8 @@ from foliant.llm.common import column_values, map_arrow, partitions_for, text_by
 
 WINDOW = 13
 BLOCK = 7  # a window of 2 * BLOCK - 1 words holds a whole block
-BUCKET_BYTES = 8 << 20
-FLUSH_WORDS = 1_500_000
+BUCKET_BYTES = 4 << 20
+FLUSH_WORDS = 400_000
 
 #: Random odd factors of the rolling hash, by a fixed rule.
 MIX = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) * (k + 3) | 1) & (2**64 - 1) for k in range(64)], np.uint64)
@@ -130,11 +130,18 @@ def places_of(value: bytes) -> np.ndarray:
 DEALT = "bucket int, entries binary, places binary"
 
 
+def bucket_of(docs: np.ndarray, count: int) -> np.ndarray:
+    """The bucket of each document: by a hash, so that ids with a common stride spread too."""
+    mixed = docs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    return ((mixed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int32)
+
+
 def by_bucket(docs: np.ndarray, places: np.ndarray, count: int) -> Iterator[tuple[int, bytes]]:
     """Places packed by their document's bucket: few rows, whatever the number of documents."""
     if not len(docs):
         return
-    bucket = np.mod(docs, count)
+    bucket = bucket_of(docs, count)
     order = np.lexsort((places, docs, bucket))
     docs, places, bucket = docs[order], places[order], bucket[order]
     _, first = groups_of(bucket)
@@ -327,11 +334,12 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     spark, block = docs.sparkSession, (window + 1) // 2
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_bytes(text_col).alias("_text"))
     partitions = partitions_for(spark, docs, BUCKET_BYTES)
-    placed = rows.repartition(partitions, "_id")
-    anchors = settled(deal_anchors(rows, partitions, block, flush_words), partitions, anchor_hits)
+    known = rows.where("_id is not null")
+    placed = known.repartition(partitions, "_id")
+    anchors = settled(deal_anchors(known, partitions, block, flush_words), partitions, anchor_hits)
     # Both joins are left joins so that one exchange of the documents serves both.
     windows = settled(deal_windows(placed.join(anchors, "_id", "left"), partitions, window, block, flush_words), partitions, later_windows)
-    return placed.join(windows, "_id", "left")
+    return placed.join(windows, "_id", "left").unionByName(rows.where("_id is null").withColumn("hits", F.lit(None).cast("binary")))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", flush_words: int = FLUSH_WORDS, keep_unchanged: bool = False) -> DataFrame:

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import xxhash
 
-from foliant.llm import components, simhash
+from foliant.llm import components, shingles, similar, simhash
 
 
 def brute_fingerprint(text, size=4):
@@ -78,7 +78,7 @@ def test_similar_groups_are_verified(spark):
     half = base[:100] + [f"u{i}" for i in range(100)]
     texts = [" ".join(base), " ".join(half), "\n".join(edited), " ".join(base).upper(), None, "", " ".join(f"z{i}" for i in range(90))]
     docs = spark.createDataFrame([(i + 10, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs, tables=4).collect()}
+    got = {r.doc_id: r.component_id for r in similar.similar_groups(docs).collect()}
     assert got == {10: 10, 11: 11, 12: 10, 13: 10, 14: 14, 15: 14, 16: 16}
 
 
@@ -113,7 +113,7 @@ def test_similar_groups_of_a_template_equal_brute_force(spark):
             own[rng.randrange(len(own))] = f"copy{i}"
             texts[1000 + i] = " ".join(own)
     want, _ = brute_groups(texts)
-    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.component_id for r in similar.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     assert got == want
 
 
@@ -125,6 +125,30 @@ def test_recall_at_the_least_similarity_is_whole_at_any_length(spark):
             words = [f"v{rng.randrange(10**6)}" for _ in range(n)]
             pairs.setdefault(n, []).append(a)
             texts[a], texts[a + 1] = " ".join(words), " ".join(words + [f"v{rng.randrange(10**6)}" for _ in range((n - 4) // 4)])
-    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), tables=2).collect()}
+    got = {r.doc_id: r.component_id for r in similar.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     assert got == brute_groups(texts)[0]
     assert all(got[a + 1] == a for found in pairs.values() for a in found)
+
+
+def test_one_of_each_keeps_rows_whole(spark):
+    schema = "doc_id long, text string, k1 string, id string, node int"
+    base = " ".join(f"b{i}" for i in range(60))
+    rows = [(3, base, "x", "a", 1), (3, base, "x", "a", 1), (2, base + " more", "y", "b", 2), (3, "other text", "z", "c", 3), (None, "text without an id", "n", "d", 4), (None, base, "n", "e", 5), (9, None, "e", "f", 6), (8, "", "e", "g", 7)]
+    got = sorted(similar.one_of_each(spark.createDataFrame(rows, schema)).collect(), key=str)
+    assert got == sorted([rows[2], rows[3], rows[4], rows[7]], key=str)
+    empty = similar.one_of_each(spark.createDataFrame([], schema))
+    assert empty.count() == 0 and empty.columns == ["doc_id", "text", "k1", "id", "node"]
+
+
+def test_shingles_equal_plain_sets():
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("ABcde") for _ in range(rng.choice([0, 1, 3, 4, 5, 6, 40]))).encode() for _ in range(300)] + [b"", b"a" * 70000 + b" b c d e f"]
+    own = shingles.shingled(texts, 5, shingles.Powers())
+    def plain(t):
+        words = t.lower().split()
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    names = {}
+    for text, part, n in zip(texts, own.parts(), own.sizes):
+        assert n == len(plain(text)) == len(part) // 8
+        assert names.setdefault(frozenset(plain(text)), part) == part
+    assert len(set(names.values())) == len(names)
