@@ -3,8 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next stage's docs.  All stages but the last return the columns of `documents`.
 Null texts stay null unless a stage drops the row; empty tables give empty results; columns besides
-those of `documents` pass through; a row without an id leaves at the second stage, as no decision about
-groups can name it.
+those of `documents` pass through; rows without an id are documents too: they lose to a near copy with an
+id, and neither lose words to others nor take any; rows that share an id but not the text are documents of
+their own, but for the repeated passages, where they are one.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import decontamination, ordinal, packing, simhash, substrings
+from foliant.llm import decontamination, ordinal, packing, similar, substrings
 from foliant.llm.common import read_table, stage_folder
 
 
@@ -24,9 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest id, of each group with five-word shingle similarity of 0.8 or more."""
-    groups = simhash.similar_groups(docs, size=5, similarity=0.8)
-    heads = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return similar.one_of_each(docs, size=5, similarity=0.8)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
