@@ -22,7 +22,7 @@ def text_bytes(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
-BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1_000, 2 << 20
 
 #: Tables that a Python worker keeps between tasks, of one operator at a time: another one's are dropped first.
 _KEPT: dict[str, dict] = {}
@@ -104,6 +104,12 @@ def stage_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that `stage_folder` named, in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions_for(spark: SparkSession, df: DataFrame, bytes_each: int) -> int:
     """Partitions of about `bytes_each` bytes by the planner's size estimate of the scan, at least the shuffle setting.
 

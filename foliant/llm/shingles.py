@@ -12,8 +12,9 @@ import numpy as np
 
 from foliant.llm.substrings import MIX, STEP, STEP_BACK, powers, window_hashes, word_hashes, word_places
 
-SLAB = 1 << 20
-ROWS = 1 << 16
+SLAB = 1 << 18
+ROWS = 1 << 15
+CLASSES = 256
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -45,6 +46,12 @@ class Shingled:
         counts = self.sizes if most is None else np.minimum(most, self.sizes)
         return [self.hashes[a : a + n].tobytes() for a, n in zip(self.starts.tolist(), counts.tolist())]
 
+    def parities(self) -> np.ndarray:
+        """For each text, CLASSES bits: whether the number of its hashes in that class is odd; as rows of 64-bit words."""
+        place = np.repeat(np.arange(len(self.sizes)) * CLASSES, self.sizes) + (self.hashes % np.uint64(CLASSES)).astype(np.int64)
+        odd = (np.bincount(place, minlength=CLASSES * len(self.sizes)) & 1).astype(np.uint8)
+        return np.packbits(odd).view(np.uint64).reshape(-1, CLASSES // 64)
+
     def fingerprints(self) -> np.ndarray:
         """Each text's 64 bits that are set in over half of its hashes; zero without any."""
         sums = np.zeros((len(self.sizes), 64), np.int64)
@@ -94,6 +101,12 @@ def least_shared(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
     return np.maximum(1, both - behind).astype(np.int64)
 
 
+def may_be_similar(n: np.ndarray, m: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes and parities can be similar: each bit that differs is a shingle that only one has, and similar sets have few."""
+    apart = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
+    return apart <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-9
+
+
 def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     """Whether two sorted sets have a Jaccard similarity of `similarity` at least."""
     if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:

@@ -3,8 +3,9 @@
 Texts with equal words are one class.  1. The trie self-join of SimHash fingerprints ties classes
 together, and those ties whose shingle sets are similar enough are links.  2. Similar sets share a
 shingle of their prefixes (the first n - ceil(t * n) + 1 in one common order), and in all at least as
-many as sets of their sizes must.  So classes that do, and that no verified link ties together yet,
-are verified too.  The result is that of comparing all pairs, up to collisions of 64-bit hashes; the
+many as sets of their sizes must; and where the parities of their shingles' counts by hash class differ,
+a shingle does.  So classes that pass these tests, and that no verified link ties together yet, are verified
+too.  The result is that of comparing all pairs, up to collisions of 64-bit hashes; the
 fingerprints save the pairs within large groups, which would grow with the square.
 
 The order of the prefixes puts the shingles last that are common in a bounded sample; it is exact in
@@ -26,18 +27,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import checkpoint, column_values, map_arrow, slabs, small_batches, stage_folder, text_bytes, worker_tables
+from foliant.llm.common import checkpoint, column_values, map_arrow, remove_folder, slabs, small_batches, stage_folder, text_bytes, worker_tables
 from foliant.llm.components import least_members
-from foliant.llm.shingles import LOWER, SLAB, Powers, Shingled, least_shared, prefix_lengths, shingled, similar
+from foliant.llm.shingles import CLASSES, LOWER, SLAB, Powers, Shingled, least_shared, may_be_similar, prefix_lengths, shingled, similar
 from foliant.llm.simhash import BUDGET, trie_links
 from foliant.llm.substrings import groups_of, pack_arrays, unpack_arrays
 
 SIZE, SIMILARITY = 5, 0.8
 SAMPLED, COMMON, COMMON_KEPT = 8192, 3, 65_536
-HELD_TOKENS = 300_000
-BUCKET_TOKENS = 400_000
-PAIRS_STEP = 1 << 20
-STAR_ROUNDS, STAR_LEAST = 6, 0.001
+HELD_TOKENS = 200_000
+BUCKET_TOKENS = 800_000
+PAIRS_STEP = 1 << 17
+STAR_ROUNDS, STAR_LEAST = 6, 0.05
 BROADCAST_ROWS = 1 << 18
 
 
@@ -80,14 +81,21 @@ def marked(rows: DataFrame, size: int, similarity: float, last: np.ndarray) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for part, texts, own in in_slabs(batches, size, last):
             prefix = own.parts(prefix_lengths(own.sizes, similarity))
-            arrays = [pa.array(map(text_class, texts), pa.int64()), pa.array(own.sizes.astype(np.int64)), pa.array(own.fingerprints().view(np.int64)), pa.array(prefix, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], *arrays], ["k1", "k2", "id", "node", "n", "fp", "prefix"])
+            odd = [words.tobytes() for words in own.parities()]
+            arrays = [pa.array(map(text_class, texts), pa.int64()), pa.array(own.sizes.astype(np.int64)), pa.array(own.fingerprints().view(np.int64)), pa.array(prefix, pa.binary()), pa.array(odd, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], *arrays], ["k1", "k2", "id", "node", "n", "fp", "prefix", "odd"])
 
-    return map_arrow(rows, "k1 long, k2 long, id long, node long, n long, fp long, prefix binary", run, "similar")
+    return map_arrow(rows, "k1 long, k2 long, id long, node long, n long, fp long, prefix binary, odd binary", run, "similar")
 
 
-def dealt_prefixes(classes: DataFrame, buckets: int) -> DataFrame:
-    """The prefixes of classes (node, label, n, prefix) by bucket: packed arrays of the classes, and of their shingles there."""
+def bucket_of(token: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each shingle, by ranges of the hash: prefixes hold the low quarter above all, which so gets four fifths of the buckets."""
+    part = (token >> np.uint64(32)).astype(np.float64) / 2**32
+    return np.minimum(np.where(part < 0.25, 3.2 * part, 0.8 + (part - 0.25) / 3.75) * buckets, buckets - 1).astype(np.int32)
+
+
+def dealt_prefixes(classes: DataFrame, buckets: int, with_odd: bool) -> DataFrame:
+    """The prefixes of classes (node, label, n, prefix, odd) by bucket: packed arrays of the classes, their parities if `with_odd`, and their shingles there."""
 
     def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if not rows:
@@ -95,7 +103,8 @@ def dealt_prefixes(classes: DataFrame, buckets: int) -> DataFrame:
         node, label, n = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2))
         token = np.concatenate([np.frombuffer(r[3], np.uint64) for r in rows])
         owner = np.repeat(np.arange(len(rows)), [len(r[3]) // 8 for r in rows])
-        bucket = ((token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+        odd = np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(-1, CLASSES // 64)
+        bucket = bucket_of(token, buckets)
         order = np.argsort(bucket, kind="stable")
         token, owner, bucket = token[order].astype(np.uint32), owner[order], bucket[order]
         out = []
@@ -104,15 +113,15 @@ def dealt_prefixes(classes: DataFrame, buckets: int) -> DataFrame:
             _, begin = groups_of(owner[a:b])
             own = owner[a:b][begin]
             counts = np.diff(begin, append=b - a).astype(np.int32)
-            out.append((int(bucket[a]), pack_arrays(node[own], label[own], n[own].astype(np.int32), counts), pack_arrays(token[a:b])))
+            out.append((int(bucket[a]), pack_arrays(node[own], label[own], n[own].astype(np.int32), counts), pack_arrays(odd[own].reshape(-1)) if with_odd else None, pack_arrays(token[a:b])))
         for k in range(0, len(out), 512):
             columns = zip(*out[k : k + 512])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "classes", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "classes", "odds", "tokens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for row in zip(*(column_values(batch, c) for c in ("node", "label", "n", "prefix"))):
+            for row in zip(*(column_values(batch, c) for c in ("node", "label", "n", "prefix", "odd"))):
                 if not row[3]:
                     continue
                 held.append(row)
@@ -122,7 +131,7 @@ def dealt_prefixes(classes: DataFrame, buckets: int) -> DataFrame:
                     held, size = [], 0
         yield from flush(held)
 
-    return map_arrow(classes.select("node", "label", "n", "prefix"), "bucket int, classes binary, tokens binary", run, "similar")
+    return map_arrow(classes.select("node", "label", "n", "prefix", "odd"), "bucket int, classes binary, odds binary, tokens binary", run, "similar")
 
 
 def crossing_pairs(token: np.ndarray, owner: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -157,16 +166,24 @@ def star_pairs(token: np.ndarray, owner: np.ndarray, label: np.ndarray, kind: np
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (kind[owner][1:] != kind[owner][:-1])
     head = owner[np.flatnonzero(new)][np.cumsum(new) - 1]
-    apart = label[head] != label[owner]
-    yield head[apart], owner[apart]
+    apart = np.flatnonzero(label[head] != label[owner])
+    for k in range(0, len(apart), PAIRS_STEP):
+        part = apart[k : k + PAIRS_STEP]
+        yield head[part], owner[part]
 
 
 def shared_in_bucket(similarity: float, star: bool):
     """Counts, for one bucket, what pairs of classes of fitting sizes share: a, b, shared, least (what they must share in all); all pairs or stars."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [(*unpack_arrays(c, np.int64, np.int64, np.int32, np.int32), *unpack_arrays(t, np.uint32)) for batch in batches for c, t in zip(column_values(batch, "classes"), column_values(batch, "tokens"))]
+        found, odds = [], []
+        for batch in batches:
+            for classes, odd, tokens in zip(*(column_values(batch, k) for k in ("classes", "odds", "tokens"))):
+                found.append((*unpack_arrays(classes, np.int64, np.int64, np.int32, np.int32), *unpack_arrays(tokens, np.uint32)))
+                odds += unpack_arrays(odd, np.uint64) if odd else []
         node, label, n, counts, token = (np.concatenate(x) for x in zip(*found))
+        del found
+        odd = np.concatenate(odds).reshape(len(node), -1) if odds else None
         owner = np.repeat(np.arange(len(node)), counts)
         n = n.astype(np.int64)
         likes = np.floor(np.log(n) / -np.log(similarity)).astype(np.int64)  # sizes of one kind fit each other
@@ -174,6 +191,9 @@ def shared_in_bucket(similarity: float, star: bool):
             fits = np.minimum(n[left], n[right]) >= similarity * np.maximum(n[left], n[right]) - 1e-9
             pairs, shared = np.unique(np.minimum(left, right)[fits] * len(node) + np.maximum(left, right)[fits], return_counts=True)
             i, j = pairs // len(node), pairs % len(node)
+            if odd is not None:
+                near = may_be_similar(n[i], n[j], odd[i], odd[j], similarity)
+                i, j, shared = i[near], j[near], shared[near]
             a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
             least = least_shared(n[i], n[j], similarity)
             for k in range(0, len(a), 100_000):
@@ -217,18 +237,17 @@ def simhash_pairs(classes: DataFrame, budget: int) -> DataFrame:
     return same.unionByName(tied.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def similar_classes(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The rows (k1, k2, id, node), and the classes (node, least: the row of the least id, root: the component's node)."""
+def similar_classes(docs: DataFrame, folder: str, size: int = SIZE, similarity: float = SIMILARITY, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The rows (k1, k2, id, node), and the classes (node, least: the row of the least id, root: the component's node); both read tables written below `folder`."""
     spark = docs.sparkSession
     small_batches(spark)
-    folder = stage_folder(spark)
     rows = numbered_rows(docs, id_col, text_col)
     last = common_shingles(rows, size, docs.count())
     marked(rows, size, similarity, last).write.parquet(f"{folder}/marked")
     marks = spark.read.parquet(f"{folder}/marked")
     row = F.struct(F.col("id").isNull().alias("null"), "id", "k1", "k2")
     first = lambda c: F.first(c).alias(c)  # noqa: E731  the same for all rows of a class
-    marks.groupBy("node").agg(F.min(row).alias("least"), first("n"), first("fp"), first("prefix")).write.parquet(f"{folder}/classes")
+    marks.groupBy("node").agg(F.min(row).alias("least"), first("n"), first("fp"), first("prefix"), first("odd")).write.parquet(f"{folder}/classes")
     classes = spark.read.parquet(f"{folder}/classes")
     links = verified(spark, rows, classes, checkpoint(spark, simhash_pairs(classes, budget)), size, similarity)
     tokens = classes.agg(F.sum(F.length("prefix"))).first()[0] or 0
@@ -236,8 +255,8 @@ def similar_classes(docs: DataFrame, size: int = SIZE, similarity: float = SIMIL
 
     def more(links: DataFrame, star: bool) -> DataFrame:
         known = least_members(links).select("node", F.col("root").alias("label"))
-        labelled = classes.select("node", "n", "prefix").join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        dealt = dealt_prefixes(labelled, buckets).repartition(buckets, "bucket").groupBy("bucket")
+        labelled = classes.select("node", "n", "prefix", "odd").join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        dealt = dealt_prefixes(labelled, buckets, with_odd=not star).repartition(buckets, "bucket").groupBy("bucket")
         counted = dealt.applyInArrow(shared_in_bucket(similarity, star), "a long, b long, shared long, least long")
         pairs = counted.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least")).where("shared >= least").select("a", "b")
         return verified(spark, rows, classes, checkpoint(spark, pairs), size, similarity)
@@ -255,14 +274,23 @@ def similar_classes(docs: DataFrame, size: int = SIZE, similarity: float = SIMIL
 
 def similar_groups(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and component_id (smallest id in reach; null if none has one) of each row."""
-    marks, classes = similar_classes(docs, size, similarity, budget, id_col, text_col)
+    spark = docs.sparkSession
+    folder = stage_folder(spark)
+    marks, classes = similar_classes(docs, folder, size, similarity, budget, id_col, text_col)
     heads = classes.groupBy("root").agg(F.min("least.id").alias("component_id"))
-    return marks.join(classes.select("node", "root").join(heads, "root").select("node", "component_id"), "node").select(F.col("id").alias(id_col), "component_id")
+    groups = marks.join(classes.select("node", "root").join(heads, "root").select("node", "component_id"), "node").select(F.col("id").alias(id_col), "component_id")
+    groups = checkpoint(spark, groups)
+    remove_folder(spark, folder)
+    return groups
 
 
 def one_of_each(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row of the smallest id of each group, with all its columns; of rows with that id and text one stays."""
-    _, classes = similar_classes(docs, size, similarity, budget, id_col, text_col)
+    spark = docs.sparkSession
+    folder = stage_folder(spark)
+    _, classes = similar_classes(docs, folder, size, similarity, budget, id_col, text_col)
     kept = classes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.k1").alias("__k1"), F.col("least.k2").alias("__k2"))
+    kept = checkpoint(spark, kept)
+    remove_folder(spark, folder)
     keyed = docs.withColumns({"__k1": F.xxhash64(F.col(id_col).cast("long"), text_bytes(text_col)), "__k2": F.xxhash64(text_bytes(text_col), F.col(id_col).cast("long"), F.lit(1))})
     return keyed.join(kept, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(*docs.columns)

@@ -38,7 +38,7 @@ from foliant.llm.common import column_values, map_arrow, partitions_for, text_by
 WINDOW = 13
 BLOCK = 7  # a window of 2 * BLOCK - 1 words holds a whole block
 BUCKET_BYTES = 4 << 20
-FLUSH_WORDS = 400_000
+FLUSH_WORDS = 300_000
 
 #: Random odd factors of the rolling hash, by a fixed rule.
 MIX = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) * (k + 3) | 1) & (2**64 - 1) for k in range(64)], np.uint64)

@@ -152,3 +152,18 @@ def test_shingles_equal_plain_sets():
         assert n == len(plain(text)) == len(part) // 8
         assert names.setdefault(frozenset(plain(text)), part) == part
     assert len(set(names.values())) == len(names)
+
+
+def test_filters_never_lose_similar_sets():
+    rng = np.random.default_rng(3)
+    for n in (5, 9, 20, 60, 300):
+        pool = rng.integers(0, 2**63, 4 * n).astype(np.uint64)
+        sets = [np.unique(np.concatenate([pool[:n - k], pool[n + i * k : n + i * k + k]])) for k in range(0, max(2, n // 4)) for i in range(3)]
+        own = shingles.Shingled(np.concatenate(sets), np.array([len(s) for s in sets]))
+        odd, prefix = own.parities(), [set(np.frombuffer(p, np.uint64).tolist()) for p in own.parts(shingles.prefix_lengths(own.sizes, 0.8))]
+        for a in range(len(sets)):
+            for b in range(a):
+                if shingles.similar(sets[a], sets[b], 0.8):
+                    n_a, n_b = own.sizes[a : a + 1], own.sizes[b : b + 1]
+                    assert shingles.may_be_similar(n_a, n_b, odd[a : a + 1], odd[b : b + 1], 0.8).all()
+                    assert len(prefix[a] & prefix[b]) >= shingles.least_shared(n_a, n_b, 0.8)[0]
