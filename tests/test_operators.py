@@ -39,14 +39,16 @@ def test_paths(spark):
     rows = [("a/b.docx",), ("../x",), ("/abs",), ("_mirrors/a.md",), ("a/~$b.docx",), ("tools/x",), ("repos/r.md",)]
     assert values(spark, paths.ignored_reason(F.col("p")), rows, "p string") == [None, "unsafe-path", "unsafe-path", "office-mirror", "temporary", "operational", "repo-mirror"]
     assert values(spark, paths.excluded(F.col("p")), [("a/.git/x",), ("_archive_2/x",), ("a/b",)], "p string") == [True, True, False]
-    assert values(spark, paths.mirror_path(F.col("p")), [("a/b.docx",)], "p string") == ["_mirrors/a/b.md"]
+    assert values(spark, paths.mirror_path(F.col("p"), F.col("p").startswith("b")), [("a/b.docx",), ("b/c.pdf",)], "p string") == ["_mirrors/a/b.md", "_mirrors/b/c.mirror.md"]
+    assert values(spark, paths.ignored_reason(F.col("p")), [("a/_meta/x.md",), ("a/_archive2/x",), ("a/.x.swp",), ("a/.#x",), ("_fixtures/x",)], "p string") == ["operational", "operational", "temporary", "temporary", None]
+    assert values(spark, paths.excluded(F.col("p"), "overlap"), [("a/_fixtures/x",), ("_meta/x",), (".git/x",)], "p string") == [True, True, False]
 
 
 def test_links_fall_back_only_without_a_slash(spark):
     files = spark.createDataFrame([("a/x.md",), ("b/y.md",), ("b/x.md",), ("c.txt",)], "path string")
-    links = spark.createDataFrame([("a/n.md", "x"), ("b/n.md", "y"), ("z/n.md", "x"), ("a/n.md", "q/y"), ("a/n.md", "b/y"), ("a/n.md", "c.txt")], "src string, target string")
+    links = spark.createDataFrame([("a/n.md", "x"), ("z/n.md", "a/x"), ("a/n.md", "q/y"), ("a/n.md", "b/y"), ("a/n.md", "c.txt"), ("a/n.md", "c"), ("a/n.md", "y.md"), ("a/n.md", "../a/x")], "src string, target string")
     got = sorted((r.src, r.target, r.resolved or "", r.strategy or "") for r in graph.resolve_links(links, files).collect())
-    assert got == [("a/n.md", "b/y", "b/y.md", "path.md"), ("a/n.md", "c.txt", "c.txt", "path"), ("a/n.md", "q/y", "", ""), ("a/n.md", "x", "a/x.md", "folder"), ("b/n.md", "y", "b/y.md", "folder"), ("z/n.md", "x", "a/x.md", "stem"), ("z/n.md", "x", "b/x.md", "stem")]
+    assert got == [("a/n.md", "../a/x", "", ""), ("a/n.md", "b/y", "b/y.md", "path.md"), ("a/n.md", "c", "c.txt", "path.*"), ("a/n.md", "c.txt", "c.txt", "path"), ("a/n.md", "q/y", "", ""), ("a/n.md", "x", "a/x.md", "stem"), ("a/n.md", "x", "b/x.md", "stem"), ("a/n.md", "y.md", "b/y.md", "name"), ("z/n.md", "a/x", "a/x.md", "path.md")]
 
 
 def test_snapshot_diff_moves(spark):
