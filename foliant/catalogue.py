@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant import registry
-from foliant.operators import classify, diffs, files, graph, inventory, lint, overlap, records, screening, windows  # noqa: F401
+from foliant.operators import benchmarks, classify, diffs, files, graph, inventory, lint, overlap, records, screening, windows  # noqa: F401
 from foliant.sources import corpus  # noqa: F401
 from foliant.streaming import changes  # noqa: F401
 from foliant.plans import reports  # noqa: F401
