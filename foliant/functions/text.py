@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that never count as terms.
-STOP_WORDS = "about after again against also because before being between could during each from have into more must need only other over should than that their there these this through under using where which while with within without would".split()
+STOP_WORDS = [
+    "about", "after", "again", "against", "also", "because", "before", "being", "between", "could", "during", "each", "from", "have", "into", "more", "must", "need", "only", "other",
+    "over", "should", "than", "that", "their", "there", "these", "this", "through", "under", "using", "where", "which", "while", "with", "within", "without", "would",
+]
 
 #: Patterns that mark secrets, by label.
 SECRET_PATTERNS = {
@@ -18,14 +21,23 @@ SECRET_PATTERNS = {
     "slack token": r"\bxox[baprs]-[A-Za-z0-9-]{20,}\b",
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
 }
+#: The shape of payment cards and of terms, and what is taken out of a note before its terms, in this order.
 CARD_PATTERN = r"\b(?:\d[ -]*?){13,19}\b"
 TERM_PATTERN = "[a-z0-9][a-z0-9-]{2,}"
+NO_TERMS = [
+    (r"(?s)```.*?```", " "),
+    (r"`[^`]*`", " "),
+    (r"https?://\S+", " "),
+    (r"\[\[([^\]|#]+)(?:[#|][^\]]*)?\]\]", "$1"),
+    (r"!\[[^\]]*\]\([^)]+\)", " "),
+    (r"\[[^\]]+\]\([^)]+\)", " "),
+]
 
 
 def terms(text: Column) -> Column:
     """The distinct terms of a text without code, links and stop words."""
     plain = F.coalesce(text, F.lit(""))
-    for pattern, instead in ((r"(?s)```.*?```", " "), (r"`[^`]*`", " "), (r"https?://\S+", " "), (r"\[\[([^\]|#]+)(?:[#|][^\]]*)?\]\]", "$1"), (r"!\[[^\]]*\]\([^)]+\)", " "), (r"\[[^\]]+\]\([^)]+\)", " ")):
+    for pattern, instead in NO_TERMS:
         plain = F.regexp_replace(plain, pattern, instead)
     return F.array_except(F.regexp_extract_all(F.lower(plain), F.lit(TERM_PATTERN), F.lit(0)), F.array(*map(F.lit, STOP_WORDS)))
 
@@ -83,8 +95,20 @@ def slug(value: Column) -> Column:
 
 
 def css_fragment(value: Column) -> Column:
-    """Runs of other characters than letters and digits become `-`."""
-    return slug(value)
+    """Lower case, other characters than letters, digits, `-` and `_` as `-`, none at the ends; `unknown` if nothing is left."""
+    clean = F.regexp_replace(F.regexp_replace(F.lower(value), r"[^\p{L}\p{N}_-]", "-"), "^-+|-+$", "")
+    return F.when(clean == "", "unknown").otherwise(clean)
+
+
+def safe_identity(value: Column) -> Column:
+    """A file name of an identity: other characters than letters, digits, `-`, `_` and `.` as `-`; a hash if nothing is left."""
+    clean = F.regexp_replace(F.regexp_replace(trimmed(value), r"[^\p{L}\p{N}_.-]", "-"), "^[.-]+|[.-]+$", "")
+    return F.when(clean == "", F.left(F.sha2(value, 256), F.lit(20))).otherwise(clean)
+
+
+def href(path: Column) -> Column:
+    """A relative link to a path, with other characters than letters, digits and `/._-~` as percent codes."""
+    return F.concat(F.lit("./"), F.replace(F.replace(F.replace(F.url_encode(path), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/")), F.lit("%7E"), F.lit("~")))
 
 
 def humanize(stem: Column) -> Column:
@@ -108,9 +132,15 @@ def capped(text: Column, cap: int, mark: str) -> Column:
 
 
 def one_line(note: Column, cap: int = 400) -> Column:
-    """A note in one line; null if it is longer than `cap`."""
-    clean = trimmed(F.regexp_replace(F.coalesce(note, F.lit("")), r"\s+", " "))
-    return F.when(F.length(clean) <= cap, clean)
+    """A note without blanks at its ends; null if it has several lines or is longer than `cap`."""
+    clean = trimmed(F.coalesce(note, F.lit("")))
+    return F.when(~clean.contains("\n") & ~clean.contains("\r") & (F.length(clean) <= cap), clean)
+
+
+def note_problem(note: Column, cap: int = 400) -> Column:
+    """Why a note is refused; null if it is not."""
+    clean = trimmed(F.coalesce(note, F.lit("")))
+    return F.when(clean.contains("\n") | clean.contains("\r"), "several lines").when(F.length(clean) > cap, "too long")
 
 
 def table_cells(line: Column) -> Column:
@@ -133,6 +163,11 @@ def truth(value: Column) -> Column:
     return F.when(low.isin("1", "true", "yes", "on"), True).when(low.isin("0", "false", "no", "off"), False)
 
 
+def utc_parsed(text: Column) -> Column:
+    """The time of an ISO text; without a zone it is UTC; null if it is none."""
+    return F.try_to_timestamp(F.regexp_replace(text, "Z$", "+00:00"))
+
+
 def utc_text(at: Column) -> Column:
     return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
@@ -146,3 +181,20 @@ def generated_region(text: Column, sentinel: str) -> Column:
 def before_sentinel(text: Column, sentinel: str) -> Column:
     region = generated_region(text, sentinel)
     return F.when(region.isNull(), text).otherwise(F.left(text, F.length(text) - F.length(region)))
+
+
+def region_hash(text: Column, sentinel: str) -> Column:
+    """The SHA-256 of the generated region; null without one."""
+    return F.sha2(generated_region(text, sentinel), 256)
+
+
+def canonical_json(**fields: Column) -> Column:
+    """A JSON object of texts and structs with its keys in order, no blanks, and characters beyond ASCII as they are."""
+    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]))
+
+
+def dump_fields(fields: dict[str, Column]) -> Column:
+    """Frontmatter of scalar fields in their order; empty values as quotes, values that YAML reads as something else in quotes."""
+    quoted = lambda v: F.when(v == "", F.lit("''")).when(v.rlike(r"^[\s\-?:,\[\]{}#&*!|>'\"%@`]|: |:$| #|^[0-9.+-]+$|^(?i:true|false|null|yes|no|on|off|~)$"), F.concat(F.lit("'"), F.replace(v, F.lit("'"), F.lit("''")), F.lit("'"))).otherwise(v)
+    lines = [F.concat(F.lit(f"{k}: "), quoted(F.coalesce(v, F.lit("")))) for k, v in fields.items()]
+    return F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n"))

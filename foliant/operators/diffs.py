@@ -98,25 +98,28 @@ def manifest_noop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(same_content(rows, turned), same_content(rows, edited))], "same boolean, same_after_edit boolean")
 
 
-@query("""SELECT DISTINCT s_nationkey AS nation, 'added' AS kind FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9950)
-UNION ALL SELECT DISTINCT c_nationkey, 'removed' FROM customer WHERE c_acctbal > 9950 AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier)""")
+@query("""WITH c AS (SELECT DISTINCT CASE WHEN c_acctbal > 9950 THEN c_nationkey ELSE c_nationkey + 100 END AS k FROM customer), s AS (SELECT DISTINCT s_nationkey AS k FROM supplier) SELECT k AS nation, 'added' AS kind FROM s WHERE k NOT IN (SELECT k FROM c) UNION ALL SELECT k, 'removed' FROM c WHERE k NOT IN (SELECT k FROM s)""")
 def set_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a target set has more and less than the current one; the current one's keys follow a column's value."""
     target = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"))
-    current = table(spark, sf_dir, "customer").where("c_acctbal > 9950").select(F.col("c_nationkey").alias("nation"))
+    current = table(spark, sf_dir, "customer").select(F.when(F.col("c_acctbal") > 9950, F.col("c_nationkey")).otherwise(F.col("c_nationkey") + 100).alias("nation"))
     return target.subtract(current).withColumn("kind", F.lit("added")).union(current.subtract(target).withColumn("kind", F.lit("removed")))
 
 
-@query("""WITH a AS (SELECT s_suppkey AS k, s_name AS v FROM supplier), b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'Supplier#' ELSE c_name END AS v FROM customer WHERE c_nationkey < 5)
+@query("""WITH a AS (SELECT s_suppkey AS k, s_name AS v FROM supplier), b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'Supplier#' WHEN c_nationkey < 5 THEN (SELECT any_value(s_name) FROM supplier WHERE s_suppkey = c_custkey) ELSE c_name END AS v FROM customer)
 SELECT CASE WHEN a.k IS NULL THEN 'extra' WHEN b.k IS NULL THEN 'missing' WHEN a.v = b.v THEN 'same' ELSE 'drift' END AS kind, count(*) AS n FROM a FULL JOIN b ON a.k = b.k GROUP BY 1""")
 def copy_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of two trees by path: those only in one, and those whose content differs."""
     a = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("a"))
-    b = table(spark, sf_dir, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 2 == 0, "Supplier#").otherwise(F.col("c_name")).alias("b"))
-    kind = F.when(F.col("a").isNull(), "extra").when(F.col("b").isNull(), "missing").when(F.col("a") == F.col("b"), "same").otherwise("drift")
-    return a.join(b, "k", "full").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    customers = table(spark, sf_dir, "customer").join(a.select(F.col("k").alias("c_custkey"), F.col("a").alias("same")), "c_custkey", "left")
+    b = customers.select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 2 == 0, "Supplier#").when(F.col("c_nationkey") < 5, F.col("same")).otherwise(F.col("c_name")).alias("b"))
+    kind = F.when(~F.col("in_b"), "missing").when(~F.col("in_a"), "extra").when(F.col("a") == F.col("b"), "same").otherwise("drift")
+    joined = a.withColumn("in_a", F.lit(True)).join(b.withColumn("in_b", F.lit(True)), "k", "full").na.fill(False, ["in_a", "in_b"])
+    return joined.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT o_orderkey AS id, CASE WHEN o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 13) THEN 'source_missing' ELSE o_orderstatus END AS lifecycle_state FROM orders""")
+@query("""SELECT o_orderkey AS id, CASE WHEN o_custkey NOT IN (SELECT CASE WHEN c_nationkey < 13 THEN c_custkey ELSE -c_custkey END FROM customer) THEN 'source_missing' ELSE o_orderstatus END AS lifecycle_state FROM orders""")
 def missing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("key"), F.col("o_orderstatus").alias("lifecycle_state"))
-    seen = table(spark, sf_dir, "customer").where("c_nationkey < 13").select(F.col("c_custkey").alias("key"))
+    seen = table(spark, sf_dir, "customer").select(F.when(F.col("c_nationkey") < 13, F.col("c_custkey")).otherwise(-F.col("c_custkey")).alias("key"))
     return mark_missing(manifest, seen, "key").select("id", "lifecycle_state")

@@ -1,8 +1,4 @@
-"""The change feed as Structured Streaming: normalise, coalesce, enqueue once, claim, finish; and settle detection with state.
-
-The journal is a versioned Parquet table: each micro-batch reads the last version, merges, writes
-the next, keyed by the batch's number so that a repeated batch writes the same version.
-"""
+"""The change feed as Structured Streaming: normalise, coalesce, queue once in the journal; settle detection with state and timers."""
 
 from __future__ import annotations
 
@@ -10,17 +6,13 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import paths
+from foliant.operators.diffs import SNAPSHOTS_SQL, snapshot_diff, snapshots
 from foliant.registry import query, table
-
-KINDS = ["created", "modified", "moved", "deleted", "reconcile-required"]
-STATUSES = ["queued", "stabilizing", "ready", "processing", "applied", "review-required", "failed"]
-CLAIMABLE = ["queued", "ready"]
-OPEN = ["queued", "ready", "stabilizing", "processing", "failed"]
-JOURNAL = "sequence long, event_kind string, current_path string, previous_path string, observed_at timestamp, status string, retry_count int, error_summary string"
+from foliant.streaming.journal import KINDS, Journal, accepted, applied_manifest, claim, finish_counts, finish_status, high_water, materialize_sources, replay, unqueued
 
 
 def normalize(changes: DataFrame) -> DataFrame:
@@ -36,59 +28,30 @@ def coalesce(changes: DataFrame) -> DataFrame:
     return changes.groupBy(key.alias("key")).agg(F.min("n").alias("n"), last).select("n", "c.*")
 
 
-def enqueue(journal: DataFrame, changes: DataFrame) -> DataFrame:
-    """New journal rows for changes that no open row has already; sequences go on after the journal's highest."""
-    same = [F.col("c.event_kind") == F.col("j.event_kind"), F.col("c.current_path").eqNullSafe(F.col("j.current_path")), F.col("c.previous_path").eqNullSafe(F.col("j.previous_path"))]
-    fresh = changes.alias("c").join(journal.where(F.col("status").isin(OPEN)).alias("j"), same, "left_anti")
-    start = journal.agg(F.coalesce(F.max("sequence"), F.lit(0)).alias("s")).first()["s"]
-    order = F.row_number().over(Window.orderBy("n"))  # one micro-batch after coalescing
-    return fresh.select((F.lit(start) + order).cast("long").alias("sequence"), "event_kind", "current_path", "previous_path", "observed_at", F.lit("queued").alias("status"), F.lit(0).alias("retry_count"), F.lit(None).cast("string").alias("error_summary"))
-
-
-def claim(journal: DataFrame, count: int) -> DataFrame:
-    """The claimable rows of lowest sequence, as processing."""
-    return journal.where(F.col("status").isin(CLAIMABLE)).orderBy("sequence").limit(count).withColumn("status", F.lit("processing"))
-
-
-def finish(journal: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """The journal with the outcomes (sequence, new_status, error) of claimed rows."""
-    merged = journal.join(outcomes, "sequence", "left")
-    return merged.withColumn("status", F.coalesce("new_status", "status")).withColumn("error_summary", F.coalesce(F.left("error", F.lit(160)), "error_summary")).select(journal.columns)
+def native_changes(events: DataFrame) -> DataFrame:
+    """What a file watcher reports (event_type, is_directory, src_path, dest_path, observed_at, n) as changes; folders and other types are dropped."""
+    kind = F.when(F.col("event_type").isin("created", "moved", "deleted"), F.col("event_type")).when(F.col("event_type").isin("modified", "closed", "opened"), "modified")
+    rows = events.where(~F.col("is_directory")).withColumn("event_kind", kind).where("event_kind is not null")
+    current = F.when(F.col("event_kind") == "moved", F.col("dest_path")).when(F.col("event_kind") != "deleted", F.col("src_path"))
+    previous = F.when(F.col("event_kind").isin("moved", "deleted"), F.col("src_path"))
+    return rows.select("event_kind", current.alias("current_path"), previous.alias("previous_path"), "observed_at", "n")
 
 
-def recover(journal: DataFrame, retry_failed: bool = False) -> DataFrame:
-    """Interrupted rows, and failed ones on demand, go back to the queue with one more retry."""
-    again = F.col("status").isin(["processing", "failed"] if retry_failed else ["processing"])
-    return journal.withColumn("retry_count", F.col("retry_count") + F.when(again, 1).otherwise(0)).withColumn("status", F.when(again, "queued").otherwise(F.col("status")))
+def static_feed(spark: SparkSession, changes: list[tuple]) -> DataFrame:
+    """A list of changes (event_kind, current_path, previous_path, observed_at) as a feed."""
+    return spark.createDataFrame([(*c, n) for n, c in enumerate(changes)], "event_kind string, current_path string, previous_path string, observed_at timestamp, n long")
 
 
-def high_water(journal: DataFrame) -> DataFrame:
-    """The highest sequence, the highest applied one, and the one up to which all are applied."""
-    least_open = F.min(F.when(F.col("status") != "applied", F.col("sequence")))
-    return journal.agg(F.max("sequence").alias("last_observed"), F.max(F.when(F.col("status") == "applied", F.col("sequence"))).alias("last_applied"), F.coalesce(least_open - 1, F.max("sequence")).alias("applied_up_to"))
+def watched_files(spark: SparkSession, root: str) -> DataFrame:
+    """New files below a folder as a stream of changes; contents are not read."""
+    found = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    path = F.replace(F.col("path"), F.lit(f"{root.rstrip('/')}/"), F.lit(""))
+    return found.select(F.lit("modified").alias("event_kind"), F.regexp_replace(path, "^[a-z]+:", "").alias("current_path"), F.lit(None).cast("string").alias("previous_path"), F.col("modificationTime").alias("observed_at"), F.unix_micros("modificationTime").alias("n"))
 
 
-class Journal:
-    """Versions of the journal table in one folder of the shared storage."""
-
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder, self.version = spark, folder, -1
-
-    def read(self) -> DataFrame:
-        if self.version < 0:
-            return self.spark.createDataFrame([], JOURNAL)
-        return self.spark.read.schema(JOURNAL).parquet(f"{self.folder}/v{self.version}")
-
-    def write(self, rows: DataFrame, version: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.folder}/v{version}")
-        self.version = version
-
-    def apply(self, batch: DataFrame, batch_id: int) -> None:
-        """One micro-batch: normalise, coalesce, enqueue once.  The same batch again writes the same version."""
-        if batch_id == self.version and batch_id >= 0:
-            return
-        journal = self.read()
-        self.write(journal.unionByName(enqueue(journal, coalesce(normalize(batch)))), batch_id)
+def queue_batches(journal: Journal):
+    """A function for foreachBatch that normalises, coalesces and queues."""
+    return lambda batch, batch_id: journal.append(coalesce(normalize(batch)), batch_id)
 
 
 def observed(events: DataFrame) -> DataFrame:
@@ -103,42 +66,54 @@ def folder(spark: SparkSession) -> str:
     return f"{(named or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/foliant-stream-{uuid.uuid4().hex}"
 
 
-@query("""WITH c AS (SELECT event_id AS n, ts, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' WHEN 'purchase' THEN 'moved' ELSE 'modified' END AS kind, 'notes/' || user_id || '.md' AS p FROM events),
-k AS (SELECT min(n) AS n, arg_max(kind, (ts, n)) AS kind, any_value(p) AS p FROM c GROUP BY CASE WHEN kind = 'deleted' THEN '-old/' || p ELSE p END)
-SELECT row_number() OVER (ORDER BY n) AS sequence, kind AS event_kind, CASE WHEN kind <> 'deleted' THEN p END AS current_path, CASE WHEN kind IN ('deleted', 'moved') THEN 'old/' || p END AS previous_path, 'queued' AS status FROM k""")
-def stream_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The change feed as a file stream, run to its end in one trigger; the journal's rows."""
+CHANGES_SQL = """c AS (SELECT event_id AS n, ts, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' WHEN 'purchase' THEN 'moved' ELSE 'modified' END AS kind, 'notes/' || user_id || '.md' AS p FROM events),
+k AS (SELECT min(n) AS n, arg_max(kind, (ts, n)) AS kind, any_value(p) AS p FROM c GROUP BY CASE WHEN kind = 'deleted' THEN '-old/' || p ELSE p END),
+j AS (SELECT row_number() OVER (ORDER BY n) AS sequence, kind, p FROM k)"""
+
+
+def streamed_journal(spark: SparkSession, sf_dir: str) -> Journal:
+    """The journal after the events table ran through the stream to its end."""
     place = folder(spark)
     journal = Journal(spark, f"{place}/journal")
-    schema = table(spark, sf_dir, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    running = observed(source).writeStream.foreachBatch(journal.apply).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    running = observed(source).writeStream.foreachBatch(queue_batches(journal)).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
     running.awaitTermination()
-    return journal.read().select("sequence", "event_kind", "current_path", "previous_path", "status")
+    return journal
+
+
+@query(f"""WITH {CHANGES_SQL} SELECT sequence, kind AS event_kind, CASE WHEN kind <> 'deleted' THEN p END AS current_path, CASE WHEN kind IN ('deleted', 'moved') THEN 'old/' || p END AS previous_path, 'queued' AS status FROM j""")
+def stream_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change feed as a file stream, run to its end in one trigger; the journal's rows."""
+    return streamed_journal(spark, sf_dir).read().select("sequence", "event_kind", "current_path", "previous_path", "status")
 
 
 def settle(changes: DataFrame, seconds: int) -> DataFrame:
-    """Stateful settle detection: a key's change is out once none followed for so long, by the keys' own times."""
+    """A key's change (key, n, observed_at) is out once none followed for so long: at the next change, or when the watermark passes."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterable[pd.DataFrame]:
-        held = list(state.get) if state.exists else None
-        out = []
+        if state.hasTimedOut:
+            n = state.get[0]
+            state.remove()
+            yield pd.DataFrame([(key[0], n)], columns=["key", "n"])
+            return
+        held = state.get if state.exists else None
         rows = pd.concat(list(batches)).sort_values(["observed_at", "n"])
-        for n, at in zip(rows["n"], rows["observed_at"].astype("int64") // 1000):
-            if held is not None and at - held[1] >= seconds * 1_000_000:
-                out.append((key[0], held[0]))
-            held = [int(n), int(at)]
-        state.update((held[0], held[1]))
+        at, n = rows["observed_at"].astype("int64").to_numpy() // 1000, rows["n"].to_numpy()
+        if held is not None:
+            at, n = [held[1], *at], [held[0], *n]
+        out = [(key[0], int(n[k])) for k in range(len(n) - 1) if at[k + 1] - at[k] >= seconds * 1_000_000]
+        state.update((int(n[-1]), int(at[-1])))
+        state.setTimeoutTimestamp(max(int(at[-1]) // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["key", "n"])
 
-    return changes.groupBy("key").applyInPandasWithState(step, "key string, n long", "n long, at long", "append", "NoTimeout")
+    return changes.withWatermark("observed_at", "0 seconds").groupBy("key").applyInPandasWithState(step, "key string, n long", "n long, at long", "append", "EventTimeTimeout")
 
 
-@query("""WITH e AS (SELECT 'notes/' || user_id AS key, event_id AS n, epoch_us(ts) AS us, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_us FROM events) SELECT key, n FROM e WHERE next_us - us >= 7200000000""")
+@query("""WITH e AS (SELECT 'notes/' || user_id AS key, event_id AS n, epoch_us(ts) AS us, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_us, max(epoch_us(ts)) OVER () AS last_us FROM events) SELECT key, n FROM e WHERE next_us - us >= 7200000000 OR (next_us IS NULL AND us // 1000 + 7200000 < last_us // 1000)""")
 def stream_settle(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = folder(spark)
     source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    keyed = source.select(F.concat(F.lit("notes/"), F.col("user_id")).alias("key"), F.col("event_id").alias("n"), F.col("ts").alias("observed_at"))
+    keyed = source.select(F.concat(F.lit("notes/"), F.col("user_id")).alias("key"), F.col("event_id").alias("n"), F.col("ts").cast("timestamp").alias("observed_at"))
     running = settle(keyed, 7200).writeStream.format("parquet").option("path", f"{place}/settled").option("checkpointLocation", f"{place}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.read.schema("key string, n long").parquet(f"{place}/settled")
@@ -151,15 +126,96 @@ def journal_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claim(journal, 100).agg(F.count(F.lit(1)).alias("n_claimed"), F.min("sequence").alias("first"), F.max("sequence").alias("last"))
 
 
-@query("""WITH j AS (SELECT event_id AS s, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'processing' ELSE 'applied' END AS status FROM events)
-SELECT CASE WHEN status = 'applied' THEN 'applied' ELSE 'queued' END AS status, count(*) AS n, sum(CASE WHEN status = 'applied' THEN 0 ELSE 1 END)::BIGINT AS retries FROM j GROUP BY 1""")
+REPLAY_SQL = f"""{CHANGES_SQL}, o AS (SELECT sequence, kind, CASE WHEN kind = 'deleted' THEN 'review-required' WHEN sequence % 4 = 0 THEN 'failed' ELSE 'applied' END AS status FROM j)"""
+
+
+def _materialize(events: DataFrame) -> DataFrame:
+    result = F.when(F.col("event_kind") == "deleted", "skipped:no-record").when(F.col("sequence") % 4 == 0, "unstable").otherwise("created(.mirror.md)")
+    return events.select("sequence", result.alias("result"))
+
+
+@query(f"""WITH {REPLAY_SQL} SELECT status, count(*) AS n, CASE WHEN status = 'failed' THEN 2 * count(*) ELSE count(*) FILTER (sequence <= 3) END AS retries FROM o GROUP BY status""")
 def journal_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.col("event_type")
-    journal = table(spark, sf_dir, "events").select(F.col("event_id").alias("sequence"), F.when(kind == "error", "failed").when(kind == "view", "processing").otherwise("applied").alias("status"), F.lit(0).alias("retry_count"))
-    return recover(journal, retry_failed=True).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("retry_count").alias("retries"))
+    """A journal whose first three events were interrupted, replayed twice, the second time with the failed ones again, after a restart each time."""
+    journal = streamed_journal(spark, sf_dir)
+    first = journal.read().orderBy("sequence").limit(3)
+    journal.change(first.select("sequence", F.lit("processing").alias("status"), F.lit(None).cast("string").alias("error_summary")))
+    replay(Journal(spark, journal.folder), "a", _materialize)
+    replay(Journal(spark, journal.folder), "b", _materialize, retry_failed=True)
+    done = Journal(spark, journal.folder).read()
+    late = F.when((F.col("status") == "failed"), F.when(F.col("sequence") <= 3, F.col("retry_count")).otherwise(F.col("retry_count") + 1)).otherwise(F.col("retry_count"))
+    return done.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum(late).cast("long").alias("retries"))
+
+
+@query(f"""WITH {REPLAY_SQL} SELECT count(*) AS processed, count(*) FILTER (status = 'applied') AS applied, count(*) FILTER (status = 'review-required') AS review_required, count(*) FILTER (status = 'failed') AS failed FROM o""")
+def journal_finish_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How a replay ended; outcomes of events that are not processing are refused."""
+    journal = streamed_journal(spark, sf_dir)
+    held = claim(journal.read(), 1 << 30)
+    outcomes = finish_status(_materialize(held))
+    strangers = outcomes.select((F.col("sequence") + 1_000_000_000).alias("sequence"), "status", "error_summary")
+    return finish_counts(accepted(held, outcomes.unionByName(strangers)))
 
 
 @query("""WITH j AS (SELECT event_id AS s, event_type = 'view' AS done FROM events) SELECT max(s) AS last_observed, max(CASE WHEN done THEN s END) AS last_applied, coalesce(min(CASE WHEN NOT done THEN s END) - 1, max(s)) AS applied_up_to FROM j""")
 def journal_high_water(spark: SparkSession, sf_dir: str) -> DataFrame:
     journal = table(spark, sf_dir, "events").select(F.col("event_id").alias("sequence"), F.when(F.col("event_type") == "view", "applied").otherwise("queued").alias("status"))
     return high_water(journal)
+
+
+NATIVE = {"event_type": "CASE event_id % 8 WHEN 0 THEN 'created' WHEN 1 THEN 'moved' WHEN 2 THEN 'deleted' WHEN 3 THEN 'closed' WHEN 4 THEN 'opened' WHEN 5 THEN 'modified' WHEN 6 THEN 'accessed' ELSE 'modified' END", "is_directory": "event_id % 11 = 0", "src_path": "'a/' || user_id", "dest_path": "'b/' || user_id", "observed_at": "ts", "n": "event_id"}
+
+
+@query("WITH e AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in NATIVE.items()) + """ FROM events) SELECT n, CASE WHEN event_type IN ('created', 'moved', 'deleted') THEN event_type ELSE 'modified' END AS event_kind, CASE event_type WHEN 'moved' THEN dest_path WHEN 'deleted' THEN NULL ELSE src_path END AS current_path,
+CASE WHEN event_type IN ('moved', 'deleted') THEN src_path END AS previous_path FROM e WHERE NOT is_directory AND event_type <> 'accessed'""")
+def native_event_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").selectExpr(*[f"{e} AS {c}" for c, e in NATIVE.items()])
+    return native_changes(events).select("n", "event_kind", "current_path", "previous_path")
+
+
+@query(f"""WITH {SNAPSHOTS_SQL}, found AS (SELECT n.path, NULL::VARCHAR AS previous_path, 'modified' AS kind FROM now n JOIN rec r USING (path) WHERE n.size <> r.size UNION ALL SELECT path, CASE WHEN turn = 1 THEN prev END, CASE WHEN turn = 1 THEN 'moved' ELSE 'created' END FROM turns UNION ALL SELECT path, NULL, CASE WHEN n = 0 THEN 'created' ELSE 'reconcile-required' END FROM cand WHERE n <> 1
+UNION ALL SELECT NULL, path, 'deleted' FROM gone g WHERE path NOT IN (SELECT prev FROM turns) AND NOT EXISTS (SELECT 1 FROM cand c JOIN fresh f USING (path) WHERE c.n > 1 AND f.size = g.size AND f.sha = g.sha))
+SELECT kind, count(*) AS found, count(*) FILTER (NOT (kind = 'modified' AND starts_with(path, 'en/'))) AS queued FROM found GROUP BY kind""")
+def reconciled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reconciliation finds by kind, and what of it is queued as no open event says it already."""
+    found = snapshot_diff(*snapshots(spark, sf_dir)).select(F.col("kind").alias("event_kind"), F.col("path").alias("current_path"), "previous_path")
+    journal = found.where("event_kind = 'modified' and current_path like 'en/%'").withColumn("status", F.lit("failed"))
+    queued = unqueued(journal, found).groupBy("event_kind").agg(F.count(F.lit(1)).alias("queued"))
+    counts = found.groupBy("event_kind").agg(F.count(F.lit(1)).alias("found")).join(queued, "event_kind", "left")
+    return counts.select(F.col("event_kind").alias("kind"), "found", F.coalesce("queued", F.lit(0)).alias("queued"))
+
+
+MANIFEST_SQL = """files AS (SELECT 'notes/' || c_custkey || '.md' AS path, md5(c_name) AS sha, c_acctbal > 0 AS stable FROM customer), man AS (SELECT 'src_' || c_custkey AS source_id, CASE WHEN c_nationkey % 4 = 0 THEN 'old/notes/' || c_custkey || '.md' ELSE 'notes/' || c_custkey || '.md' END AS path, CASE WHEN c_nationkey % 3 = 0 THEN md5(c_name) ELSE 'x' END AS sha, 'stale' AS state FROM customer)"""
+
+
+def materialized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The manifest, the files and the results of the events on them."""
+    customers = table(spark, sf_dir, "customer")
+    path = F.concat(F.lit("notes/"), "c_custkey", F.lit(".md"))
+    files = customers.select(path.alias("path"), F.md5("c_name").alias("sha"), (F.col("c_acctbal") > 0).alias("stable"))
+    manifest = customers.select(F.concat(F.lit("src_"), "c_custkey").alias("source_id"), F.when(F.col("c_nationkey") % 4 == 0, F.concat(F.lit("old/"), path)).otherwise(path).alias("path"), F.when(F.col("c_nationkey") % 3 == 0, F.md5("c_name")).otherwise("x").alias("sha"), F.lit("stale").alias("state"))
+    events = coalesce(observed(table(spark, sf_dir, "events"))).select(F.col("n").alias("sequence"), "event_kind", "current_path", "previous_path")
+    return manifest, files, events.join(materialize_sources(manifest, files)(events), "sequence")
+
+
+RESULT_SQL = f"""{CHANGES_SQL}, {MANIFEST_SQL}, x AS (SELECT n AS sequence, kind, CASE WHEN kind <> 'deleted' THEN p END AS cur, CASE WHEN kind IN ('deleted', 'moved') THEN 'old/' || p END AS prev FROM k),
+m AS (SELECT path, arg_min(sha, (sha, source_id)) AS rsha FROM man GROUP BY path), res AS (SELECT x.*, CASE WHEN kind = 'deleted' THEN CASE WHEN rsha IS NULL THEN 'skipped:no-record' ELSE 'source-missing' END WHEN f.sha IS NULL THEN 'error: source missing' WHEN NOT f.stable THEN 'unstable' WHEN rsha IS NULL THEN 'created' WHEN rsha = f.sha THEN 'unchanged' ELSE 'updated' END AS result
+FROM x LEFT JOIN files f ON f.path = coalesce(cur, prev) LEFT JOIN m ON m.path = coalesce(cur, prev))"""
+
+
+@query(f"WITH {RESULT_SQL} SELECT sequence, kind AS event_kind, result FROM res")
+def materialized_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What processing each coalesced event did."""
+    return materialized(spark, sf_dir)[2].select("sequence", "event_kind", "result")
+
+
+@query(f"""WITH {RESULT_SQL}, ap AS (SELECT * FROM res WHERE result IN ('created', 'updated', 'unchanged', 'source-missing')), g AS (SELECT DISTINCT prev AS path FROM ap WHERE kind = 'deleted'), ch AS (SELECT DISTINCT cur AS path, f.sha FROM ap JOIN files f ON f.path = cur WHERE kind <> 'deleted')
+SELECT source_id, man.path, coalesce(ch.sha, man.sha) AS sha, CASE WHEN g.path IS NOT NULL THEN 'source_missing' WHEN ch.sha IS NOT NULL THEN 'clean' ELSE state END AS state FROM man LEFT JOIN g ON g.path = man.path LEFT JOIN ch ON ch.path = man.path
+UNION ALL SELECT 'src_' || left(sha256(path || chr(0) || sha), 20), path, sha, 'clean' FROM ch WHERE path NOT IN (SELECT path FROM man)""")
+def materialized_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest after all applied events; deletes leave tombstones."""
+    manifest, files, results = materialized(spark, sf_dir)
+    applied = finish_status(results).where("status = 'applied'").select("sequence")
+    return applied_manifest(manifest, results.join(applied, "sequence", "left_semi"), files)
+
+
