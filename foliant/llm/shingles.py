@@ -32,10 +32,11 @@ class Powers:
 
 @dataclass
 class Shingled:
-    """The distinct shingle hashes of texts, text by text, in the order of (in `last`, hash); `sizes` counts them."""
+    """The distinct shingle hashes of texts, text by text, in the order of (in `last`, hash); `sizes` counts them, `early` those not in `last`."""
 
     hashes: np.ndarray
     sizes: np.ndarray
+    early: np.ndarray
 
     @property
     def starts(self) -> np.ndarray:
@@ -46,6 +47,16 @@ class Shingled:
         counts = self.sizes if most is None else np.minimum(most, self.sizes)
         return [self.hashes[a : a + n].tobytes() for a, n in zip(self.starts.tolist(), counts.tolist())]
 
+    def heads(self, most: np.ndarray, count: int) -> np.ndarray:
+        """Each text's first `count` hashes that are not in `last`, and its first `count` in it, all among its first `most`; zeros fill up."""
+        rows = np.zeros((len(self.sizes), 2 * count), np.uint64)
+        ends = np.minimum(most, self.sizes)
+        for begin, end, columns in ((np.zeros_like(ends), np.minimum(ends, self.early), slice(0, count)), (self.early, ends, slice(count, 2 * count))):
+            place = begin[:, None] + np.arange(count)
+            there = place < end[:, None]
+            rows[:, columns][there] = self.hashes[(self.starts[:, None] + place)[there]]
+        return rows
+
     def parities(self) -> np.ndarray:
         """For each text, CLASSES bits: whether the number of its hashes in that class is odd; as rows of 64-bit words."""
         place = np.repeat(np.arange(len(self.sizes)) * CLASSES, self.sizes) + (self.hashes % np.uint64(CLASSES)).astype(np.int64)
@@ -83,10 +94,10 @@ def shingled(texts: list[bytes], size: int, factors: Powers, last: np.ndarray |
     h, d = np.concatenate(hashes), np.concatenate(texts_of)
     late = np.zeros(len(h), bool) if last is None or not len(last) else last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h
     order = np.lexsort((h, late, d))
-    h, d = h[order], d[order]
+    h, d, late = h[order], d[order], late[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    return Shingled(h[new], np.bincount(d[new], minlength=len(texts)))
+    return Shingled(h[new], np.bincount(d[new], minlength=len(texts)), np.bincount(d[new & ~late], minlength=len(texts)))
 
 
 def prefix_lengths(sizes: np.ndarray, similarity: float) -> np.ndarray:

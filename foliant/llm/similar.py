@@ -10,7 +10,8 @@ fingerprints save the pairs within large groups, which would grow with the squar
 
 The order of the prefixes puts the shingles last that are common in a bounded sample; it is exact in
 any order.  Prefix shingles are dealt into buckets as packed arrays, and a bucket counts what pairs
-of classes of fitting sizes share.
+of classes of fitting sizes share; a pair that shares one of the first shingles of its prefixes, rare or
+common, is named by that shingle's bucket alone.
 
 Cases: a null text counts as empty; texts without words are one class; rows that repeat an id with
 other texts are texts of their own; a null id comes after all others; empty tables give no rows;
@@ -31,14 +32,15 @@ from foliant.llm.common import checkpoint, column_values, map_arrow, remove_fold
 from foliant.llm.components import least_members
 from foliant.llm.shingles import CLASSES, LOWER, SLAB, Powers, Shingled, least_shared, may_be_similar, prefix_lengths, shingled, similar
 from foliant.llm.simhash import BUDGET, trie_links
-from foliant.llm.substrings import groups_of, pack_arrays, unpack_arrays
+from foliant.llm.substrings import MIX, groups_of, pack_arrays, unpack_arrays
 
 SIZE, SIMILARITY = 5, 0.8
 SAMPLED, COMMON, COMMON_KEPT = 8192, 3, 65_536
 HELD_TOKENS = 200_000
 BUCKET_TOKENS = 800_000
 PAIRS_STEP = 1 << 17
-STAR_ROUNDS, STAR_LEAST = 6, 0.05
+HEADS = 3
+STAR_ROUNDS, STAR_LEAST = 8, 0.005
 BROADCAST_ROWS = 1 << 18
 
 
@@ -76,12 +78,13 @@ def common_shingles(rows: DataFrame, size: int, count: int) -> np.ndarray:
 
 
 def marked(rows: DataFrame, size: int, similarity: float, last: np.ndarray) -> DataFrame:
-    """Each row's key and id with its class (node), number of shingles (n), fingerprint (fp) and prefix."""
+    """Each row's key and id with its class (node), number of shingles (n), fingerprint (fp), prefix, and `odd`: parities and the prefix's first rare and common shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for part, texts, own in in_slabs(batches, size, last):
-            prefix = own.parts(prefix_lengths(own.sizes, similarity))
-            odd = [words.tobytes() for words in own.parities()]
+            lengths = prefix_lengths(own.sizes, similarity)
+            prefix = own.parts(lengths)
+            odd = [words.tobytes() for words in np.concatenate([own.parities(), own.heads(lengths, HEADS)], axis=1)]
             arrays = [pa.array(map(text_class, texts), pa.int64()), pa.array(own.sizes.astype(np.int64)), pa.array(own.fingerprints().view(np.int64)), pa.array(prefix, pa.binary()), pa.array(odd, pa.binary())]
             yield pa.RecordBatch.from_arrays([*part.columns[:3], *arrays], ["k1", "k2", "id", "node", "n", "fp", "prefix", "odd"])
 
@@ -94,8 +97,8 @@ def bucket_of(token: np.ndarray, buckets: int) -> np.ndarray:
     return np.minimum(np.where(part < 0.25, 3.2 * part, 0.8 + (part - 0.25) / 3.75) * buckets, buckets - 1).astype(np.int32)
 
 
-def dealt_prefixes(classes: DataFrame, buckets: int, with_odd: bool) -> DataFrame:
-    """The prefixes of classes (node, label, n, prefix, odd) by bucket: packed arrays of the classes, their parities if `with_odd`, and their shingles there."""
+def dealt_prefixes(classes: DataFrame, buckets: int) -> DataFrame:
+    """The prefixes of classes (node, label, n, prefix, odd) by bucket: packed arrays of the classes, their parities, and their shingles there."""
 
     def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if not rows:
@@ -103,7 +106,7 @@ def dealt_prefixes(classes: DataFrame, buckets: int, with_odd: bool) -> DataFram
         node, label, n = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2))
         token = np.concatenate([np.frombuffer(r[3], np.uint64) for r in rows])
         owner = np.repeat(np.arange(len(rows)), [len(r[3]) // 8 for r in rows])
-        odd = np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(-1, CLASSES // 64)
+        odd = np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(-1, CLASSES // 64 + 2 * HEADS)
         bucket = bucket_of(token, buckets)
         order = np.argsort(bucket, kind="stable")
         token, owner, bucket = token[order].astype(np.uint32), owner[order], bucket[order]
@@ -113,7 +116,7 @@ def dealt_prefixes(classes: DataFrame, buckets: int, with_odd: bool) -> DataFram
             _, begin = groups_of(owner[a:b])
             own = owner[a:b][begin]
             counts = np.diff(begin, append=b - a).astype(np.int32)
-            out.append((int(bucket[a]), pack_arrays(node[own], label[own], n[own].astype(np.int32), counts), pack_arrays(odd[own].reshape(-1)) if with_odd else None, pack_arrays(token[a:b])))
+            out.append((int(bucket[a]), pack_arrays(node[own], label[own], n[own].astype(np.int32), counts), pack_arrays(odd[own].reshape(-1)), pack_arrays(token[a:b])))
         for k in range(0, len(out), 512):
             columns = zip(*out[k : k + 512])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "classes", "odds", "tokens"])
@@ -159,9 +162,9 @@ def crossing_pairs(token: np.ndarray, owner: np.ndarray, label: np.ndarray) -> I
         start = stop
 
 
-def star_pairs(token: np.ndarray, owner: np.ndarray, label: np.ndarray, kind: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each token and kind of owner: all its owners with the one of the least label, where labels differ."""
-    order = np.lexsort((owner, label[owner], kind[owner], token))
+def star_pairs(token: np.ndarray, owner: np.ndarray, label: np.ndarray, kind: np.ndarray, rank: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each token and kind of owner: all its owners with the first by rank of those of the least label, where labels differ."""
+    order = np.lexsort((rank[owner], label[owner], kind[owner], token))
     token, owner = token[order], owner[order]
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (kind[owner][1:] != kind[owner][:-1])
@@ -172,30 +175,41 @@ def star_pairs(token: np.ndarray, owner: np.ndarray, label: np.ndarray, kind: np
         yield head[part], owner[part]
 
 
-def shared_in_bucket(similarity: float, star: bool):
-    """Counts, for one bucket, what pairs of classes of fitting sizes share: a, b, shared, least (what they must share in all); all pairs or stars."""
+def first_shared(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The least value but zero that both rows hold, row by row; zero if there is none."""
+    held = (left[:, :, None] == right[:, None, :]).any(axis=2) & (left > 0)
+    least = np.where(held, left, np.uint64(2**64 - 1)).min(axis=1)
+    return np.where(held.any(axis=1), least, np.uint64(0))
+
+
+def shared_in_bucket(similarity: float, turn: int | None, buckets: int):
+    """Counts, for one bucket, what pairs of classes of fitting sizes share: a, b, shared, least (what they must share in all); all pairs, or the stars of a turn, each of which has other heads."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, odds = [], []
+        found = []
         for batch in batches:
-            for classes, odd, tokens in zip(*(column_values(batch, k) for k in ("classes", "odds", "tokens"))):
-                found.append((*unpack_arrays(classes, np.int64, np.int64, np.int32, np.int32), *unpack_arrays(tokens, np.uint32)))
-                odds += unpack_arrays(odd, np.uint64) if odd else []
-        node, label, n, counts, token = (np.concatenate(x) for x in zip(*found))
+            for classes, odds, tokens in zip(*(column_values(batch, k) for k in ("classes", "odds", "tokens"))):
+                found.append((*unpack_arrays(classes, np.int64, np.int64, np.int32, np.int32), *unpack_arrays(odds, np.uint64), *unpack_arrays(tokens, np.uint32)))
+        node, label, n, counts, odd, token = (np.concatenate(x) for x in zip(*found))
         del found
-        odd = np.concatenate(odds).reshape(len(node), -1) if odds else None
+        odd, head = np.split(odd.reshape(len(node), -1), [CLASSES // 64], axis=1)
         owner = np.repeat(np.arange(len(node)), counts)
         n = n.astype(np.int64)
         likes = np.floor(np.log(n) / -np.log(similarity)).astype(np.int64)  # sizes of one kind fit each other
-        for left, right in star_pairs(token, owner, label, likes) if star else crossing_pairs(token, owner, label):
+        rank = (node.view(np.uint64) ^ MIX[turn or 0]) * MIX[1]
+        for left, right in crossing_pairs(token, owner, label) if turn is None else star_pairs(token, owner, label, likes, rank):
             fits = np.minimum(n[left], n[right]) >= similarity * np.maximum(n[left], n[right]) - 1e-9
             pairs, shared = np.unique(np.minimum(left, right)[fits] * len(node) + np.maximum(left, right)[fits], return_counts=True)
             i, j = pairs // len(node), pairs % len(node)
-            if odd is not None:
-                near = may_be_similar(n[i], n[j], odd[i], odd[j], similarity)
-                i, j, shared = i[near], j[near], shared[near]
+            near = may_be_similar(n[i], n[j], odd[i], odd[j], similarity)
+            i, j, shared = i[near], j[near], shared[near]
             a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
             least = least_shared(n[i], n[j], similarity)
+            both = first_shared(head[i], head[j])
+            named = both > 0
+            shared = np.where(named, least, shared)
+            here = ~named | (bucket_of(both, buckets) == key[0].as_py())
+            a, b, shared, least = a[here], b[here], shared[here], least[here]
             for k in range(0, len(a), 100_000):
                 part = slice(k, k + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array(x[part].astype(np.int64)) for x in (a, b, shared, least)], ["a", "b", "shared", "least"])
@@ -253,21 +267,21 @@ def similar_classes(docs: DataFrame, folder: str, size: int = SIZE, similarity:
     tokens = classes.agg(F.sum(F.length("prefix"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // 8 // BUCKET_TOKENS))
 
-    def more(links: DataFrame, star: bool) -> DataFrame:
+    def more(links: DataFrame, turn: int | None) -> DataFrame:
         known = least_members(links).select("node", F.col("root").alias("label"))
         labelled = classes.select("node", "n", "prefix", "odd").join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        dealt = dealt_prefixes(labelled, buckets, with_odd=not star).repartition(buckets, "bucket").groupBy("bucket")
-        counted = dealt.applyInArrow(shared_in_bucket(similarity, star), "a long, b long, shared long, least long")
+        dealt = dealt_prefixes(labelled, buckets).repartition(buckets, "bucket").groupBy("bucket")
+        counted = dealt.applyInArrow(shared_in_bucket(similarity, turn, buckets), "a long, b long, shared long, least long")
         pairs = counted.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least")).where("shared >= least").select("a", "b")
         return verified(spark, rows, classes, checkpoint(spark, pairs), size, similarity)
 
     few = STAR_LEAST * classes.count()
-    for _ in range(STAR_ROUNDS):
-        found = more(links, star=True)
+    for turn in range(STAR_ROUNDS):
+        found = more(links, turn)
         links = links.unionByName(found)
         if found.count() <= few:
             break
-    roots = least_members(links.unionByName(more(links, star=False)))
+    roots = least_members(links.unionByName(more(links, None)))
     tied = classes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     return marks.select("k1", "k2", "id", "node"), tied
 
@@ -285,12 +299,21 @@ def similar_groups(docs: DataFrame, size: int = SIZE, similarity: float = SIMILA
 
 
 def one_of_each(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of the smallest id of each group, with all its columns; of rows with that id and text one stays."""
+    """The row of the smallest id of each group, with all its columns; of rows with that id and text one stays.  Texts move only if more rows stay than may be broadcast, or if they repeat."""
     spark = docs.sparkSession
     folder = stage_folder(spark)
-    _, classes = similar_classes(docs, folder, size, similarity, budget, id_col, text_col)
-    kept = classes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.k1").alias("__k1"), F.col("least.k2").alias("__k2"))
-    kept = checkpoint(spark, kept)
+    marks, classes = similar_classes(docs, folder, size, similarity, budget, id_col, text_col)
+    keys = ["__k1", "__k2"]
+    repeated = marks.groupBy("k1", "k2").count().where("count > 1").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.lit(True).alias("__repeated"))
+    least = classes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.k1").alias("__k1"), F.col("least.k2").alias("__k2"))
+    kept = checkpoint(spark, least.join(repeated, keys, "left"))
     remove_folder(spark, folder)
+    again = kept.where("__repeated").count()
     keyed = docs.withColumns({"__k1": F.xxhash64(F.col(id_col).cast("long"), text_bytes(text_col)), "__k2": F.xxhash64(text_bytes(text_col), F.col(id_col).cast("long"), F.lit(1))})
-    return keyed.join(kept, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(*docs.columns)
+
+    def rows_of(wanted: DataFrame) -> DataFrame:
+        wanted = wanted.select(*keys)
+        return keyed.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, keys, "left_semi")
+
+    single = rows_of(kept.where("__repeated is null")).select(*docs.columns)
+    return single if not again else single.unionByName(rows_of(kept.where("__repeated")).dropDuplicates(keys).select(*docs.columns))

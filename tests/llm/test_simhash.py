@@ -159,7 +159,7 @@ def test_filters_never_lose_similar_sets():
     for n in (5, 9, 20, 60, 300):
         pool = rng.integers(0, 2**63, 4 * n).astype(np.uint64)
         sets = [np.unique(np.concatenate([pool[:n - k], pool[n + i * k : n + i * k + k]])) for k in range(0, max(2, n // 4)) for i in range(3)]
-        own = shingles.Shingled(np.concatenate(sets), np.array([len(s) for s in sets]))
+        own = shingles.Shingled(np.concatenate(sets), np.array([len(s) for s in sets]), np.array([len(s) for s in sets]))
         odd, prefix = own.parities(), [set(np.frombuffer(p, np.uint64).tolist()) for p in own.parts(shingles.prefix_lengths(own.sizes, 0.8))]
         for a in range(len(sets)):
             for b in range(a):
