@@ -1,4 +1,6 @@
+import math
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ PAGES = {
     6: ("<div hidden>no</div><main><section><h2>T</h2><p>Body, text. Here, it is.</p></section><aside>no</aside><form>no</form></main>", "T\nBody, text. Here, it is."),
     7: ("<ul><li>a<li>b</ul> a < b & c &am", "a\nb\na < b & c &am"),
     8: ("<nav><p>only menus</p></nav>", ""),
+    9: ("<div><a href=x>Home</a><a>News</a><a>Sport</a></div><div><p>This is the first, long paragraph of text. It has some sentences, and marks.</p><p>Second one, as well.</p></div>", "This is the first, long paragraph of text. It has some sentences, and marks.\nSecond one, as well."),
+    10: ("<article><h2>T</h2><p class=alert>Beware, of the dog. It bites, really.</p><fieldset>Kept, text.</fieldset><ul><li>item one</ul><p>Text, x.</p><math>x+y</math><section class=comments><p>Great, post. I liked it, a lot, really.</p></section></article><div>Ours is a short line.</div>", "T\nBeware, of the dog. It bites, really.\nKept, text.\nitem one\nText, x.\nx+y"),
 }
 
 
@@ -28,6 +32,34 @@ def test_main_text(spark):
     assert mainhtml.main_text(long).count("\n") == 19_999
 
 
+def test_scores_are_the_plain_ratios():
+    rng = random.Random(2)
+    for _ in range(60):
+        parts = [(rng.choice(["p", "div", "td", "span"]), rng.choice(["", " class=x"]), " ".join(rng.choice(["word", "a,", "end."]) for _ in range(rng.randint(1, 30)))) for _ in range(rng.randint(1, 12))]
+        page = mainhtml.Page("".join(f"<section><{t}{c}>{x}</{t}></section>" for t, c, x in parts))
+        order, seen = [], {}
+        for t, c, x in parts:
+            key = ("section", "") if t == "span" else (t, c)
+            if key not in seen:
+                order.append(key)
+            seen.setdefault(key, []).append(x)
+        length = [math.log(1 + sum(map(len, seen[k])) / len(seen[k])) for k in order]
+        marks = [math.log(1 + sum(x.count(",") + x.count(".") for x in seen[k]) / len(seen[k])) for k in order]
+        smooth = lambda r: [0.75 * r[i] + 0.125 * (r[max(0, i - 1)] + r[min(len(r) - 1, i + 1)]) for i in range(len(r))]
+        want = [a * (1 + b) for a, b in zip(smooth(length), smooth(marks))]
+        scores = mainhtml.path_scores(page)
+        assert all(abs(a - b) < 1e-9 for a, b in zip(scores.values(), want)) and len(scores) == len(want)
+        chosen = mainhtml.content_paths(page)
+        assert [p in chosen for p in scores] == [w >= 0.35 * max(want) for w in want]
+
+
+def test_depth_costs_no_more_than_length():
+    began = time.perf_counter()
+    assert mainhtml.main_text("<div>" * 100_000 + "text, here.") == "text, here."
+    assert mainhtml.main_text("<b>" * 100_000 + "text, here." + "</b>" * 100_000) == "text, here."
+    assert time.perf_counter() - began < 10
+
+
 def captures(spark, rows):
     schema = "record_id long, url string, captured long, kind string, etag string, last_modified string, payload_digest string, headers map<string,string>, bucket string"
     return spark.createDataFrame([(*r, "clash") for r in rows], schema)
@@ -91,5 +123,5 @@ def test_content_paths_decide_wherever_the_blocks_are():
     assert lines[:2] == ["Headline", "A lead, of some length, that says it all."] and len(lines) == 42
     second = "<div><p>The second part, which is short, ends here.</p></div>"
     assert mainhtml.main_text(f"<body><div>{prose}</div>{second}</body>").split("\n")[-1] == "The second part, which is short, ends here."
-    rejected = mainhtml.main_text("<article>" + "".join(f"<ul><li>x{i}</li></ul>" for i in range(9)) + f"<div><b>y</b></div>{prose * 3}</article>")
+    rejected = mainhtml.main_text("<body>" + "".join(f"<ul><li>x{i}</li></ul>" for i in range(9)) + f"<div><b>y</b></div>{prose * 3}</body>")
     assert "x1" not in rejected and "Sentence 39" in rejected
