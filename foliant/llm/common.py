@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -99,6 +100,12 @@ def checkpoint(spark: SparkSession, df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of plans that nothing refers to any more, which waits for the driver's garbage collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def stage_folder(spark: SparkSession) -> str:
     """A new folder for written stages in the shared folder."""
     return f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}"

@@ -57,11 +57,11 @@ class Shingled:
             rows[:, columns][there] = self.hashes[(self.starts[:, None] + place)[there]]
         return rows
 
-    def parities(self) -> np.ndarray:
-        """For each text, CLASSES bits: whether the number of its hashes in that class is odd; as rows of 64-bit words."""
-        place = np.repeat(np.arange(len(self.sizes)) * CLASSES, self.sizes) + (self.hashes % np.uint64(CLASSES)).astype(np.int64)
-        odd = (np.bincount(place, minlength=CLASSES * len(self.sizes)) & 1).astype(np.uint8)
-        return np.packbits(odd).view(np.uint64).reshape(-1, CLASSES // 64)
+    def parities(self, classes: int = CLASSES) -> np.ndarray:
+        """For each text, a bit for each hash class: whether the number of its hashes in it is odd; as rows of 64-bit words."""
+        place = np.repeat(np.arange(len(self.sizes)) * classes, self.sizes) + (self.hashes % np.uint64(classes)).astype(np.int64)
+        odd = (np.bincount(place, minlength=classes * len(self.sizes)) & 1).astype(np.uint8)
+        return np.packbits(odd).view(np.uint64).reshape(-1, classes // 64)
 
     def fingerprints(self) -> np.ndarray:
         """Each text's 64 bits that are set in over half of its hashes; zero without any."""

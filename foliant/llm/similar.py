@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import checkpoint, column_values, map_arrow, remove_folder, slabs, small_batches, stage_folder, text_bytes, worker_tables
+from foliant.llm.common import checkpoint, column_values, map_arrow, release, remove_folder, slabs, small_batches, stage_folder, text_bytes, worker_tables
 from foliant.llm.components import least_members
 from foliant.llm.shingles import CLASSES, LOWER, SLAB, Powers, Shingled, least_shared, may_be_similar, prefix_lengths, shingled, similar
 from foliant.llm.simhash import BUDGET, trie_links
@@ -37,9 +37,10 @@ from foliant.llm.substrings import MIX, groups_of, pack_arrays, unpack_arrays
 SIZE, SIMILARITY = 5, 0.8
 SAMPLED, COMMON, COMMON_KEPT = 8192, 3, 65_536
 HELD_TOKENS = 200_000
-BUCKET_TOKENS = 800_000
+BUCKET_TOKENS, LEAST_BUCKETS = 600_000, 24
 PAIRS_STEP = 1 << 17
 HEADS = 3
+WIDE = 1024
 STAR_ROUNDS, STAR_LEAST = 8, 0.005
 BROADCAST_ROWS = 1 << 18
 
@@ -86,9 +87,11 @@ def marked(rows: DataFrame, size: int, similarity: float, last: np.ndarray) -> D
             prefix = own.parts(lengths)
             odd = [words.tobytes() for words in np.concatenate([own.parities(), own.heads(lengths, HEADS)], axis=1)]
             arrays = [pa.array(map(text_class, texts), pa.int64()), pa.array(own.sizes.astype(np.int64)), pa.array(own.fingerprints().view(np.int64)), pa.array(prefix, pa.binary()), pa.array(odd, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], *arrays], ["k1", "k2", "id", "node", "n", "fp", "prefix", "odd"])
+            words = own.parities(WIDE).view(np.int64).reshape(-1)
+            wide = pa.ListArray.from_arrays(pa.array(np.arange(len(own.sizes) + 1, dtype=np.int32) * (WIDE // 64)), pa.array(words))
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], *arrays, wide], ["k1", "k2", "id", "node", "n", "fp", "prefix", "odd", "wide"])
 
-    return map_arrow(rows, "k1 long, k2 long, id long, node long, n long, fp long, prefix binary, odd binary", run, "similar")
+    return map_arrow(rows, "k1 long, k2 long, id long, node long, n long, fp long, prefix binary, odd binary, wide array<long>", run, "similar")
 
 
 def bucket_of(token: np.ndarray, buckets: int) -> np.ndarray:
@@ -217,6 +220,14 @@ def shared_in_bucket(similarity: float, turn: int | None, buckets: int):
     return run
 
 
+def likely(classes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that the classes' wide parities do not rule out; so sets move only for those."""
+    side = lambda end: classes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("wide").alias(f"w_{end}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    apart = F.aggregate(F.zip_with("w_a", "w_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return both.where(apart <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) + 1e-9).select("a", "b")
+
+
 def verified(spark: SparkSession, rows: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of classes whose shingle sets are similar enough; only the texts of their classes are moved."""
 
@@ -261,11 +272,12 @@ def similar_classes(docs: DataFrame, folder: str, size: int = SIZE, similarity:
     marks = spark.read.parquet(f"{folder}/marked")
     row = F.struct(F.col("id").isNull().alias("null"), "id", "k1", "k2")
     first = lambda c: F.first(c).alias(c)  # noqa: E731  the same for all rows of a class
-    marks.groupBy("node").agg(F.min(row).alias("least"), first("n"), first("fp"), first("prefix"), first("odd")).write.parquet(f"{folder}/classes")
+    marks.groupBy("node").agg(F.min(row).alias("least"), first("n"), first("fp"), first("prefix"), first("odd"), first("wide")).write.parquet(f"{folder}/classes")
     classes = spark.read.parquet(f"{folder}/classes")
     links = verified(spark, rows, classes, checkpoint(spark, simhash_pairs(classes, budget)), size, similarity)
+    release(spark)
     tokens = classes.agg(F.sum(F.length("prefix"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // 8 // BUCKET_TOKENS))
+    buckets = max(min(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-tokens // 8 // BUCKET_TOKENS))
 
     def more(links: DataFrame, turn: int | None) -> DataFrame:
         known = least_members(links).select("node", F.col("root").alias("label"))
@@ -273,7 +285,9 @@ def similar_classes(docs: DataFrame, folder: str, size: int = SIZE, similarity:
         dealt = dealt_prefixes(labelled, buckets).repartition(buckets, "bucket").groupBy("bucket")
         counted = dealt.applyInArrow(shared_in_bucket(similarity, turn, buckets), "a long, b long, shared long, least long")
         pairs = counted.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least")).where("shared >= least").select("a", "b")
-        return verified(spark, rows, classes, checkpoint(spark, pairs), size, similarity)
+        found = verified(spark, rows, classes, checkpoint(spark, likely(classes, pairs, similarity)), size, similarity)
+        release(spark)
+        return found
 
     few = STAR_LEAST * classes.count()
     for turn in range(STAR_ROUNDS):
