@@ -10,7 +10,7 @@ from foliant import registry
 from foliant.operators import benchmarks, classify, diffs, files, graph, inventory, lint, overlap, records, screening, texts, windows  # noqa: F401
 from foliant.sources import corpus  # noqa: F401
 from foliant.streaming import changes  # noqa: F401
-from foliant.plans import reports  # noqa: F401
+from foliant.plans import reports, views  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -73,13 +73,10 @@ def conversion_items(records: DataFrame) -> DataFrame:
 
 
 def low_sample(items: DataFrame, each: int, order: str) -> DataFrame:
-    """The first `each` low-priority items of each format: by aggregates of bounded heads, so a hot format is combined before the shuffle."""
-    from pyspark.sql import Window
+    """The first `each` low-priority items of each format."""
+    from foliant.operators.windows import heads
 
-    low = items.where("priority = 'low'")
-    spread = low.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(64)))
-    heads = spread.withColumn("_r", F.row_number().over(Window.partitionBy("format", "_salt").orderBy(order))).where(F.col("_r") <= each)
-    return heads.withColumn("_r", F.row_number().over(Window.partitionBy("format").orderBy(order))).where(F.col("_r") <= each).drop("_r", "_salt")
+    return heads(items.where("priority = 'low'"), "format", order, each)
 
 
 def conversion_report(items: DataFrame, each: int, order: str) -> DataFrame:

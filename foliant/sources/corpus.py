@@ -68,9 +68,9 @@ def scalar(value: str) -> str:
     value = value.strip()
     if value[:1] in "'\"" and value:
         quote = value[0]
-        end = re.match(r"'((?:[^']|'')*)'|\"((?:[^\"\\\\]|\\\\.)*)\"", value)
+        end = re.match(r"'((?:[^']|'')*)'|\"((?:[^\"\\]|\\.)*)\"", value)
         if end:
-            return end[1].replace("''", "'") if quote == "'" else re.sub(r"\\\\(.)", lambda m: {"n": "\n", "t": "\t"}.get(m[1], m[1]), end[2])
+            return end[1].replace("''", "'") if quote == "'" else re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t"}.get(m[1], m[1]), end[2])
         raise ValueError("open quote")
     return re.split(r"(?:^|\s)#", value, maxsplit=1)[0].strip()
 
@@ -79,7 +79,7 @@ def flow_items(value: str) -> list[str]:
     """The items of a list in brackets; commas in quotes are no separators."""
     if not value.endswith("]"):
         raise ValueError("open list")
-    return [scalar(x) for x in re.findall(r"'(?:[^']|'')*'|\"(?:[^\"\\\\]|\\\\.)*\"|[^,]+", value[1:-1]) if x.strip()]
+    return [scalar(x) for x in re.findall(r"\s*('(?:[^']|'')*'|\"(?:[^\"\\]|\\.)*\"|[^,]+)", value[1:-1]) if x.strip()]
 
 
 def parse_fields(head: str) -> dict[str, str]:

@@ -44,7 +44,7 @@ def static_feed(spark: SparkSession, changes: list[tuple]) -> DataFrame:
 
 def watched_files(spark: SparkSession, root: str) -> DataFrame:
     """New files below a folder as a stream of changes; contents are not read."""
-    found = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(root)
     path = F.replace(F.col("path"), F.lit(f"{root.rstrip('/')}/"), F.lit(""))
     return found.select(F.lit("modified").alias("event_kind"), F.regexp_replace(path, "^[a-z]+:", "").alias("current_path"), F.lit(None).cast("string").alias("previous_path"), F.col("modificationTime").alias("observed_at"), F.unix_micros("modificationTime").alias("n"))
 

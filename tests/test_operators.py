@@ -10,7 +10,6 @@ from foliant.functions import paths, rounding, text
 from foliant.operators import classify, diffs, graph, windows
 from foliant.plans import reports
 from foliant.sources import corpus
-from foliant.streaming import changes
 
 
 def values(spark, expr, rows, schema):
@@ -102,20 +101,6 @@ def test_readers_and_sinks(spark, tmp_path):
     assert corpus.write_if_changed(frame, str(tmp_path / "out")) and not corpus.write_if_changed(frame.select("id", F.array(F.lit("a"), F.lit("b")).alias("tags")), str(tmp_path / "out"))
 
 
-def test_journal_is_idempotent(spark, tmp_path):
-    journal = changes.Journal(spark, str(tmp_path / "journal"))
-    schema = "n long, event_kind string, current_path string, previous_path string, observed_at timestamp"
-    batch = spark.createDataFrame([(1, "modified", "a.md", None, None), (2, "modified", "a.md", None, None), (3, "modified", "_mirrors/a.md", None, None), (4, "deleted", None, "b.md", None), (5, "deleted", None, "c.md", None), (6, "odd", "d.md", None, None)], schema)
-    journal.apply(batch, 0)
-    journal.apply(batch, 0)
-    journal.apply(batch, 1)
-    rows = journal.read().orderBy("sequence").collect()
-    assert [(r.sequence, r.event_kind, r.current_path or r.previous_path) for r in rows] == [(1, "modified", "a.md"), (2, "deleted", "b.md"), (3, "deleted", "c.md")]
-    claimed = changes.claim(journal.read(), 2)
-    done = changes.finish(journal.read(), claimed.select("sequence", F.lit("applied").alias("new_status"), F.lit(None).cast("string").alias("error")))
-    assert changes.high_water(done).first().asDict() == {"last_observed": 3, "last_applied": 2, "applied_up_to": 2}
-
-
 def test_reports_render(spark):
     frame = spark.createDataFrame([("a|b", 1), ("<c>", 2), ("d", 3)], "name string, n int")
     assert "(1 more)" in reports.render_markdown("R", {"S": frame}, most=2)
