@@ -6,12 +6,15 @@ block shifts lets the scan jump over positions where no pattern can end; a block
 selects a suffix-hash bucket whose patterns are compared directly.  Patterns are grouped by length
 class, since the largest shift follows the shortest pattern.
 
-The benchmark is a fixed query set.  Its patterns go to the executors in blocks whose bytes are
-counted before they are collected; every block meets all documents in the same pass.
+The benchmark is a fixed query set.  Its items go to the executors in blocks whose bytes are counted
+as they are gathered; a pass over the documents takes BLOCKS_EACH blocks at most, whose tables a worker
+builds once, and a larger benchmark takes more passes.
 
 Cases: a null or empty text or item has no words, and an item without words matches nothing; an
-item with fewer words than a window is one window; repeated items and rows count each for
-themselves; an item without an id has the empty one; a text of any length is scanned in whole; columns besides id and text are ignored.
+item with fewer words than a window is one window; items that share an id are one, repeated rows count
+each; an item without an id has the empty one; an empty benchmark hits nothing, an empty table gives no
+rows; a text of any length is scanned in whole; columns besides id and text, whatever their names, are
+ignored, but for those carried along.
 """
 
 from __future__ import annotations
@@ -19,16 +22,19 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import column_values, map_arrow, text_bytes, worker_tables
+from foliant.llm.common import checkpoint, column_values, map_arrow, text_bytes, worker_tables
 
 WINDOW = 10
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES, BLOCKS_EACH = 8 << 20, 4
 
 #: Lower-cases A-Z and turns each byte that is in no word into a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -126,48 +132,53 @@ def benchmark_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes:
         yield block
 
 
-def find_benchmark(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The id, the columns of `carry`, n_words, hit_spans (disjoint word ranges, end excluded) and items (ids, sorted as strings) of each document."""
-    context, carried = docs.sparkSession.sparkContext, carry or []
-    blocks = [context.broadcast(b) for b in benchmark_blocks(items, item_col, item_text_col, block_bytes)]
+def search_pass(rows: DataFrame, blocks: list[Broadcast], window: int, id_col: str, carried: list[str]) -> DataFrame:
+    """One pass: rows (id, columns of `carried`, _text, hit_spans, items) with what these blocks hit added, and n_words."""
+    names = [(xxhash.xxh3_64_intdigest(repr(b.value).encode()), window) for b in blocks]
 
     def matcher(k: int) -> Matcher:
-        kept, key = worker_tables("decontamination"), (hash(tuple(blocks[k].value)), window)
-        if key not in kept:
-            kept.clear()
-            kept[key] = Matcher(blocks[k].value, window)
-        return kept[key]
+        kept = worker_tables("decontamination")
+        # Tables of other passes go; those of this one are built once in a worker.
+        for other in [name for name in kept if name not in names]:
+            del kept[other]
+        if names[k] not in kept:
+            kept[names[k]] = Matcher(blocks[k].value, window)
+        return kept[names[k]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            counts = [0] * batch.num_rows
-            found: dict[int, tuple[list, set]] = {}
-            for k in range(max(1, len(blocks))):
-                own = matcher(k) if blocks else None
-                for i, text in enumerate(column_values(batch, "_text")):
-                    words = words_of(text)
-                    counts[i] = len(words)
-                    spans, ids = found.get(i, ([], set()))
-                    if own and words:
-                        own.search(words, spans, ids)
-                    if spans:
-                        found[i] = (spans, ids)
-            none: tuple[list, set] = ([], set())
-            spans = [union_of(found.get(i, none)[0]) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(batch.schema.get_field_index(c)) for c in [id_col, *carried]],
-                    pa.array(counts, pa.int64()),
-                    pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    pa.array([sorted(found.get(i, none)[1]) for i in range(batch.num_rows)], pa.list_(pa.string())),
-                ],
-                [id_col, *carried, "n_words", "hit_spans", "items"],
-            )
-
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), *carried, text_bytes(text_col).alias("_text"))
+            counts, spans, items = [], [], []
+            for text, before, known in zip(*(column_values(batch, c) for c in ("_text", "hit_spans", "items"))):
+                words = words_of(text)
+                own, ids = [(s["start"], s["end"]) for s in before], set(known)
+                for k in range(len(blocks) if words else 0):
+                    matcher(k).search(words, own, ids)
+                counts.append(len(words)), items.append(sorted(ids))
+                spans.append([{"start": a, "end": b} for a, b in union_of(own)])
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in [id_col, *carried, "_text"]]
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind), pa.array(items, pa.list_(pa.string())), pa.array(counts, pa.int64())], [id_col, *carried, "_text", "hit_spans", "items", "n_words"])
+
+    own = rows.select(id_col, *carried, "_text", "hit_spans", "items")
+    return map_arrow(own, T.StructType([*own.schema.fields, T.StructField("n_words", T.LongType())]), run, "decontamination")
+
+
+def find_benchmark(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The id, the columns of `carry`, n_words, hit_spans (disjoint word ranges, end excluded) and items (ids, sorted as strings) of each document."""
+    spark, carried = docs.sparkSession, carry or []
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    added = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", spans), T.StructField("items", T.ArrayType(T.StringType()))]
-    return map_arrow(rows, T.StructType([*rows.schema.fields[:-1], *added]), run, "decontamination")
+    rows = docs.select(F.col(id_col).cast("long").alias(id_col), *carried, text_bytes(text_col).alias("_text"), F.array().cast(spans).alias("hit_spans"), F.array().cast("array<string>").alias("items"))
+    blocks = benchmark_blocks(items, item_col, item_text_col, block_bytes)
+    now = list(islice(blocks, BLOCKS_EACH))
+    while True:
+        shared = [spark.sparkContext.broadcast(b) for b in now]
+        rows = search_pass(rows, shared, window, id_col, carried)
+        now = list(islice(blocks, BLOCKS_EACH))
+        if not now:
+            return rows.select(id_col, *carried, "n_words", "hit_spans", "items")
+        rows = checkpoint(spark, rows)
+        for block in shared:
+            block.destroy()
 
 
 def without_benchmark(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text", **options) -> DataFrame:

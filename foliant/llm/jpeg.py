@@ -12,7 +12,8 @@ amplitude, end-of-block code) in one look.  Scans with AC coefficients, several
 subsampling take the general symbol-by-symbol decoder.
 
 Cases: a null text counts as empty and its payload is 576 filling bytes; texts of any length are
-stored in whole; repeated rows and equal texts give equal values.
+stored in whole; repeated rows and equal texts give equal values, so ties do not arise; a null id stays
+null; an empty table gives no rows; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ splitting rule makes the encoding of a text the sequence of its words' encodings
 
 Cases: a null text counts as empty and has the closing id alone; a document longer than the
 capacity is cut into full pieces and a last one, and no other is cut; repeated rows are packed
-each for itself; of equal items the one met first goes first.
+each for itself; of equal items the one met first goes first; a null id stays null; an empty table gives no rows; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations

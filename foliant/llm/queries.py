@@ -16,15 +16,18 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
     return token_transducer.count_tokens(read_table(spark, sf_dir, "documents"), BYTE_BPE, limit=512)
 
 
 def op10_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that repeated passages take, and a digest of the rest."""
     cleaned = substrings.remove_repeats(read_table(spark, sf_dir, "documents"), window=13)
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op2_revisit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revisit of the archive made of the pages, with the response it stands for."""
     found = warc.resolve_revisits(warc.captures_of(read_table(spark, sf_dir, "pages")))
     return found.withColumn("headers", F.array_join(F.transform("headers", lambda h: F.concat(h["key"], F.lit(": "), h["value"])), "; "))
 
@@ -60,14 +63,17 @@ FROM judged
 
 
 def op3_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return mainhtml.extract(read_table(spark, sf_dir, "pages"))
 
 
 def op5_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The expected grade and tail probabilities of every document."""
     return ordinal.grade_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), sample=12_000)
 
 
 def op4_baseline_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as a picture and read back."""
     return jpeg.read_back(jpeg.store(read_table(spark, sf_dir, "documents")))
 
 
@@ -75,6 +81,7 @@ URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 
 
 def op9_shift_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by the rules."""
     return urlfilter.judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
@@ -99,15 +106,18 @@ SELECT s.page_id, s.host, s.path, b.rule, coalesce(b.verdict, 'allow') AS verdic
 
 
 def op6_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in the sequences."""
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), WORD_BPE, capacity=2048)
 
 
 def op7_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of every document the benchmark holds."""
     found = decontamination.find_benchmark(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=10)
     return decontamination.contamination_report(found)
 
 
 def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint and component of every document."""
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), size=4, budget=4)
 
 

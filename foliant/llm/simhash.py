@@ -10,7 +10,9 @@ Node pairs whose leaves already are in one component are left too: so a dense gr
 walk over all its pairs, and what a task returns is at most one link for each fingerprint.
 
 Cases: a null text counts as empty; a text without words has fingerprint zero, linked like any
-other; repeated rows are in one component; a component's number is its smallest id.
+other; repeated rows are in one component; a component's number is its smallest id, null if none of its rows
+has one; a bit that is set in just half of the hashes is 0; an empty table gives no rows; other columns,
+whatever their names, are not looked at; texts of any length are read in whole.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ SEED = 42
 BUDGET = 4
 SHINGLE = 4
 NODES_EACH = 16_384
-LEAST_DEPTH, MOST_DEPTH = 6, 14
+LEAST_DEPTH, MOST_DEPTH = 6, 20
 LEAF = 4
 STEP = 1 << 16
 

@@ -19,7 +19,8 @@ passage that a third of all documents hold sends one entry a task, and no bucket
 Cases: a null text has no words; a text of fewer than 13 words loses none; rows that repeat an id
 are one document with that id, and neither removes the other's words (if their texts differ, each
 loses the places found for either, as far as it has them); a row without an id keeps its words and
-removes none; a text of any length is used in whole.
+removes none; of several texts that hold a passage the least id keeps it; a text of any length is used in
+whole; an empty table gives no rows; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ Chunks are lanes of numpy arrays and are run in lockstep.
 
 Cases: a null text counts as empty, with 0 bytes and 0 tokens; repeated rows give repeated
 results; texts of any length are read in whole; strings of special tokens inside a text are
-one token each, as the tokenizer library's default has it.
+one token each, as the tokenizer library's default has it; of merges of one rank the first place counts;
+a null id stays null; an empty table gives no rows; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations

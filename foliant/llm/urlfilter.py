@@ -11,7 +11,8 @@ that match the longest wins; of equally long ones the first.  Without a match th
 method's default, allow.
 
 Cases: a null URL, or one without `://`, has empty host and path and no rule; a URL of any length
-is read in whole; repeated rows are judged each for itself.
+is read in whole; repeated rows are judged each for itself; of rules of one length that both fit the
+first counts; a null id stays null; an empty table gives no rows; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations

@@ -3,7 +3,8 @@
 The as-of join has no unbounded group.  Captures fall into time buckets of each canonical URL; a
 bucket's latest response is an aggregate, the latest of all earlier buckets is a window over those
 few rows, and within a bucket a window finds the latest earlier response.  So a URL with a third of
-all captures is spread over its buckets.
+all captures is spread over its buckets of ten minutes, and captures without a URL, which can have no
+response, meet nowhere.
 
 A revisit's validators are checked against the response's: entity tags by weak comparison if both
 have one, else the modification dates if both have one.  On agreement the permitted headers of the
@@ -15,7 +16,8 @@ validator differs; the response's headers stay), `orphan` (no earlier response;
 Cases: a null URL has no canonical form and its revisits are orphans; a response at the very time
 of a revisit is not earlier; of responses at one time the one with the largest record id counts;
 null validators are none, null headers are empty, header names are compared in lower case; a
-repeated revisit row is resolved each time.
+repeated revisit row is resolved each time; a null time is before all others; an empty table gives no
+rows; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_SECONDS = 7 * 86_400
+BUCKET_SECONDS = 600
 
 #: Headers that a 304 answer may change.
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
@@ -66,6 +68,8 @@ def resolve_revisits(captures: DataFrame, bucket_seconds: int = BUCKET_SECONDS)
         F.floor(F.col("captured") / bucket_seconds).alias("bucket"),
     )
     found = F.when(F.col("full"), F.struct("captured", "record_id", "etag", "last_modified", "payload_digest", "headers"))
+    nowhere = rows.where(F.col("canonical_url").isNull() & ~F.col("full"))
+    rows = rows.where(F.col("canonical_url").isNotNull())
     buckets = rows.groupBy("canonical_url", "bucket").agg(F.max(found).alias("latest"))
     earlier = Window.partitionBy("canonical_url").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = buckets.select("canonical_url", "bucket", F.max("latest").over(earlier).alias("carried"))
@@ -78,7 +82,8 @@ def resolve_revisits(captures: DataFrame, bucket_seconds: int = BUCKET_SECONDS)
     change = F.filter("headers", lambda h: h["key"].isin(PERMITTED))
     kept = F.filter("base.headers", lambda h: ~F.exists(change, lambda c: c["key"] == h["key"]))
     merged = F.when(F.col("outcome").isin("resolved", "unverified"), F.array_sort(F.concat(kept, change))).when(F.col("outcome") == "mismatch", F.col("base.headers"))
-    resolved = joined.join(carried, ["canonical_url", "bucket"], "left").withColumn("base", F.when(F.col("canonical_url").isNotNull(), F.coalesce("own", "carried")))
+    found_base = joined.join(carried, ["canonical_url", "bucket"], "left").withColumn("base", F.coalesce("own", "carried")).drop("own", "carried")
+    resolved = found_base.unionByName(nowhere.withColumn("base", F.lit(None).cast(found_base.schema["base"].dataType)))
     return resolved.withColumn("outcome", outcome).select("record_id", "canonical_url", "captured", F.col("base.record_id").alias("response_id"), "outcome", F.col("base.payload_digest").alias("payload_digest"), merged.alias("headers"))
 
 
