@@ -9,7 +9,7 @@ from foliant import __main__ as command
 from foliant import config
 from foliant.operators import lint, overlap
 from foliant.plans import views
-from foliant.sources import corpus, sinks
+from foliant.sources import corpus, repositories, sinks
 from foliant.streaming import changes, journal
 
 CHANGE = "n long, event_kind string, current_path string, previous_path string, observed_at timestamp"
@@ -199,3 +199,38 @@ def test_command_line_names_everything(capsys):
     assert "lint_findings" in shown and "catalog" in shown
     with pytest.raises(SystemExit):
         command.main(["query", "no_such", "x"])
+
+
+def test_repositories(spark, tmp_path):
+    source = str(tmp_path / "source")
+    repositories.git(["init", "--quiet", source])
+    (tmp_path / "source" / "README.md").write_text("x")
+    (tmp_path / "source" / ".gitignore").write_text("*.log\n")
+    (tmp_path / "source" / "a.log").write_text("x")
+    repositories.git(["add", "README.md", ".gitignore"], source)
+    assert sorted(r.path for r in repositories.tracked_paths(spark, source, staged=True).collect()) == [".gitignore", "README.md"]
+    repositories.git(["-c", "user.name=n", "-c", "user.email=e@x", "commit", "--quiet", "-m", "first\tone"], source)
+    assert sorted(r.path for r in repositories.tracked_paths(spark, source).collect()) == [".gitignore", "README.md", "a.log"]
+    repositories.clone(f"file://{source}", str(tmp_path / "copy"))
+    (row,) = repositories.commits(spark, str(tmp_path / "copy"), 5).collect()
+    assert row.hash == repositories.head_sha(source) and row.subject == "first\tone"
+    assert repositories.head_sha(str(tmp_path / "none"), token="hide") is None
+
+    def fetch(repo):
+        if repo == "bad":
+            raise OSError("no network")
+        return {"stars": 3} if repo == "a" else None
+
+    rows = repositories.metadata(spark.createDataFrame([("a",), ("b",), ("bad",)], "repo string"), fetch, ["stars"])
+    assert {r.repo: r.stars for r in rows.collect()} == {"a": "3", "b": None, "bad": None}
+
+
+def test_mirrors_are_written_once(spark, tmp_path):
+    folder = str(tmp_path / "mirrors")
+    records = spark.createDataFrame([("a.md", "---\nt: 1\n---\n", "one"), ("b.md", "---\nt: 2\n---\n", " ")], "path string, fm string, text string")
+    made = repositories.mirrors(records, "fm", "text", "%% BELOW %%")
+    assert repositories.write_mirrors(spark, made, folder, 0) == 2 and repositories.write_mirrors(spark, made, folder, 0) == 2
+    again = repositories.mirrors(records.withColumn("text", F.when(F.col("path") == "a.md", "new").otherwise(F.col("text"))), "fm", "text", "%% BELOW %%")
+    assert repositories.write_mirrors(spark, again, folder, 1) == 1
+    now = {r.path: r.content for r in repositories.current_mirrors(spark, folder).collect()}
+    assert now["a.md"] == "---\nt: 1\n---\n%% BELOW %%\n\n## Extracted content\n\nnew\n" and "_(no text)_" in now["b.md"]
