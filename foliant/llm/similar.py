@@ -37,8 +37,8 @@ from foliant.llm.substrings import MIX, groups_of, pack_arrays, unpack_arrays
 SIZE, SIMILARITY = 5, 0.8
 SAMPLED, COMMON, COMMON_KEPT = 8192, 3, 65_536
 HELD_TOKENS = 200_000
-BUCKET_TOKENS, LEAST_BUCKETS = 600_000, 24
-PAIRS_STEP = 1 << 17
+BUCKET_TOKENS, LEAST_BUCKETS = 400_000, 24
+PAIRS_STEP = 1 << 16
 HEADS = 3
 WIDE = 1024
 STAR_ROUNDS, STAR_LEAST = 8, 0.005
