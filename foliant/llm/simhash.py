@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.common import checkpoint, column_values, map_arrow, text_bytes
-from foliant.llm.components import least_members
+from foliant.llm.components import least_members, united
 
 BITS = 64
 SEED = 42
@@ -149,26 +149,6 @@ def linked(values: np.ndarray, roots: list[tuple[int, int]], budget: int, half_b
     return label, np.concatenate(links)
 
 
-def united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Labels after the links between positions i and j, and those links that tied components together."""
-    parent, used = np.arange(len(label)), []
-    a, b = label[i], label[j]
-    while True:
-        a, b = parent[a], parent[b]
-        apart = a != b
-        if not apart.any():
-            break
-        a, b, i, j = a[apart], b[apart], i[apart], j[apart]
-        high, low = np.maximum(a, b), np.minimum(a, b)
-        order = np.lexsort((low, high))
-        first = order[np.concatenate([[True], high[order][1:] != high[order][:-1]])]
-        parent[high[first]] = low[first]
-        used.append(np.stack([i[first], j[first]], 1))
-        while not np.array_equal(parent, parent[parent]):
-            parent = parent[parent]
-    return parent[label], np.concatenate(used) if used else np.empty((0, 2), np.int64)
-
-
 def neighbour_masks(depth: int, errors: int) -> list[int]:
     """All masks of `depth` bits with at most `errors` ones."""
     return [sum(1 << b for b in bits) for n in range(errors + 1) for bits in combinations(range(depth), n)]

@@ -65,9 +65,10 @@ def test_trie_join_loses_no_link_and_adds_none():
 
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5, 5), (1050, 2000)]
-    got = {r.node: r.root for r in components.least_members(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert all(got[i] == 0 for i in range(1, 61)) and all(got[1000 + i] == 1000 for i in range(1, 200)) and got[2000] == 1000
-    assert components.least_members(spark.createDataFrame([], "a long, b long")).count() == 0
+    for small in (0, 1000):
+        got = {r.node: r.root for r in components.least_members(spark.createDataFrame(links, "a long, b long"), small).collect()}
+        assert all(got[i] == 0 for i in range(1, 61)) and all(got[1000 + i] == 1000 for i in range(1, 200)) and got[2000] == 1000 and len(got) == 260
+        assert components.least_members(spark.createDataFrame([], "a long, b long"), small).count() == 0
 
 
 def test_similar_groups_are_verified(spark):
