@@ -38,7 +38,7 @@ from foliant.llm.common import column_values, map_arrow, partitions_for, text_by
 
 WINDOW = 13
 BLOCK = 7  # a window of 2 * BLOCK - 1 words holds a whole block
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 5 << 20
 FLUSH_WORDS = 300_000
 
 #: Random odd factors of the rolling hash, by a fixed rule.
