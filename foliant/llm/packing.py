@@ -37,8 +37,8 @@ CAPACITY = 2048
 SLACK = 8
 FAN_IN = 8
 ITEMS_EACH = 500_000
-WORDS_KEPT = 500_000
-RUNS_KEPT = 700_000
+WORDS_KEPT = 350_000
+RUNS_KEPT = 450_000
 END_ID = 0
 
 #: White space as the vocabulary's splitting rule has it.

@@ -42,7 +42,7 @@ PAIRS_STEP = 1 << 16
 HEADS = 3
 WIDE = 1024
 STAR_ROUNDS, STAR_LEAST = 8, 0.005
-BROADCAST_ROWS = 1 << 18
+BROADCAST_ROWS = 1 << 17
 
 
 def text_class(text: bytes) -> int:

@@ -39,7 +39,7 @@ from foliant.llm.common import column_values, map_arrow, partitions_for, text_by
 WINDOW = 13
 BLOCK = 7  # a window of 2 * BLOCK - 1 words holds a whole block
 BUCKET_BYTES = 5 << 20
-FLUSH_WORDS = 300_000
+FLUSH_WORDS = 200_000
 
 #: Random odd factors of the rolling hash, by a fixed rule.
 MIX = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) * (k + 3) | 1) & (2**64 - 1) for k in range(64)], np.uint64)
@@ -248,6 +248,7 @@ def anchor_hits(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Step 1 in a bucket: places whose hash two documents share, where one has it at a reference block."""
     parts = [unpack_places(v, np.uint8, np.uint32) for v in entries]
     docs, places, kind, h = (np.concatenate(x) for x in zip(*parts))
+    del parts
     order = np.argsort(h, kind="stable")
     number, first = groups_of(h[order])
     ordered, kinds = docs[order], kind[order]
@@ -316,6 +317,7 @@ def later_windows(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Step 2 in a bucket: places of windows that a document with a smaller id has too."""
     parts = [unpack_places(v, np.uint64, np.uint32) for v in entries]
     docs, places, high, low = (np.concatenate(x) for x in zip(*parts))
+    del parts
     order = np.lexsort((docs, low, high))
     new = np.ones(len(order), bool)
     new[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
