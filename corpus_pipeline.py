@@ -30,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 13 words and more that a smaller id has; unchanged where there are none."""
-    cleaned = substrings.remove_repeats(docs, window=13, keep_unchanged=True).select(F.col("doc_id").alias("__doc"), F.col("n_removed").alias("__removed"), F.col("kept").alias("__kept"))
+    cleaned = substrings.remove_repeats(docs, window=13, keep_unchanged=True, flush_words=200_000).select(F.col("doc_id").alias("__doc"), F.col("n_removed").alias("__removed"), F.col("kept").alias("__kept"))
     joined = docs.join(cleaned.dropDuplicates(["__doc"]), docs["doc_id"] == F.col("__doc"), "left")
     text = F.when(F.col("__removed") > 0, F.col("__kept")).otherwise(F.col("text"))
     return joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
