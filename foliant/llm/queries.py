@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import decontamination, jpeg, mainhtml, ordinal, packing, simhash, substrings, token_transducer, urlfilter, warc
+from foliant.llm import conversations, crosstokens, decontamination, exactdedup, jpeg, mainhtml, ordinal, packing, simhash, substrings, token_transducer, urlfilter, warc
 from foliant.llm.common import read_table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -26,6 +27,31 @@ def op10_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_dial_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by the stated rule, with its faults, the cheapest repair and a digest of the result."""
+    return conversations.repair(conversations.damaged(read_table(spark, sf_dir, "conversations")))
+
+
+def op12_extendible_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one of its equal texts that stays."""
+    return exactdedup.exact_copies(read_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents
+), best AS (
+  SELECT text_sha256, count(*) AS group_size, arg_min(doc_id, (-n, doc_id)) AS keep_id FROM texts GROUP BY text_sha256
+)
+SELECT t.doc_id, b.keep_id, b.group_size, t.doc_id = b.keep_id AS kept, t.text_sha256 FROM texts t JOIN best b USING (text_sha256)
+"""
+
+
+def op13_array_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between two tokenizers' tokens in every document."""
+    return crosstokens.align(read_table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
 def op2_revisit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every revisit of the archive made of the pages, with the response it stands for."""
     found = warc.resolve_revisits(warc.captures_of(read_table(spark, sf_dir, "pages")))
@@ -128,4 +154,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op2_revisit_join": OP2_SQL, "op9_shift_and": OP9_SQL}
+    return {"op12_extendible_hash": OP12_SQL, "op2_revisit_join": OP2_SQL, "op9_shift_and": OP9_SQL}
