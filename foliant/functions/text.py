@@ -60,10 +60,16 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def wiki_targets(body: Column) -> Column:
-    """Targets of double-bracket links outside inline code, without heading and alias."""
-    links = F.regexp_extract_all(F.regexp_replace(body, r"`[^`]*`", ""), F.lit(r"\[\[([^\]]+?)\]\]"), F.lit(1))
-    return F.filter(F.transform(links, lambda x: trimmed(F.regexp_replace(x, r"[#|].*$", ""))), lambda x: x != "")
+def wiki_targets(body: Column, fields: Column | None = None) -> Column:
+    """Targets of double-bracket links without heading and alias: of a body outside inline code, and of an array of frontmatter values as they are.
+
+    A bar with a backslash before it, as tables need it, starts the alias too.
+    """
+    link = F.lit(r"\[\[([^\]]+?)\]\]")
+    links = F.regexp_extract_all(F.regexp_replace(F.coalesce(body, F.lit("")), r"`+[^`]*`+", ""), link, F.lit(1))
+    if fields is not None:
+        links = F.concat(links, F.flatten(F.transform(F.coalesce(fields, F.array().cast("array<string>")), lambda v: F.coalesce(F.regexp_extract_all(v, link, F.lit(1)), F.array().cast("array<string>")))))
+    return F.filter(F.transform(links, lambda x: trimmed(F.regexp_replace(F.replace(x, F.lit("\\|"), F.lit("|")), r"(?s)[#|].*$", ""))), lambda x: x != "")
 
 
 def identity(prefix: str, *parts: Column) -> Column:

@@ -19,7 +19,7 @@ WHEN 4 THEN '.hidden/' || doc_id || '.md' WHEN 5 THEN '_meta/report' || doc_id |
 WHEN 8 THEN lang || '/' || source || '/' || doc_id || '.PDF' WHEN 9 THEN 'a/_fixtures/' || doc_id || '.md' WHEN 10 THEN lang || '/.' || doc_id || '.md.77.tmp'
 WHEN 11 THEN '01_' || lang || '/secret' || doc_id || '.xlsx' WHEN 12 THEN lang || '/' || doc_id || '.MD' WHEN 13 THEN '../' || doc_id || '.md' WHEN 14 THEN '/abs/' || doc_id || '.md'
 WHEN 15 THEN 'tools/' || doc_id || '.md' WHEN 16 THEN 'docs/README' || doc_id || '.md' WHEN 17 THEN 'readme' || doc_id || '.txt' WHEN 18 THEN ' ' WHEN 19 THEN 'a/_meta/' || doc_id || '.swp'
-WHEN 20 THEN 'data/' || doc_id || '.csv' WHEN 21 THEN lang || '/' || doc_id || '/id_rsa' WHEN 22 THEN 'x' || lang || '/' || doc_id || '.pptx' WHEN 23 THEN 'dist/' || doc_id || '.log'
+WHEN 20 THEN 'data/' || doc_id || '.csv' WHEN 21 THEN lang || '/' || doc_id || '/id_rsa' WHEN 22 THEN 'x' || lang || '/' || doc_id || '.pptx' WHEN 23 THEN 'dist/' || doc_id || '.log' WHEN 24 THEN lang || '/' || source || '/' || doc_id || '/index.md'
 ELSE lang || '/' || source || '/' || doc_id || '.md' END"""
 
 NOTES = {
@@ -40,7 +40,8 @@ NOTES = {
     "body": "text",
     "n_chars": "n_chars",
     "lang": "lang",
-    "links": "'[[docs/README' || (doc_id - doc_id % 26 + 16) || ']] [[repos/' || (doc_id - doc_id % 26 + 2) || '.md|x]] [[data/' || (doc_id - doc_id % 26 + 20) || ']] [[' || (doc_id + 1) || '#part|next]] `[[code]]` [[nowhere/' || doc_id || ']] [[ ' || (doc_id + 26) || '.md#top]] [[README' || (doc_id % 40) || ']] [[../up]] [[#here]]'",
+    "links": "'[[docs/README' || (doc_id - doc_id % 26 + 16) || ']] [[repos/' || (doc_id - doc_id % 26 + 2) || '.md|x]] [[data/' || (doc_id - doc_id % 26 + 20) || ']] [[' || (doc_id + 1) || '#part|next]] `[[code]]` [[nowhere/' || doc_id || ']] [[ ' || (doc_id + 26) || '.md#top]] [[README' || (doc_id % 40) || ']] [[../up]] [[#here]] ``[[twice]]`` [[repos/' || (doc_id - doc_id % 26 + 2) || chr(92) || '|see]] [[index]] [[id_rsa]] [[' || doc_id || ']]'",
+    "related": "CASE doc_id % 9 WHEN 0 THEN '' WHEN 1 THEN '[[index.md]] and [[tools/' || (doc_id - doc_id % 26 + 15) || ']];plain' ELSE '[[README' || (doc_id % 50) || chr(92) || '|x]];`[[docs/README' || (doc_id - doc_id % 26 + 16) || ']]`' END",
 }
 
 RECORDS = {

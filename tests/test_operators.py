@@ -46,8 +46,24 @@ def test_paths(spark):
 def test_links_fall_back_only_without_a_slash(spark):
     files = spark.createDataFrame([("a/x.md",), ("b/y.md",), ("b/x.md",), ("c.txt",)], "path string")
     links = spark.createDataFrame([("a/n.md", "x"), ("z/n.md", "a/x"), ("a/n.md", "q/y"), ("a/n.md", "b/y"), ("a/n.md", "c.txt"), ("a/n.md", "c"), ("a/n.md", "y.md"), ("a/n.md", "../a/x")], "src string, target string")
-    got = sorted((r.src, r.target, r.resolved or "", r.strategy or "") for r in graph.resolve_links(links, files).collect())
-    assert got == [("a/n.md", "../a/x", "", ""), ("a/n.md", "b/y", "b/y.md", "path.md"), ("a/n.md", "c", "c.txt", "path.*"), ("a/n.md", "c.txt", "c.txt", "path"), ("a/n.md", "q/y", "", ""), ("a/n.md", "x", "a/x.md", "stem"), ("a/n.md", "x", "b/x.md", "stem"), ("a/n.md", "y.md", "b/y.md", "name"), ("z/n.md", "a/x", "a/x.md", "path.md")]
+    got = sorted((r.src, r.target, r.resolved or "", r.strategy or "", r.files or 0) for r in graph.resolve_links(links, files).collect())
+    assert got == [("a/n.md", "../a/x", "", "", 0), ("a/n.md", "b/y", "b/y.md", "path.md", 1), ("a/n.md", "c", "c.txt", "path.*", 1), ("a/n.md", "c.txt", "c.txt", "path", 1), ("a/n.md", "q/y", "", "", 0), ("a/n.md", "x", "a/x.md", "stem", 2), ("a/n.md", "y.md", "b/y.md", "name", 1), ("z/n.md", "a/x", "a/x.md", "path.md", 1)]
+    more = links.unionByName(spark.createDataFrame([("a/x.md", "x"), ("a/x.md", "x"), ("b/x.md", "b/x"), ("b/x.md", "x.md")], "src string, target string"))
+    # every link to the name x counts for both files of it, but for a file's links to itself
+    assert sorted(map(tuple, graph.inbound(more, files).collect())) == [("a/x.md", 3), ("b/x.md", 3), ("b/y.md", 2)]
+
+
+def test_hot_names_never_meet_their_files_one_by_one(spark):
+    files = spark.range(300).select(F.concat(F.lit("d"), "id", F.lit("/index.md")).alias("path"))
+    links = files.select(F.col("path").alias("src"), F.lit("index").alias("target")).repartition(4)
+    counts = graph.inbound(links, files)
+    assert {r.inbound for r in counts.collect()} == {299} and counts.count() == 300
+
+
+def test_link_scan_reads_fields_and_skips_code(spark):
+    rows = [("``[[no]]`` [[a\\|b]] ```[[no]]``` [[x#h\\|y]] `[[open]] [[z]]", ["[[f]] `[[g]]`", None, "plain"])]
+    frame = spark.createDataFrame(rows, "t string, v array<string>").select(text.wiki_targets(F.col("t"), F.col("v")).alias("x"))
+    assert frame.first().x == ["a", "x", "open", "z", "f", "g"]
 
 
 def test_snapshot_diff_moves(spark):
