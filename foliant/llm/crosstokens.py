@@ -1,12 +1,15 @@
 """Alignment of two tokenizers' tokens by byte offsets, over whole texts.
 
 Python tokenises and gives ids and byte ends; everything after is Spark's array functions: the intersection of the end
-arrays bounds the groups, `sequence`-like repeats of token numbers over their bytes make the token at any byte a
-lookup, and each distinct end is one link, for two cuts of one byte range overlap in as many pairs as they have
-distinct ends.  All steps are linear in a text, however long it or a group is.
+arrays bounds the groups, token numbers repeated over their bytes make the token at any byte a lookup, and each distinct
+end is one link, for two cuts of one byte range overlap in as many pairs as they have distinct ends.  All steps are
+linear in a text, however long it or a group is.
 
-Tokenising is cached by piece of text.  Pieces begin at a space after a character that is not white space: no merge of
-either tokenizer crosses such a place (the vocabularies are asked), so a text's tokens are those of its pieces.
+Texts are tokenised as pieces.  Pieces begin at a space after a character that is not white space: no merge of either
+tokenizer crosses such a place (the vocabularies are asked), so a text's tokens are those of its pieces, and both
+tokenizers end there.  A row is a slab of texts: its distinct pieces with their tokens, and each document as the numbers
+of its pieces.  The distinct pieces follow each other as one text, whose groups and links are built once; every document
+takes those between its pieces' ends.
 
 Defined cases: null and empty texts, and those whose tokens' bytes are not a space and the text, have no tokens: zeros
 and an empty digest; rows are apart, whatever their ids; other columns take no part; an empty table gives an empty result.
@@ -17,18 +20,18 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from foliant.llm.common import column_values, map_arrow, remove_folder, slabs, stage_folder, worker_tables
 
 CUT = re.compile(r"(?<=\S) (?!\Z)")
-KEPT_PIECES, PIECE_CHARS, SLAB = 200_000, 64, 1 << 20
+SLAB, RUN = 8 << 20, 1 << 16
 #: Pairs that a broadcast may hold; beyond it only the frequent ones go that way, which are fewer by their threshold.
 BROADCAST_PAIRS = 1 << 21
 
@@ -77,95 +80,157 @@ def load(path: str) -> ByteLevel | Pieces:
 
 
 class Tokens:
-    """Ids and lengths in bytes of both tokenizers by piece, kept for the pieces seen lately."""
+    """Both tokenizers over texts and pieces."""
 
     def __init__(self, paths: tuple[str, str]) -> None:
         self.two = [load(p) for p in paths]
         self.cuttable = all(t.cuttable for t in self.two)
-        self.kept: dict[str, tuple[bytes, ...] | None] = {}
+        self.sizes = [np.array([len(t.parts.get(k, b"")) for k in range(1 + max(t.parts))], np.int32) for t in self.two]
 
-    def whole(self, texts: list[str]) -> list[tuple[bytes, ...] | None]:
-        """(A's ids, A's lengths, B's ids, B's lengths) as 32-bit numbers; None where the bytes differ."""
+    def whole(self, texts: list[str]) -> list[tuple[np.ndarray, ...] | None]:
+        """(A's ids, A's lengths, B's ids, B's lengths) of each text; None where the tokens' bytes are not a space and the text."""
         sides = [t.encode(texts) for t in self.two]
         out = []
         for text, *ids in zip(texts, *sides):
             body, found = (" " + text).encode(), []
-            for own, side in zip(self.two, ids):
-                parts = [own.parts[k] for k in side]
-                if b"".join(parts) != body:
+            for own, size, side in zip(self.two, self.sizes, ids):
+                if b"".join(map(own.parts.__getitem__, side)) != body:
                     found = None
                     break
-                found += [np.array(side, np.int32).tobytes(), np.array([len(p) for p in parts], np.int32).tobytes()]
+                numbers = np.array(side, np.int32)
+                found += [numbers, size[numbers]]
             out.append(tuple(found) if found is not None and text else None)
         return out
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, ...] | None]:
-        if not self.cuttable:
-            return self.whole(texts)
-        cut = [CUT.split(t) for t in texts]
-        kept = self.kept
-        unknown = list({p for pieces in cut for p in pieces if p not in kept})
-        for start, end in slabs([p.encode() for p in unknown], SLAB):
-            kept.update(zip(unknown[start:end], self.whole(unknown[start:end])))
+    def pieces(self, texts: list[str]) -> tuple[list[list[int]], list[tuple[np.ndarray, ...]], list[int]]:
+        """Every text as the numbers of its pieces (none without tokens), the tokens of runs of pieces, and the pieces' lengths in bytes."""
+        cut = [(CUT.split(t) if self.cuttable else [t]) if t else [] for t in texts]
+        distinct = dict.fromkeys(p for own in cut for p in own)
+        numbers, runs, sizes = {}, [], []
+
+        def add(pieces: list[str], found: tuple[np.ndarray, ...]) -> None:
+            for p in pieces:
+                numbers[p] = len(sizes)
+                sizes.append(len(p.encode()) + 1)
+            runs.append(found)
+
+        # pieces are cut where no merge crosses, so those joined by spaces keep their tokens, but for the last of a text that ends in white space
+        alone = [p for p in distinct if not self.cuttable or p[-1].isspace()]
+        listed = [p for p in distinct if self.cuttable and not p[-1].isspace()]
+        joined = [listed[start:end] for start, end in slabs([p.encode() for p in listed], RUN)]
+        for run in [*joined, *([p] for p in alone)]:
+            found = self.whole([" ".join(run)])[0] if len(run) > 1 else None
+            if found:
+                add(run, found)
+                continue
+            for piece, own in zip(run, self.whole(run)):
+                if own:
+                    add([piece], own)
         out = []
-        for text, pieces in zip(texts, cut):
-            rows = [kept[p] for p in pieces]
-            # a piece whose bytes differ settles nothing about the text: then the whole text is encoded
-            out.append(tuple(b"".join([r[k] for r in rows]) for k in range(4)) if text and None not in rows else self.whole([text])[0] if text else None)
-        if len(kept) > KEPT_PIECES:
-            kept.clear()
-        for p in unknown:
-            if len(p) > PIECE_CHARS:
-                kept.pop(p, None)
-        return out
+        for text, own in zip(texts, cut):
+            row = [numbers.get(p) for p in own]
+            if None in row:  # a piece whose bytes differ settles nothing about the text: then the whole text is encoded
+                found = self.whole([text])[0] if len(row) > 1 else None
+                row = [len(sizes)] if found else []
+                if found:
+                    runs.append(found)
+                    sizes.append(len(text.encode()) + 1)
+            out.append(row)
+        return out, runs, sizes
+
+
+def lists(rows: list, dtype: type, kind: pa.DataType) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    values = np.concatenate([np.empty(0, dtype), *(np.asarray(r, dtype) for r in rows)])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
 def tokenised(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """doc_id and, for both tokenizers, the ids and the byte ends of the tokens of a space and the text."""
+    """Slabs: `docs`, documents as structs of doc_id and the numbers of their pieces; of all pieces one after another, both tokenizers' ids and byte ends (a_ids, a_ends, b_ids, b_ends) and the pieces' own (piece_ends)."""
+    id_type = docs.schema["doc_id"].dataType
     numbers = ArrayType(IntegerType())
-    schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), *(StructField(c, numbers) for c in ("a_ids", "a_ends", "b_ids", "b_ends"))])
-
-    def listed(found: list[tuple[bytes, ...] | None], k: int, ends: bool) -> pa.Array:
-        parts = [np.frombuffer(f[k], np.int32) if f else np.empty(0, np.int32) for f in found]
-        offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-        values = np.concatenate([np.cumsum(p, dtype=np.int32) for p in parts] if ends else parts)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+    names = ["a_ids", "a_ends", "b_ids", "b_ends", "piece_ends"]
+    schema = StructType([StructField("docs", ArrayType(StructType([StructField("doc_id", id_type), StructField("pieces", numbers)]))), *(StructField(n, numbers) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         tables = worker_tables("alignment")
-        for batch in batches:
+        ids, texts, size, kind = [], [], 0, pa.int64()
+
+        def out() -> pa.RecordBatch:
             tokens = tables.get((a_path, b_path)) or tables.setdefault((a_path, b_path), Tokens((a_path, b_path)))
-            texts = [t or "" for t in column_values(batch, "text")]
-            for start, end in slabs([t.encode() for t in texts], SLAB):
-                found = tokens.encode(texts[start:end])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, end - start), *(listed(found, k, k % 2 == 1) for k in range(4))], names=schema.names)
+            rows, runs, sizes = tokens.pieces(texts)
+            sides = [np.concatenate([np.empty(0, np.int32), *(r[k] for r in runs)]) for k in range(4)]
+            sides = [sides[0], np.cumsum(sides[1], dtype=np.int32), sides[2], np.cumsum(sides[3], dtype=np.int32), np.cumsum(np.array(sizes, np.int32), dtype=np.int32)]
+            documents = pa.StructArray.from_arrays([pa.array(ids, kind), lists(rows, np.int32, pa.int32())], ["doc_id", "pieces"])
+            columns = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x, pa.int32())) for x in (documents, *sides)]
+            return pa.RecordBatch.from_arrays(columns, names=["docs", *names])
+
+        for batch in batches:
+            kind = batch.schema.field("doc_id").type
+            for doc, text in zip(column_values(batch, "doc_id"), column_values(batch, "text")):
+                ids.append(doc)
+                texts.append(text or "")
+                size += len(texts[-1]) + 100
+                if size > SLAB:
+                    yield out()
+                    ids, texts, size = [], [], 0
+        if ids:
+            yield out()
 
     return map_arrow(docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")), schema, run, keeps="alignment")
 
 
-def number_at(ends: str) -> Column:
-    """The number of the token at each byte, by repeating every token's number over its bytes."""
-    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(F.col(ends), i - 1))
-    return F.flatten(F.transform(ends, lambda end, i: F.array_repeat(i, end - before(i))))
+def let(values: list[Column], body: Callable[[Column], Column]) -> Column:
+    """`body` of a struct of values that are computed once: the optimiser may put a column's expression into a lambda, where every element would compute it again."""
+    return F.get(F.transform(F.array(F.struct(*values)), body), F.lit(0))
+
+
+def upto(ends: Column) -> Column:
+    """For each number of bytes, how many of the ranges with these ends begin before it: every range's number repeated over its bytes, after a zero."""
+    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))
+    return F.concat(F.array(F.lit(0)), F.flatten(F.transform(ends, lambda end, i: F.array_repeat(i + 1, end - before(i)))))
+
+
+def aligned(tokens: DataFrame, bits: int, wide: bool = False) -> DataFrame:
+    """One row a document: doc_id, n_a, n_b, n_groups, `groups` (`a1,a2|b1;a3|b2`) and `links` (numbers: A's id shifted by `bits`, and B's)."""
+    number = "bigint" if wide else "int"
+    column = F.col
+    held = [*(column(c).alias(c) for c in ("docs", "a_ids", "b_ids", "piece_ends")), upto(column("a_ends")).alias("a_at"), upto(column("b_ends")).alias("b_at"), F.array_sort(F.array_union("a_ends", "b_ends")).alias("ends"), F.array_intersect("a_ends", "b_ends").alias("bounds")]
+    at = lambda places, of: F.concat(F.array(F.lit(0)), F.transform(places, lambda end: F.get(of, end)))
+
+    def links(x: Column) -> Column:
+        shifted = lambda e: F.call_function("shiftleft", F.get(x["a_ids"], F.get(x["a_at"], e) - 1).cast(number), F.lit(bits))
+        return F.transform(x["ends"], lambda e: shifted(e).bitwiseOR(F.get(x["b_ids"], F.get(x["b_at"], e) - 1).cast(number)))
+
+    def groups(y: Column) -> Column:
+        def shown(texts: Column, first: Column, after: Column) -> Column:
+            return F.when(after == first + 1, F.get(texts, first)).otherwise(F.array_join(F.slice(texts, first + 1, after - first), ","))
 
+        return F.transform(F.sequence(F.lit(1), F.size(y["a_to"]) - 1), lambda k: F.concat(shown(y["a_text"], F.get(y["a_to"], k - 1), F.get(y["a_to"], k)), F.lit("|"), shown(y["b_text"], F.get(y["b_to"], k - 1), F.get(y["b_to"], k))))
 
-def aligned(tokens: DataFrame) -> DataFrame:
-    """`groups`, arrays of structs of the ids a and b between common ends, and `links`, structs of ids a and b that overlap, besides the columns of `tokenised`."""
-    placed = tokens.withColumn("__a", number_at("a_ends")).withColumn("__b", number_at("b_ends")).withColumn("__bounds", F.array_intersect("a_ends", "b_ends"))
+    def bounded(x: Column) -> Column:
+        fields = ("docs", "a_ids", "b_ids", "piece_ends", "a_at", "b_at", "ends", "bounds")
+        return let([*(x[c].alias(c) for c in fields), upto(x["bounds"]).alias("g_at"), upto(x["ends"]).alias("l_at")], pieces)
 
-    def part(ids: str, at: str, end: Column, k: Column) -> Column:
-        first = F.when(k == 0, F.lit(0)).otherwise(F.get(F.col(at), F.get(F.col("__bounds"), k - 1) - 1) + 1)
-        return F.slice(F.col(ids), first + 1, F.get(F.col(at), end - 1) - first + 1)
+    def pieces(x: Column) -> Column:
+        texts = let([x["a_ids"].cast("array<string>").alias("a_text"), x["b_ids"].cast("array<string>").alias("b_text"), at(x["bounds"], x["a_at"]).alias("a_to"), at(x["bounds"], x["b_at"]).alias("b_to")], groups)
+        text = F.when(F.size(x["bounds"]) > 0, texts).otherwise(F.array().cast("array<string>"))
+        places = [at(x["piece_ends"], x["a_at"]).alias("a_to"), at(x["piece_ends"], x["b_at"]).alias("b_to"), at(x["piece_ends"], x["g_at"]).alias("g_to"), at(x["piece_ends"], x["l_at"]).alias("l_to")]
+        return let([x["docs"].alias("docs"), F.size(x["piece_ends"]).alias("n"), text.alias("groups"), links(x).alias("links"), *places], by_piece)
 
-    groups = F.transform("__bounds", lambda end, k: F.struct(part("a_ids", "__a", end, k).alias("a"), part("b_ids", "__b", end, k).alias("b")))
-    links = F.transform(F.array_union("a_ends", "b_ends"), lambda end: F.struct(F.get(F.col("a_ids"), F.get(F.col("__a"), end - 1)).alias("a"), F.get(F.col("b_ids"), F.get(F.col("__b"), end - 1)).alias("b")))
-    return placed.withColumn("groups", groups).withColumn("links", links).drop("__a", "__b", "__bounds")
+    def by_piece(y: Column) -> Column:
+        numbers = F.when(y["n"] > 0, F.sequence(F.lit(1), y["n"])).otherwise(F.array().cast("array<int>"))
+        count = lambda c: F.transform(numbers, lambda k: F.get(y[c], k) - F.get(y[c], k - 1))
+        part = lambda c, t: F.transform(numbers, lambda k: F.slice(y[c], F.get(y[t], k - 1) + 1, F.get(y[t], k) - F.get(y[t], k - 1)))
+        joined = F.transform(part("groups", "g_to"), lambda g: F.array_join(g, ";"))
+        return let([y["docs"].alias("docs"), joined.alias("groups"), part("links", "l_to").alias("links"), count("a_to").alias("n_a"), count("b_to").alias("n_b"), count("g_to").alias("n_groups")], documents)
 
+    def documents(z: Column) -> Column:
+        pick = lambda d, c: F.transform(d["pieces"], lambda i: F.get(z[c], i))
+        total = lambda d, c: F.aggregate(d["pieces"], F.lit(0).cast("long"), lambda n, i: n + F.get(z[c], i)).alias(c)
+        return F.transform(z["docs"], lambda d: F.struct(d["doc_id"].alias("doc_id"), *(total(d, c) for c in ("n_a", "n_b", "n_groups")), F.array_join(pick(d, "groups"), ";").alias("groups"), F.flatten(pick(d, "links")).alias("links")))
 
-def digest(groups: str) -> Column:
-    """`a1,a2|b1;a3|b2,b3` of the groups, hashed; empty without groups."""
-    shown = F.array_join(F.transform(groups, lambda g: F.concat(F.array_join(g["a"], ","), F.lit("|"), F.array_join(g["b"], ","))), ";")
-    return F.when(F.size(groups) > 0, F.sha2(shown, 256)).otherwise(F.lit(""))
+    return tokens.select(F.inline(let(held, bounded)))
 
 
 def vocabulary_size(path: str) -> int:
@@ -179,10 +244,10 @@ def vocabulary_size(path: str) -> int:
     return sentencepiece.SentencePieceProcessor(model_file=path).get_piece_size()
 
 
-def counted_pairs(documents: DataFrame, b_size: int) -> DataFrame:
-    """pair, count (documents that hold it linked), best (its count is the highest of its A id); a pair is a * b_size + b."""
+def counted_pairs(documents: DataFrame, bits: int) -> DataFrame:
+    """pair, count (documents that hold it linked), best (its count is the highest of its A id); a pair is A's id shifted by `bits`, and B's."""
     counts = documents.select(F.explode(F.array_distinct("pairs")).alias("pair")).groupBy("pair").agg(F.count("*").alias("count"))
-    of_a = Window.partitionBy(F.floor(F.col("pair") / b_size))  # at most b_size rows each
+    of_a = Window.partitionBy(F.shiftright("pair", bits))  # at most B's vocabulary
     return counts.withColumn("best", F.col("count") == F.max("count").over(of_a))
 
 
@@ -195,17 +260,14 @@ def align(docs: DataFrame, a_path: str, b_path: str, broadcast_pairs: int = BROA
     key has more rows than that share allows.
     """
     spark = docs.sparkSession
-    b_size = vocabulary_size(b_path)
-    fits = vocabulary_size(a_path) * b_size < 1 << 31
-    folder, pairs_type = stage_folder(spark), "array<int>" if fits else "array<bigint>"
-    lean = aligned(tokenised(docs, a_path, b_path)).select(
-        "doc_id", F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), F.size("groups").cast("long").alias("n_groups"),
-        F.aggregate("groups", F.lit(0).cast("long"), lambda n, g: n + F.size(g["a"]) + F.size(g["b"]) - 1).alias("n_links"),
-        F.transform("links", lambda x: x["a"].cast("long") * b_size + x["b"]).cast(pairs_type).alias("pairs"), digest("groups").alias("groups_sha256"),
-    )
+    bits = (vocabulary_size(b_path) - 1).bit_length()
+    wide = vocabulary_size(a_path) << bits > 1 << 31
+    folder = stage_folder(spark)
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
+    lean = aligned(tokenised(docs, a_path, b_path), bits, wide).select("doc_id", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), F.col("links").alias("pairs"), digest.alias("groups_sha256"))
     lean.withColumn("row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(f"{folder}/documents")
     documents = spark.read.parquet(f"{folder}/documents")
-    counted_pairs(documents, b_size).write.parquet(f"{folder}/pairs")
+    counted_pairs(documents, bits).write.parquet(f"{folder}/pairs")
     pairs = spark.read.parquet(f"{folder}/pairs")
     held, total = pairs.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
     links = documents.select("row", F.explode("pairs").alias("pair"))
