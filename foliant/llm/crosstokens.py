@@ -31,7 +31,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from foliant.llm.common import column_values, map_arrow, remove_folder, slabs, stage_folder, worker_tables
 
 CUT = re.compile(r"(?<=\S) (?!\Z)")
-SLAB, RUN = 8 << 20, 1 << 16
+SLAB, RUN = 2 << 20, 1 << 16
 #: Pairs that a broadcast may hold; beyond it only the frequent ones go that way, which are fewer by their threshold.
 BROADCAST_PAIRS = 1 << 21
 
