@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from foliant.functions import paths
 from foliant.functions.text import SECRET_PATTERNS, capped, card_numbers, identity, secret_labels, slug
 from foliant.registry import query, table
+from foliant.shared import spread
 
 #: Texts to screen: documents and pages, with a made-up hit of each kind of secret here and there.
 PLANTED = "CASE {0} % 23 WHEN 1 THEN ' AKIA' || 'ABCDEFGHIJKLMNOP' WHEN 2 THEN ' ghp_' || 'abcdefghijklmnopqrstuvwx' WHEN 3 THEN ' -----BEGIN RSA PRIVATE' || ' KEY-----' WHEN 4 THEN ' 123-45-6789 ' WHEN 5 THEN ' sk-' || 'abcdefghijklmnopqrstuv' WHEN 6 THEN ' xoxb-' || 'abcdefghijklmnopqrstuv' WHEN 7 THEN ' github_pat_' || 'abcdefghijklmnopqrstuv' WHEN 8 THEN ' 4111 1111 1111 1111 and 4111-1111-1111-1111 ' ELSE '' END"
@@ -19,7 +20,7 @@ SCREENED_SQL = "texts AS (" + " UNION ALL ".join(f"SELECT {p} AS path, {t} AS te
 
 
 def screened(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [table(spark, sf_dir, name).selectExpr(f"{p} AS path", f"{t} AS text") for name, p, t in SCREENED]
+    parts = [spread(table(spark, sf_dir, name).selectExpr(f"{p} AS path", f"{t} AS text")) for name, p, t in SCREENED]
     return parts[0].unionByName(parts[1])
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 from foliant.functions import paths
 from foliant.operators.diffs import SNAPSHOTS_SQL, snapshot_diff, snapshots
 from foliant.registry import query, table
+from foliant.shared import scratch
+from foliant.streaming import feed
 from foliant.streaming.journal import KINDS, Journal, accepted, applied_manifest, claim, finish_counts, finish_status, high_water, materialize_sources, replay, unqueued
 
 
@@ -62,8 +63,7 @@ def observed(events: DataFrame) -> DataFrame:
 
 
 def folder(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(named or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/foliant-stream-{uuid.uuid4().hex}"
+    return scratch(spark, "stream")
 
 
 CHANGES_SQL = """c AS (SELECT event_id AS n, ts, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' WHEN 'purchase' THEN 'moved' ELSE 'modified' END AS kind, 'notes/' || user_id || '.md' AS p FROM events),
@@ -166,8 +166,29 @@ def journal_high_water(spark: SparkSession, sf_dir: str) -> DataFrame:
 NATIVE = {"event_type": "CASE event_id % 8 WHEN 0 THEN 'created' WHEN 1 THEN 'moved' WHEN 2 THEN 'deleted' WHEN 3 THEN 'closed' WHEN 4 THEN 'opened' WHEN 5 THEN 'modified' WHEN 6 THEN 'accessed' ELSE 'modified' END", "is_directory": "event_id % 11 = 0", "src_path": "'a/' || user_id", "dest_path": "'b/' || user_id", "observed_at": "ts", "n": "event_id"}
 
 
-@query("WITH e AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in NATIVE.items()) + """ FROM events) SELECT n, CASE WHEN event_type IN ('created', 'moved', 'deleted') THEN event_type ELSE 'modified' END AS event_kind, CASE event_type WHEN 'moved' THEN dest_path WHEN 'deleted' THEN NULL ELSE src_path END AS current_path,
-CASE WHEN event_type IN ('moved', 'deleted') THEN src_path END AS previous_path FROM e WHERE NOT is_directory AND event_type <> 'accessed'""")
+NATIVE_SQL = "WITH e AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in NATIVE.items()) + """ FROM events) SELECT n, CASE WHEN event_type IN ('created', 'moved', 'deleted') THEN event_type ELSE 'modified' END AS event_kind, CASE event_type WHEN 'moved' THEN dest_path WHEN 'deleted' THEN NULL ELSE src_path END AS current_path,
+CASE WHEN event_type IN ('moved', 'deleted') THEN src_path END AS previous_path FROM e WHERE NOT is_directory AND event_type <> 'accessed'"""
+
+
+@query(NATIVE_SQL)
+def watch_log_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A watcher's log read as a stream that is stopped and started again: moves and deletes arrive, and each event once."""
+    place = folder(spark)
+    events = table(spark, sf_dir, "events").selectExpr(*[f"{e} AS {c}" for c, e in NATIVE.items()])
+    middle = events.agg(F.floor(F.avg("n"))).first()[0] or 0
+
+    def run() -> None:
+        found = native_changes(feed.watch_log(spark, f"{place}/log")).select("n", "event_kind", "current_path", "previous_path")
+        found.writeStream.format("parquet").option("path", f"{place}/changes").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    for part, rows in (("0", events.where(F.col("n") <= middle)), ("1", events.where(F.col("n") > middle))):
+        feed.as_segments(rows, f"{place}/written{part}")
+        feed.append_segments(spark, f"{place}/written{part}", f"{place}/log", part)
+        run()
+    return spark.read.schema("n long, event_kind string, current_path string, previous_path string").parquet(f"{place}/changes")
+
+
+@query(NATIVE_SQL)
 def native_event_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").selectExpr(*[f"{e} AS {c}" for c, e in NATIVE.items()])
     return native_changes(events).select("n", "event_kind", "current_path", "previous_path")

@@ -1,8 +1,11 @@
 """The change journal: an append-only log of events and of their status changes, a lease, claims, guarded finishes and replay.
 
-Events are written once, in a folder for each micro-batch, so a repeated batch writes the same place
-again and a restarted writer finds all earlier ones.  A status change is a row of its own, in a folder
-for each step; an event's state is that of its last change.  Nothing is rewritten.
+Events are written once, in a folder for each micro-batch, and a batch that is there already is not written
+again.  A status change is a row of its own, in a folder for each step; an event's state is that of its last
+change.  Every COMPACT_EVERY folders the log is compacted: a snapshot holds the events that are still open and,
+apart, those that closed since the one before, and a head names what it covers.  Appending, claiming and
+finishing read the open events and the tail of the log only, whatever its age; the folders that an older head
+covers are removed.  Only `read` looks at closed events.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ import json
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Kinds and statuses of events, and which statuses may be claimed, are open, or end a claim.
@@ -23,8 +26,10 @@ FINISHES = ["applied", "review-required", "failed"]
 
 EVENT = "sequence long, event_kind string, current_path string, previous_path string, observed_at timestamp, source_id string, fingerprint string"
 CHANGE = "sequence long, status string, retries int, error_summary string, step long"
+STATE = EVENT + ", status string, retry_count int, error_summary string"
 COLUMNS = ["sequence", "event_kind", "current_path", "previous_path", "observed_at", "source_id", "fingerprint", "status", "retry_count", "error_summary"]
-NUMBER_BUCKETS = 256
+#: Folders of the tail that make a compaction due.
+COMPACT_EVERY = 32
 ERROR_CHARS = 160
 
 
@@ -32,20 +37,23 @@ class JournalError(ValueError):
     """A step that the journal refuses."""
 
 
-def numbered(rows: DataFrame, order: str, start: int) -> DataFrame:
-    """Rows with `sequence` from start + 1 in the order of a long column: by ranges of it, whose counts alone are gathered, so no task sees all rows."""
-    low, high = rows.agg(F.min(order), F.max(order)).first()
-    if low is None:
-        return rows.withColumn("sequence", F.lit(None).cast("long"))
-    bucket = F.floor((F.col(order) - F.lit(low)) * NUMBER_BUCKETS / F.lit(high - low + 1)).cast("int")
-    split = rows.withColumn("_b", bucket)
+def numbered(rows: DataFrame, order: str, start: int, folder: str) -> DataFrame:
+    """Rows with `sequence` from start + 1 in the order of a column, ties by all others.
+
+    Rows are sorted by ranges and written with their range and place; ranges' counts alone are gathered.  A burst of
+    equal times is split among ranges by the other columns, so no task sees all rows.
+    """
+    by = [order, *(c for c in rows.columns if c != order)]
+    sorted_rows = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    placed = sorted_rows.withColumn("_b", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    placed.write.mode("overwrite").parquet(folder)
+    held = rows.sparkSession.read.schema(placed.schema).parquet(folder)
     offsets, done = [], start
-    for b, n in sorted((r["_b"], r["count"]) for r in split.groupBy("_b").count().collect()):  # at most NUMBER_BUCKETS rows
+    for b, n in sorted((r["_b"], r["count"]) for r in held.groupBy("_b").count().collect()):  # a row for each range
         offsets.append((b, done))
         done += n
     before = rows.sparkSession.createDataFrame(offsets, "_b int, _before long")
-    own = F.row_number().over(Window.partitionBy("_b").orderBy(order))
-    return split.join(F.broadcast(before), "_b").withColumn("sequence", F.col("_before") + own).drop("_b", "_before")
+    return held.join(F.broadcast(before), "_b").withColumn("sequence", F.col("_before") + F.col("_i") + 1).drop("_b", "_i", "_before")
 
 
 def same_event(left: str, right: str) -> list:
@@ -89,49 +97,149 @@ def high_water(journal: DataFrame) -> DataFrame:
 class Journal:
     """A journal in one folder of a store that Spark reads and writes."""
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, compact_every: int = COMPACT_EVERY) -> None:
+        self.spark, self.folder, self.compact_every = spark, folder.rstrip("/"), compact_every
 
     def _path(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
+    def _names(self, name: str) -> list[int]:
+        fs, path = self._path(name)
+        found = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(int(n) for n in found if n.isdigit())
+
     def _numbers(self, name: str) -> list[int]:
-        """The numbers of the folders written so far, those that were committed only."""
+        """The numbers of the folders that are there, those that were committed only."""
         fs, path = self._path(name)
-        if not fs.exists(path):
-            return []
-        found = [s.getPath() for s in fs.listStatus(path)]
         jvm = self.spark._jvm.org.apache.hadoop.fs.Path
-        return sorted(int(p.getName()) for p in found if p.getName().isdigit() and fs.exists(jvm(p, "_SUCCESS")))
+        return [n for n in self._names(name) if fs.exists(jvm(path, f"{n}/_SUCCESS"))]
+
+    def _told(self, name: str) -> str:
+        """A small file as text."""
+        fs, path = self._path(name)
+        stream = fs.open(path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _tell(self, name: str, text: str, again: bool = False) -> None:
+        fs, path = self._path(name)
+        out = fs.create(path, again)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def _remove(self, name: str) -> None:
+        fs, path = self._path(name)
+        fs.delete(path, True)
 
     def _rows(self, name: str, numbers: list[int], schema: str) -> DataFrame:
         if not numbers:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{name}/{n}" for n in numbers])
-
-    def read(self, below: int | None = None) -> DataFrame:
-        """All events with their state; of batches below a number only, if given."""
-        events = self._rows("events", [n for n in self._numbers("events") if below is None or n < below], EVENT)
-        changes = self._rows("changes", self._numbers("changes"), CHANGE)
-        last = changes.groupBy("sequence").agg(F.max_by(F.struct("status", "error_summary"), "step").alias("last"), F.sum("retries").alias("retry_count"))
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{name.format(n)}" for n in numbers])
+
+    def head(self) -> dict:
+        """What the last snapshot covers: batches and steps up to its numbers, the last sequence, and where closed events begin."""
+        for number in reversed(self._names("heads")):
+            text = self._told(f"heads/{number}")
+            if text:  # else a writer has not finished it
+                return json.loads(text)
+        return {"number": 0, "batch": -1, "step": -1, "last": 0, "closed_from": 1}
+
+    def tail(self, head: dict | None = None) -> tuple[list[int], list[int]]:
+        """Batches and steps that the last snapshot does not cover."""
+        head = head or self.head()
+        return [n for n in self._numbers("events") if n > head["batch"]], [n for n in self._numbers("changes") if n > head["step"]]
+
+    def _state(self, head: dict, batches: list[int], steps: list[int], whole: bool) -> DataFrame:
+        """Events of the snapshot and the given tail with their state; closed ones of the snapshots too if `whole`."""
+        names = [f"snapshots/{head['number']}/open"] if head["number"] else []
+        names += [f"snapshots/{n}/closed" for n in range(head["closed_from"], head["number"] + 1)] if whole else []
+        held = self.spark.read.schema(STATE).parquet(*[f"{self.folder}/{n}" for n in names]) if names else self.spark.createDataFrame([], STATE)
+        fresh = self._rows("events/{}", batches, EVENT).select(*COLUMNS[:7], F.lit("queued").alias("status"), F.lit(0).alias("retry_count"), F.lit(None).cast("string").alias("error_summary"))
+        events = held.unionByName(fresh) if batches else held
+        if not steps:
+            return events
+        last = self._rows("changes/{}", steps, CHANGE).groupBy("sequence").agg(F.max_by(F.struct("status", "error_summary"), "step").alias("last"), F.sum("retries").alias("more"))
+        changed = F.col("last").isNotNull()
         joined = events.join(last, "sequence", "left")
-        return joined.select(*[c for c in COLUMNS[:7]], F.coalesce("last.status", F.lit("queued")).alias("status"), F.coalesce("retry_count", F.lit(0)).cast("int").alias("retry_count"), F.col("last.error_summary").alias("error_summary"))
+        return joined.select(*COLUMNS[:7], F.when(changed, F.col("last.status")).otherwise(F.col("status")).alias("status"), (F.col("retry_count") + F.coalesce("more", F.lit(0))).cast("int").alias("retry_count"), F.when(changed, F.col("last.error_summary")).otherwise(F.col("error_summary")).alias("error_summary"))
+
+    def read(self) -> DataFrame:
+        """All events with their state, closed ones included."""
+        head = self.head()
+        return self._state(head, *self.tail(head), whole=True)
+
+    def opened(self, below: int | None = None) -> DataFrame:
+        """The events of the snapshot that were open and those of the tail, with their state; of batches below a number only, if given."""
+        head = self.head()
+        batches, steps = self.tail(head)
+        return self._state(head, [n for n in batches if below is None or n < below], steps, whole=False)
+
+    def last_sequence(self) -> int:
+        """The highest sequence so far."""
+        head = self.head()
+        batches, _ = self.tail(head)
+        tail = self._rows("events/{}", batches, EVENT).agg(F.max("sequence")).first()[0] if batches else None
+        return max(head["last"], tail or 0)
 
     def append(self, changes: DataFrame, batch_id: int, order: str = "n") -> None:
-        """Queue a batch's changes that are not open yet; the same batch again writes the same."""
-        journal = self.read(below=batch_id)
-        start = journal.agg(F.max("sequence")).first()[0] or 0
-        fresh = unqueued(journal, changes.where(F.col("event_kind").isin(KINDS)))
-        have = set(fresh.columns)
-        rows = numbered(fresh, order, start).select("sequence", "event_kind", "current_path", "previous_path", "observed_at", *[F.col(c) if c in have else F.lit("").alias(c) for c in ("source_id", "fingerprint")])
-        rows.write.mode("overwrite").parquet(f"{self.folder}/events/{batch_id}")
+        """Queue a batch's changes that are not open yet; batches have growing numbers, and one that is there already stays as it is."""
+        head = self.head()
+        if batch_id <= head["batch"] or batch_id in self._numbers("events"):
+            return
+        fresh = unqueued(self.opened(), changes.where(F.col("event_kind").isin(KINDS)))
+        staged = f"{self.folder}/staged/{batch_id}"
+        rows = numbered(fresh, order, self.last_sequence(), staged)
+        have = set(rows.columns)
+        own = rows.select("sequence", "event_kind", "current_path", "previous_path", "observed_at", *[F.col(c) if c in have else F.lit("").alias(c) for c in ("source_id", "fingerprint")])
+        own.write.mode("overwrite").parquet(f"{self.folder}/events/{batch_id}")
+        self._remove(f"staged/{batch_id}")
+        self.compact_if_due()
+
+    def compact_if_due(self) -> None:
+        if sum(map(len, self.tail())) >= self.compact_every:
+            self.compact()
+
+    def compact(self, whole: bool = False) -> None:
+        """Write the next snapshot; `whole` sorts all events anew, closed ones too.
+
+        The head is created last and by one writer only.  What the head before covered is removed, so a reader that has
+        just looked at that one still finds its tail.
+        """
+        head = self.head()
+        batches, steps = self.tail(head)
+        number = head["number"] + 1
+        state = self._state(head, batches, steps, whole)
+        is_open = F.col("status").isin(OPEN)
+        for name, rows in (("open", state.where(is_open)), ("closed", state.where(~is_open))):
+            rows.write.mode("overwrite").parquet(f"{self.folder}/snapshots/{number}/{name}")
+        found = {"number": number, "batch": max([head["batch"], *batches]), "step": max([head["step"], *steps]), "last": self.last_sequence(), "closed_from": number if whole else head["closed_from"]}
+        try:
+            self._tell(f"heads/{number}", json.dumps(found))
+        except Exception:  # another writer was first; its snapshot holds
+            return
+        for name, covered in (("events", head["batch"]), ("changes", head["step"])):
+            for old in self._names(name):
+                if old <= covered:
+                    self._remove(f"{name}/{old}")
+        for old in self._names("heads"):
+            if old < number - 1:
+                self._remove(f"heads/{old}")
+                self._remove(f"snapshots/{old}/open")
+        for old in self._names("snapshots"):
+            if old < min(found["closed_from"], head["closed_from"]):
+                self._remove(f"snapshots/{old}")
+        for old in self._names("lease")[:-2]:
+            self._remove(f"lease/{old}")
 
     def change(self, rows: DataFrame, retries: int = 0) -> None:
         """Write status changes (sequence, status, error_summary) as the next step."""
-        step = (self._numbers("changes") or [-1])[-1] + 1
+        step = max([self.head()["step"], *self._names("changes")]) + 1
         own = rows.select("sequence", "status", F.lit(retries).alias("retries"), F.left("error_summary", F.lit(ERROR_CHARS)).alias("error_summary"), F.lit(step).cast("long").alias("step"))
         own.write.mode("overwrite").parquet(f"{self.folder}/changes/{step}")
+        self.compact_if_due()
 
     def transition(self, sequences: list[int], status: str, error: str = "", retry: bool = False) -> None:
         """Set the status of some events, whatever it was."""
@@ -141,11 +249,14 @@ class Journal:
         if set(sequences) - known:
             raise JournalError(f"no such events: {sorted(set(sequences) - known)}")
         rows = self.spark.createDataFrame([(s, status, error) for s in sequences], "sequence long, status string, error_summary string")
+        closed = {r["sequence"] for r in self.read().where(F.col("sequence").isin(sequences) & ~F.col("status").isin(OPEN)).select("sequence").collect()}
         self.change(rows, int(retry))
+        if closed and status in OPEN:  # back among the open events of the snapshot
+            self.compact(whole=True)
 
     def recover(self, retry_failed: bool = False) -> int:
         """Put interrupted events, and failed ones on demand, back into the queue with one more retry."""
-        again = self.read().where(F.col("status").isin(["processing", "failed"] if retry_failed else ["processing"])).select("sequence", F.lit("queued").alias("status"), F.lit(None).cast("string").alias("error_summary"))
+        again = self.opened().where(F.col("status").isin(["processing", "failed"] if retry_failed else ["processing"])).select("sequence", F.lit("queued").alias("status"), F.lit(None).cast("string").alias("error_summary"))
         n = again.count()
         if n:
             self.change(again, retries=1)
@@ -174,33 +285,26 @@ class Journal:
             raise JournalError(f"{holder} does not hold the lease")
 
     def _leases(self) -> tuple[list[int], dict | None]:
-        fs, path = self._path("lease")
-        numbers = sorted(int(s.getPath().getName()) for s in fs.listStatus(path)) if fs.exists(path) else []
+        numbers = self._names("lease")
         if not numbers:
             return [], None
-        text = self.spark.read.text(f"{self.folder}/lease/{numbers[-1]}", wholetext=True).first()
-        return numbers, json.loads(text[0]) if text else None
+        text = self._told(f"lease/{numbers[-1]}")
+        return numbers, json.loads(text) if text else None
 
     def _write_lease(self, numbers: list[int], row: dict) -> None:
         """Write the next version of the lease; who finds it there has lost the race."""
-        fs, path = self._path(f"lease/{(numbers or [-1])[-1] + 1}")
         try:
-            out = fs.create(path, False)
+            self._tell(f"lease/{(numbers or [-1])[-1] + 1}", json.dumps(row))
         except Exception as e:
             raise JournalError("the lease was taken at the same time") from e
-        out.write(bytearray(json.dumps(row).encode()))
-        out.close()
 
     def note(self, key: str, value: str) -> None:
         """Keep a value, such as the time of the last reconciliation."""
-        fs, path = self._path(f"meta/{key}")
-        out = fs.create(path, True)
-        out.write(bytearray(value.encode()))
-        out.close()
+        self._tell(f"meta/{key}", value, again=True)
 
     def noted(self, key: str) -> str:
         fs, path = self._path(f"meta/{key}")
-        return self.spark.read.text(f"{self.folder}/meta/{key}", wholetext=True).first()[0] if fs.exists(path) else ""
+        return self._told(f"meta/{key}") if fs.exists(path) else ""
 
     def status(self) -> DataFrame:
         """Events by status, all statuses present, and the highest sequence of each."""
@@ -220,37 +324,46 @@ def finish_status(outcomes: DataFrame) -> DataFrame:
     return outcomes.select("sequence", status.alias("status"), F.when(status != "applied", F.col("result")).alias("error_summary"))
 
 
-def drain(journal: Journal, holder: str, materialize: Materializer, at_once: int = 10_000, most: int | None = None) -> int:
-    """Claim, materialise and finish events until none is left or `most` are done; an exception fails the claimed events."""
+def drain(journal: Journal, holder: str, materialize: Materializer, at_once: int = 10_000, most: int | None = None, clock: Callable[[], datetime] | None = None, ttl: int = 300) -> int:
+    """Claim, materialise and finish events until none is left or `most` are done; an exception fails the claimed events.
+
+    The lease is renewed before every round and again before its outcomes are written, so a drain may last longer than it;
+    who has lost it meanwhile writes nothing more.
+    """
+    now = clock or (lambda: datetime.now(timezone.utc))
     done = 0
+    journal.require(holder, now())
     while most is None or done < most:
-        journal.require(holder)
-        claimed = claim(journal.read(), at_once if most is None else min(at_once, most - done))
+        journal.acquire(holder, now(), ttl)
+        claimed = claim(journal.opened(), at_once if most is None else min(at_once, most - done))
         journal.change(claimed.select("sequence", "status", F.lit(None).cast("string").alias("error_summary")))
-        held = journal.read().where("status = 'processing'")
+        held = journal.opened().where("status = 'processing'")
         n = held.count()
         if n == 0:
             break
         try:
             outcomes = finish_status(materialize(held))
-            journal.change(accepted(journal.read(), outcomes.select("sequence", "status", "error_summary")))
-            left = journal.read().where("status = 'processing'").select("sequence", F.lit("failed").alias("status"), F.lit("no outcome").alias("error_summary"))
+            journal.acquire(holder, now(), ttl)
+            journal.change(accepted(journal.opened(), outcomes.select("sequence", "status", "error_summary")))
+            left = journal.opened().where("status = 'processing'").select("sequence", F.lit("failed").alias("status"), F.lit("no outcome").alias("error_summary"))
             if not left.isEmpty():
                 journal.change(left)
         except JournalError:
             raise
         except Exception as e:
-            journal.change(held.select("sequence", F.lit("failed").alias("status"), F.lit(str(e) or type(e).__name__).alias("error_summary")))
+            left = journal.opened().where("status = 'processing'")
+            journal.change(left.select("sequence", F.lit("failed").alias("status"), F.lit(str(e) or type(e).__name__).alias("error_summary")))
         done += n
     return done
 
 
-def replay(journal: Journal, holder: str, materialize: Materializer, retry_failed: bool = False, at_once: int = 10_000, most: int | None = None) -> dict[str, int]:
+def replay(journal: Journal, holder: str, materialize: Materializer, retry_failed: bool = False, at_once: int = 10_000, most: int | None = None, **timing) -> dict[str, int]:
     """Under one lease: recover interrupted events, retry failed ones on demand, then drain."""
-    journal.acquire(holder)
+    now = timing["clock"]() if timing.get("clock") else None
+    journal.acquire(holder, now, timing.get("ttl", 300))
     try:
         recovered = journal.recover(retry_failed)
-        return {"recovered": recovered, "processed": drain(journal, holder, materialize, at_once, most)}
+        return {"recovered": recovered, "processed": drain(journal, holder, materialize, at_once, most, **timing)}
     finally:
         journal.release(holder)
 

@@ -74,10 +74,69 @@ def test_lease_finish_and_replay(spark, tmp_path):
     assert journal.high_water(own.read()).first().asDict() == {"last_observed": 8, "last_applied": 8, "applied_up_to": 1}
 
 
-def test_numbers_follow_an_order_without_one_task(spark):
+def test_numbers_follow_an_order_without_one_task(spark, tmp_path):
     rows = spark.createDataFrame([(i * i,) for i in range(500)], "n long").repartition(7)
-    got = journal.numbered(rows, "n", 10).orderBy("sequence").collect()
+    got = journal.numbered(rows, "n", 10, str(tmp_path / "a")).orderBy("sequence").collect()
     assert [(r.sequence, r.n) for r in got] == [(11 + i, i * i) for i in range(500)]
+    burst = spark.createDataFrame([(7, f"p{i:03}") for i in range(400)], "n long, path string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    placed = journal.numbered(burst, "n", 0, str(tmp_path / "b")).orderBy("sequence").collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [(r.sequence, r.path) for r in placed] == [(1 + i, f"p{i:03}") for i in range(400)]
+    assert spark.read.parquet(str(tmp_path / "b")).select("_b").distinct().count() > 1  # equal times in several tasks
+
+
+def test_journal_compacts_and_reads_its_tail_only(spark, tmp_path):
+    folder = str(tmp_path / "journal")
+    plain, held = {}, 0
+
+    def work(events):
+        return events.select("sequence", F.when(F.col("sequence") % 5 == 0, "unstable").otherwise("created").alias("result"))
+
+    for number in range(14):
+        own = journal.Journal(spark, folder, compact_every=5)  # a restart each time
+        own.append(batch(spark, (2 * number, "created", f"{number}.md", None), (2 * number + 1, "modified", "same.md", None)), number)
+        if number % 3 == 2:
+            journal.replay(own, "w", work)
+        batches, steps = own.tail()
+        assert len(batches) + len(steps) < 5
+        held = max(held, len(own._names("events")) + len(own._names("changes")))
+    assert held <= 12 and own.head()["number"] >= 4
+    rows = own.read().orderBy("sequence").collect()
+    assert [r.sequence for r in rows] == list(range(1, len(rows) + 1))
+    paths = [r.current_path for r in rows]
+    assert [p for p in paths if p != "same.md"] == [f"{n}.md" for n in range(14)] and paths.count("same.md") >= 2
+    assert all(r.status == ("failed" if r.sequence % 5 == 0 else "applied") for r in rows if r.sequence <= 4 or r.status in ("failed", "applied"))
+    own.append(batch(spark, (1, "created", "0.md", None)), 3)  # a batch that is covered is not written again
+    assert own.last_sequence() == len(rows)
+    opened = {r.sequence for r in own.opened().where(F.col("status").isin(journal.OPEN)).collect()}
+    assert opened == {r.sequence for r in rows if r.status in journal.OPEN}
+    own.transition([1], "queued", retry=True)  # a closed event is open again
+    again = journal.Journal(spark, folder)
+    assert {r.sequence: r.retry_count for r in again.opened().where("status = 'queued'").collect()}[1] == 1
+    assert again.read().count() == len(rows) and again.read().select("sequence").distinct().count() == len(rows)
+
+
+def test_long_drains_renew_their_lease(spark, tmp_path):
+    own = journal.Journal(spark, str(tmp_path / "journal"))
+    own.append(batch(spark, *[(i, "created", f"{i}.md", None) for i in range(4)]), 0)
+    times = [datetime(2024, 1, 1, tzinfo=timezone.utc)]
+
+    def clock():
+        times.append(times[-1] + timedelta(seconds=40))  # a round lasts longer than half the lease
+        return times[-1]
+
+    done = journal.replay(own, "w", lambda e: e.select("sequence", F.lit("created").alias("result")), at_once=1, clock=clock, ttl=60)
+    assert done["processed"] == 4 and times[-1] - times[0] > timedelta(seconds=300)
+
+    def robbed(events):
+        own.acquire("thief", clock() + timedelta(hours=1), 10_000)
+        return events.select("sequence", F.lit("created").alias("result"))
+
+    own.append(batch(spark, (9, "created", "z.md", None)), 1)
+    with pytest.raises(journal.JournalError):
+        journal.replay(own, "w", robbed, clock=clock, ttl=60)
+    assert [r.status for r in own.read().where("sequence = 5").collect()] == ["processing"]
 
 
 def test_sinks_refuse_and_replace(spark, tmp_path):
