@@ -35,6 +35,8 @@ NOTES = {
     "has_sentinel": "doc_id % 5 <> 0",
     "source_id": "CASE WHEN doc_id % 29 = 0 THEN '' ELSE 'src_' || doc_id END",
     "source_sha": "md5(coalesce(text, ''))",
+    "source": "CASE doc_id % 33 WHEN 0 THEN '' WHEN 11 THEN '../up.docx' WHEN 22 THEN 'x/' || doc_id || '.docx' ELSE lang || '/' || doc_id || '.docx' END",
+    "source_manifest": "CASE WHEN doc_id % 37 = 0 THEN 'other.json' ELSE '_meta/source-manifest.json' END",
     "annotated": "doc_id % 3 = 0",
     "sidecar": "CASE doc_id % 4 WHEN 0 THEN 'same' WHEN 1 THEN 'other' END",
     "body": "text",
@@ -56,6 +58,8 @@ RECORDS = {
     "size": "n_chars",
     "sha": "md5(coalesce(text, ''))",
     "source_exists": "doc_id % 10 <> 9",
+    "kind": "CASE WHEN doc_id % 10 = 9 THEN NULL WHEN doc_id % 14 = 1 THEN 'folder' WHEN doc_id % 15 = 2 THEN 'unreadable' ELSE 'file' END",
+    "sha_now": "CASE WHEN doc_id % 4 = 0 THEN 'changed' ELSE md5(coalesce(text, '')) END",
     "mirror_exists": "doc_id % 16 <> 15",
     "previous_mirror": "CASE doc_id % 6 WHEN 0 THEN 'gone/' || doc_id || '.md' ELSE '' END",
     "candidates": "CASE doc_id % 18 WHEN 0 THEN 'a' || doc_id || ';b;c;d;e;f;g' WHEN 1 THEN 'a;' ELSE '' END",
@@ -79,6 +83,13 @@ REPOS = {
     "warnings": "CASE s_suppkey % 3 WHEN 0 THEN 'Missing generated sentinel' ELSE '' END",
     "last_commit": "'c' || (s_suppkey % 13)",
     "note_commit": "'c' || (s_suppkey % 12)",
+    "note_manifest": "CASE WHEN s_suppkey % 17 = 0 THEN 'other.json' ELSE '_meta/repo-manifest.json' END",
+    "record_note": "CASE WHEN s_suppkey % 18 = 0 THEN 'repos/else.md' ELSE 'repos/' || s_suppkey || '.md' END",
+    "resolved_repo": "CASE s_suppkey % 11 WHEN 1 THEN 'org/else' ELSE '' END",
+    "source_type": "CASE WHEN s_suppkey % 3 = 1 THEN 'remote' ELSE 'local' END",
+    "source_ref": "CASE WHEN s_suppkey % 14 = 3 THEN '../up' ELSE 'trees/' || s_suppkey END",
+    "tree": "CASE s_suppkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'file' WHEN 2 THEN 'unreadable' ELSE 'folder' END",
+    "tree_sha": "'c' || (s_suppkey % 13 + CASE WHEN s_suppkey % 5 = 0 THEN 1 ELSE 0 END)",
 }
 
 SOURCES = {"notes": ("documents", NOTES), "records": ("documents", RECORDS), "repos": ("supplier", REPOS)}
