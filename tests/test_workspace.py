@@ -184,7 +184,10 @@ def test_configuration(spark, tmp_path):
             config.safe_output(bad, ".md")
     assert [config.source_boundary("/a/b", s) for s in (None, "/a/b/", "/a", "/a/b/c", "/x")] == ["not-provided", "same", "inside-source", "source-inside", "distinct"]
     rules = ["*.log", "!keep.log", "build/", "/top.txt", "docs/*.md"]
-    assert [config.gitignore_ignores(rules, p) for p in ("a/x.log", "keep.log", "build/x", "build", "top.txt", "docs/a.md", "b/docs/a.md")] == [True, False, True, False, True, True, False]
+    names = ["a/x.log", "keep.log", "build/x", "build", "a/build/x", "top.txt", "docs/a.md", "b/docs/a.md"]
+    frame = spark.createDataFrame([(n,) for n in names], "p string")
+    got = {r.p: r.x for r in frame.select("p", config.ignored_by(F.col("p"), rules).alias("x")).collect()}
+    assert got == {"a/x.log": True, "keep.log": False, "build/x": True, "build": True, "a/build/x": False, "top.txt": True, "docs/a.md": True, "b/docs/a.md": False}
     assert config.extensions({"include_pdf": True})[-1] == ".pdf" and ".pdf" not in config.extensions({})
 
 
@@ -293,3 +296,14 @@ def test_mirrors_are_written_once(spark, tmp_path):
     assert repositories.write_mirrors(spark, again, folder, 1) == 1
     now = {r.path: r.content for r in repositories.current_mirrors(spark, folder).collect()}
     assert now["a.md"] == "---\nt: 1\n---\n%% BELOW %%\n\n## Extracted content\n\nnew\n" and "_(no text)_" in now["b.md"]
+
+
+def test_view_filters_refuse_what_they_cannot_compare(spark):
+    notes = spark.createDataFrame([(1, "a", ["x"], None), (2, None, [], True)], "n int, t string, tags array<string>, f boolean")
+    rows = lambda spec: [r.n for r in views.compile_view(notes, {"columns": ["n"], "sort": ["n"], "filters": spec}).collect()]
+    assert rows({"not": {"column": "t", "value": "a"}}) == [2] and rows({"column": "t", "is": "!=", "value": "a"}) == [2]
+    assert rows({"column": "t", "value": None}) == [2] and rows({"or": []}) == [] and rows({"and": []}) == [1, 2]
+    assert rows({"column": "tags", "is": "empty"}) == [2] and rows({"column": "n", "is": "<", "value": 1.5}) == [1]
+    for bad in ({"column": "no", "value": 1}, {"column": "n", "value": "1"}, {"column": "f", "value": 1}, {"column": "t", "is": "like", "value": "a"}, {"column": "tags", "value": "x"}, {"and": [], "or": []}, "t", {"column": "t", "is": "in", "values": ["a", 2]}):
+        with pytest.raises(views.ViewError):
+            rows({"and": [bad]})
