@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from foliant import registry
 from foliant.operators import benchmarks, classify, diffs, files, graph, integrity, inventory, lint, mirrors, overlap, records, screening, texts, windows  # noqa: F401
 from foliant.sources import corpus  # noqa: F401
-from foliant.streaming import changes  # noqa: F401
+from foliant.streaming import changes, watching  # noqa: F401
 from foliant.plans import reports, views  # noqa: F401
 
 
