@@ -29,8 +29,15 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
-    """A small file's text; None if there is none."""
-    return spark.read.text(path, wholetext=True).first()[0] if exists(spark, path) else None
+    """A small file's text, names that Spark's readers take for hidden included; None if there is none."""
+    fs, place = _place(spark, path)
+    if not fs.exists(place):
+        return None
+    stream = fs.open(place)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def write_text(spark: SparkSession, path: str, text: str, force: bool = True) -> None:
