@@ -31,7 +31,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from foliant.llm.common import column_values, map_arrow, remove_folder, slabs, stage_folder, worker_tables
 
 CUT = re.compile(r"(?<=\S) (?!\Z)")
-SLAB, RUN = 2 << 20, 1 << 16
+SLAB, RUN = 256 << 10, 1 << 16
 #: Pairs that a broadcast may hold; beyond it only the frequent ones go that way, which are fewer by their threshold.
 BROADCAST_PAIRS = 1 << 21
 
@@ -145,7 +145,7 @@ def lists(rows: list, dtype: type, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
-def tokenised(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+def tokenised(docs: DataFrame, a_path: str, b_path: str, slab: int = SLAB) -> DataFrame:
     """Slabs: `docs`, documents as structs of doc_id and the numbers of their pieces; of all pieces one after another, both tokenizers' ids and byte ends (a_ids, a_ends, b_ids, b_ends) and the pieces' own (piece_ends)."""
     id_type = docs.schema["doc_id"].dataType
     numbers = ArrayType(IntegerType())
@@ -171,7 +171,7 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 ids.append(doc)
                 texts.append(text or "")
                 size += len(texts[-1]) + 100
-                if size > SLAB:
+                if size > slab:
                     yield out()
                     ids, texts, size = [], [], 0
         if ids:
