@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import posixpath
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -130,7 +131,7 @@ class MirrorStore:
         full = (planned_on + 1) % self.full_every == 0
         if full:
             writes = writes.unionByName(self.read(planned_on).join(writes.select("path"), "path", "left_anti"))
-        run = f"runs/{planned_on + 1}-{hashlib.sha256(repr(id(plan)).encode()).hexdigest()[:12]}"
+        run = f"runs/{planned_on + 1}-{uuid.uuid4().hex[:12]}"
         writes.write.mode("overwrite").parquet(f"{self.folder}/{run}")
         fs, path = self._fs(f"versions/{planned_on + 1}")
         try:
