@@ -1,15 +1,14 @@
 """Alignment of two tokenizers' tokens by byte offsets, over whole texts.
 
-Python tokenises and gives ids and byte ends; everything after is Spark's array functions: the intersection of the end
-arrays bounds the groups, token numbers repeated over their bytes make the token at any byte a lookup, and each distinct
-end is one link, for two cuts of one byte range overlap in as many pairs as they have distinct ends.  All steps are
-linear in a text, however long it or a group is.
+Tokens are arrays of ids and byte ends: the ends that both hold bound the groups, and each distinct end is one link, for
+two cuts of one byte range overlap in as many pairs as they have distinct ends; the tokens at an end are found by binary
+search.  All steps are linear in a text but for sorting ends, however long it or a group is.  Links are counted over all
+documents by Spark's grouping and joins.
 
 Texts are tokenised as pieces.  Pieces begin at a space after a character that is not white space: no merge of either
 tokenizer crosses such a place (the vocabularies are asked), so a text's tokens are those of its pieces, and both
-tokenizers end there.  A row is a slab of texts: its distinct pieces with their tokens, and each document as the numbers
-of its pieces.  The distinct pieces follow each other as one text, whose groups and links are built once; every document
-takes those between its pieces' ends.
+tokenizers end there.  A worker keeps the pieces that it has aligned, up to a bound, with their groups as text and their
+links; a document is the groups and links of its pieces, one after another.
 
 Defined cases: null and empty texts, and those whose tokens' bytes are not a space and the text, have no tokens: zeros
 and an empty digest; rows are apart, whatever their ids; other columns take no part; an empty table gives an empty result.
@@ -17,21 +16,26 @@ and an empty digest; rows are apart, whatever their ids; other columns take no p
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from foliant.llm.common import column_values, map_arrow, remove_folder, slabs, stage_folder, worker_tables
 
 CUT = re.compile(r"(?<=\S) (?!\Z)")
-SLAB, RUN = 256 << 10, 1 << 16
+#: What texts hold where that is not every space.
+UNCUT = re.compile(r"(?:\A|\s) | \Z")
+SLAB, RUN = 1 << 20, 1 << 16
+#: Aligned pieces and their bytes that a worker keeps; beyond either it begins anew.
+KEPT_PIECES, KEPT_BYTES = 200_000, 8 << 20
 #: Pairs that a broadcast may hold; beyond it only the frequent ones go that way, which are fewer by their threshold.
 BROADCAST_PAIRS = 1 << 21
 
@@ -102,68 +106,118 @@ class Tokens:
             out.append(tuple(found) if found is not None and text else None)
         return out
 
-    def pieces(self, texts: list[str]) -> tuple[list[list[int]], list[tuple[np.ndarray, ...]], list[int]]:
-        """Every text as the numbers of its pieces (none without tokens), the tokens of runs of pieces, and the pieces' lengths in bytes."""
-        cut = [(CUT.split(t) if self.cuttable else [t]) if t else [] for t in texts]
-        distinct = dict.fromkeys(p for own in cut for p in own)
-        numbers, runs, sizes = {}, [], []
-
-        def add(pieces: list[str], found: tuple[np.ndarray, ...]) -> None:
-            for p in pieces:
-                numbers[p] = len(sizes)
-                sizes.append(len(p.encode()) + 1)
-            runs.append(found)
 
+class Aligned:
+    """Pieces that have been aligned, by number: their tokens, groups as `a1,a2|b1;a3|b2;`, and links (A's id shifted by `bits`, and B's)."""
+
+    def __init__(self, paths: tuple[str, str], bits: int) -> None:
+        self.tokens, self.bits = Tokens(paths), bits
+        ids = range(max(len(size) for size in self.tokens.sizes))
+        self.shown = [f"{k}{mark}" for k in ids for mark in ",|;"]
+        self.widths = np.array([len(x) for x in self.shown], np.int64)
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers, self.bytes, self.texts = {}, 0, []
+        self.counts, self.links = np.empty((0, 4), np.int64), np.empty(0, np.int64)
+        self.fresh_counts, self.fresh_links = [], []
+
+    def add(self, found: tuple[np.ndarray, ...], sizes: list[int]) -> int:
+        """Align the tokens of pieces with these lengths in bytes, which follow each other; the number of the first."""
+        a_ids, a_ends, b_ids, b_ends = found[0], np.cumsum(found[1]), found[2], np.cumsum(found[3])
+        both = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")
+        new = np.append(True, both[1:] != both[:-1])
+        ends, bounds = both[new], both[~new]
+        self.fresh_links.append((a_ids[np.searchsorted(a_ends, ends)].astype(np.int64) << self.bits) | b_ids[np.searchsorted(b_ends, ends)])
+        a_to, b_to = (np.concatenate([[0], np.searchsorted(own, bounds) + 1]) for own in (a_ends, b_ends))
+        # of each group A's tokens, then B's: tokens of the other before it move a token on
+        codes = np.empty(a_to[-1] + b_to[-1], np.int64)
+        a_code, b_code = 3 * a_ids.astype(np.int64), 3 * b_ids.astype(np.int64)
+        a_code[a_to[1:] - 1] += 1
+        b_code[b_to[1:] - 1] += 2
+        codes[np.arange(len(a_ids)) + np.repeat(b_to[:-1], np.diff(a_to))] = a_code
+        codes[np.arange(len(b_ids)) + np.repeat(a_to[1:], np.diff(b_to))] = b_code
+        text = "".join(map(self.shown.__getitem__, codes.tolist()))
+        piece_ends = np.cumsum(sizes)
+        g_to, l_to = np.searchsorted(bounds, piece_ends) + 1, np.searchsorted(ends, piece_ends) + 1
+        upto = np.column_stack([a_to[g_to], b_to[g_to], g_to, l_to])
+        self.fresh_counts.append(np.diff(upto, axis=0, prepend=0))
+        places = np.cumsum(self.widths[codes])[a_to[g_to] + b_to[g_to] - 1].tolist()
+        first = len(self.texts)
+        self.texts += [text[x:y] for x, y in zip([0, *places], places)]
+        self.bytes += int(piece_ends[-1])
+        return first
+
+    def rows(self, texts: list[str]) -> list[list[int]]:
+        """Every text as the numbers of its pieces; none without tokens."""
+        if len(self.texts) > KEPT_PIECES or self.bytes > KEPT_BYTES:
+            self.forget()
+        whole, numbers = self.tokens.whole, self.numbers
+        cuttable = self.tokens.cuttable
+        cut = [((CUT.split(t) if UNCUT.search(t) else t.split(" ")) if cuttable else [t]) if t else [] for t in texts]
+        distinct = [p for p in dict.fromkeys(p for own in cut for p in own) if p not in numbers]
         # pieces are cut where no merge crosses, so those joined by spaces keep their tokens, but for the last of a text that ends in white space
-        alone = [p for p in distinct if not self.cuttable or p[-1].isspace()]
-        listed = [p for p in distinct if self.cuttable and not p[-1].isspace()]
-        joined = [listed[start:end] for start, end in slabs([p.encode() for p in listed], RUN)]
-        for run in [*joined, *([p] for p in alone)]:
-            found = self.whole([" ".join(run)])[0] if len(run) > 1 else None
+        alone = [p for p in distinct if not cuttable or p[-1].isspace()]
+        listed = [p for p in distinct if cuttable and not p[-1].isspace()]
+        coded = [p.encode() for p in listed]
+        joined = [(listed[start:end], [len(p) + 1 for p in coded[start:end]]) for start, end in slabs(coded, RUN)]
+        for run, sizes in [*joined, *(([p], [len(p.encode()) + 1]) for p in alone)]:
+            found = whole([" ".join(run)])[0] if len(run) > 1 else None
             if found:
-                add(run, found)
+                first = self.add(found, sizes)
+                numbers.update(zip(run, range(first, first + len(run))))
                 continue
-            for piece, own in zip(run, self.whole(run)):
-                if own:
-                    add([piece], own)
+            for piece, size, own in zip(run, sizes, whole(run)):
+                numbers[piece] = self.add(own, [size]) if own else -1
         out = []
         for text, own in zip(texts, cut):
-            row = [numbers.get(p) for p in own]
-            if None in row:  # a piece whose bytes differ settles nothing about the text: then the whole text is encoded
-                found = self.whole([text])[0] if len(row) > 1 else None
-                row = [len(sizes)] if found else []
-                if found:
-                    runs.append(found)
-                    sizes.append(len(text.encode()) + 1)
+            row = [numbers[p] for p in own]
+            if -1 in row:  # a piece whose bytes differ settles nothing about the text: then the whole text is encoded
+                found = whole([text])[0] if len(row) > 1 else None
+                row = [self.add(found, [len(text.encode()) + 1])] if found else []
             out.append(row)
-        return out, runs, sizes
-
+        self.counts, self.links = np.concatenate([self.counts, *self.fresh_counts]), np.concatenate([self.links, *self.fresh_links])
+        self.fresh_counts, self.fresh_links = [], []
+        return out
 
-def lists(rows: list, dtype: type, kind: pa.DataType) -> pa.ListArray:
+    def documents(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, list[str]]:
+        """Of each text the distinct links, how often each is there, (n_a, n_b, n_groups, n_links), and the digest of its groups."""
+        rows = self.rows(texts)
+        link_ends = np.cumsum(self.counts[:, 3])
+        pairs, times, counts, digests = [], [], np.zeros((len(texts), 4), np.int64), []
+        for k, row in enumerate(rows):
+            own = np.array(row, np.int64)
+            sizes = self.counts[own]
+            counts[k] = sizes.sum(axis=0)
+            many = sizes[:, 3]
+            place = np.arange(counts[k, 3]) + np.repeat(link_ends[own] - np.cumsum(many), many)
+            found, often = np.unique(self.links[place], return_counts=True)
+            pairs.append(found)
+            times.append(often)
+            digests.append(hashlib.sha256("".join(map(self.texts.__getitem__, row))[:-1].encode()).hexdigest() if row else "")
+        return pairs, times, counts, digests
+
+
+def lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-    values = np.concatenate([np.empty(0, dtype), *(np.asarray(r, dtype) for r in rows)])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *rows]), pa.int64()).cast(kind))
 
 
-def tokenised(docs: DataFrame, a_path: str, b_path: str, slab: int = SLAB) -> DataFrame:
-    """Slabs: `docs`, documents as structs of doc_id and the numbers of their pieces; of all pieces one after another, both tokenizers' ids and byte ends (a_ids, a_ends, b_ids, b_ends) and the pieces' own (piece_ends)."""
-    id_type = docs.schema["doc_id"].dataType
-    numbers = ArrayType(IntegerType())
-    names = ["a_ids", "a_ends", "b_ids", "b_ends", "piece_ends"]
-    schema = StructType([StructField("docs", ArrayType(StructType([StructField("doc_id", id_type), StructField("pieces", numbers)]))), *(StructField(n, numbers) for n in names)])
+def aligned(docs: DataFrame, a_path: str, b_path: str, bits: int, wide: bool = False, slab: int = SLAB) -> DataFrame:
+    """One row a document: doc_id, n_a, n_b, n_groups, n_links, groups_sha256, `pairs` (its distinct links as numbers) and `times` (how often each is there)."""
+    number = LongType() if wide else IntegerType()
+    counts = ["n_a", "n_b", "n_groups", "n_links"]
+    fields = [StructField("doc_id", docs.schema["doc_id"].dataType), *(StructField(c, LongType()) for c in counts), StructField("groups_sha256", StringType()), StructField("pairs", ArrayType(number)), StructField("times", ArrayType(IntegerType()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         tables = worker_tables("alignment")
         ids, texts, size, kind = [], [], 0, pa.int64()
 
         def out() -> pa.RecordBatch:
-            tokens = tables.get((a_path, b_path)) or tables.setdefault((a_path, b_path), Tokens((a_path, b_path)))
-            rows, runs, sizes = tokens.pieces(texts)
-            sides = [np.concatenate([np.empty(0, np.int32), *(r[k] for r in runs)]) for k in range(4)]
-            sides = [sides[0], np.cumsum(sides[1], dtype=np.int32), sides[2], np.cumsum(sides[3], dtype=np.int32), np.cumsum(np.array(sizes, np.int32), dtype=np.int32)]
-            documents = pa.StructArray.from_arrays([pa.array(ids, kind), lists(rows, np.int32, pa.int32())], ["doc_id", "pieces"])
-            columns = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x, pa.int32())) for x in (documents, *sides)]
-            return pa.RecordBatch.from_arrays(columns, names=["docs", *names])
+            known = tables.get((a_path, b_path)) or tables.setdefault((a_path, b_path), Aligned((a_path, b_path), bits))
+            pairs, times, many, digests = known.documents(texts)
+            arrays = [pa.array(ids, kind), *(pa.array(many[:, k]) for k in range(4)), pa.array(digests, pa.string()), lists(pairs, pa.int64() if wide else pa.int32()), lists(times, pa.int32())]
+            return pa.RecordBatch.from_arrays(arrays, names=[f.name for f in fields])
 
         for batch in batches:
             kind = batch.schema.field("doc_id").type
@@ -177,60 +231,7 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str, slab: int = SLAB) -> Da
         if ids:
             yield out()
 
-    return map_arrow(docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")), schema, run, keeps="alignment")
-
-
-def let(values: list[Column], body: Callable[[Column], Column]) -> Column:
-    """`body` of a struct of values that are computed once: the optimiser may put a column's expression into a lambda, where every element would compute it again."""
-    return F.get(F.transform(F.array(F.struct(*values)), body), F.lit(0))
-
-
-def upto(ends: Column) -> Column:
-    """For each number of bytes, how many of the ranges with these ends begin before it: every range's number repeated over its bytes, after a zero."""
-    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))
-    return F.concat(F.array(F.lit(0)), F.flatten(F.transform(ends, lambda end, i: F.array_repeat(i + 1, end - before(i)))))
-
-
-def aligned(tokens: DataFrame, bits: int, wide: bool = False) -> DataFrame:
-    """One row a document: doc_id, n_a, n_b, n_groups, `groups` (`a1,a2|b1;a3|b2`) and `links` (numbers: A's id shifted by `bits`, and B's)."""
-    number = "bigint" if wide else "int"
-    column = F.col
-    held = [*(column(c).alias(c) for c in ("docs", "a_ids", "b_ids", "piece_ends")), upto(column("a_ends")).alias("a_at"), upto(column("b_ends")).alias("b_at"), F.array_sort(F.array_union("a_ends", "b_ends")).alias("ends"), F.array_intersect("a_ends", "b_ends").alias("bounds")]
-    at = lambda places, of: F.concat(F.array(F.lit(0)), F.transform(places, lambda end: F.get(of, end)))
-
-    def links(x: Column) -> Column:
-        shifted = lambda e: F.call_function("shiftleft", F.get(x["a_ids"], F.get(x["a_at"], e) - 1).cast(number), F.lit(bits))
-        return F.transform(x["ends"], lambda e: shifted(e).bitwiseOR(F.get(x["b_ids"], F.get(x["b_at"], e) - 1).cast(number)))
-
-    def groups(y: Column) -> Column:
-        def shown(texts: Column, first: Column, after: Column) -> Column:
-            return F.when(after == first + 1, F.get(texts, first)).otherwise(F.array_join(F.slice(texts, first + 1, after - first), ","))
-
-        return F.transform(F.sequence(F.lit(1), F.size(y["a_to"]) - 1), lambda k: F.concat(shown(y["a_text"], F.get(y["a_to"], k - 1), F.get(y["a_to"], k)), F.lit("|"), shown(y["b_text"], F.get(y["b_to"], k - 1), F.get(y["b_to"], k))))
-
-    def bounded(x: Column) -> Column:
-        fields = ("docs", "a_ids", "b_ids", "piece_ends", "a_at", "b_at", "ends", "bounds")
-        return let([*(x[c].alias(c) for c in fields), upto(x["bounds"]).alias("g_at"), upto(x["ends"]).alias("l_at")], pieces)
-
-    def pieces(x: Column) -> Column:
-        texts = let([x["a_ids"].cast("array<string>").alias("a_text"), x["b_ids"].cast("array<string>").alias("b_text"), at(x["bounds"], x["a_at"]).alias("a_to"), at(x["bounds"], x["b_at"]).alias("b_to")], groups)
-        text = F.when(F.size(x["bounds"]) > 0, texts).otherwise(F.array().cast("array<string>"))
-        places = [at(x["piece_ends"], x["a_at"]).alias("a_to"), at(x["piece_ends"], x["b_at"]).alias("b_to"), at(x["piece_ends"], x["g_at"]).alias("g_to"), at(x["piece_ends"], x["l_at"]).alias("l_to")]
-        return let([x["docs"].alias("docs"), F.size(x["piece_ends"]).alias("n"), text.alias("groups"), links(x).alias("links"), *places], by_piece)
-
-    def by_piece(y: Column) -> Column:
-        numbers = F.when(y["n"] > 0, F.sequence(F.lit(1), y["n"])).otherwise(F.array().cast("array<int>"))
-        count = lambda c: F.transform(numbers, lambda k: F.get(y[c], k) - F.get(y[c], k - 1))
-        part = lambda c, t: F.transform(numbers, lambda k: F.slice(y[c], F.get(y[t], k - 1) + 1, F.get(y[t], k) - F.get(y[t], k - 1)))
-        joined = F.transform(part("groups", "g_to"), lambda g: F.array_join(g, ";"))
-        return let([y["docs"].alias("docs"), joined.alias("groups"), part("links", "l_to").alias("links"), count("a_to").alias("n_a"), count("b_to").alias("n_b"), count("g_to").alias("n_groups")], documents)
-
-    def documents(z: Column) -> Column:
-        pick = lambda d, c: F.transform(d["pieces"], lambda i: F.get(z[c], i))
-        total = lambda d, c: F.aggregate(d["pieces"], F.lit(0).cast("long"), lambda n, i: n + F.get(z[c], i)).alias(c)
-        return F.transform(z["docs"], lambda d: F.struct(d["doc_id"].alias("doc_id"), *(total(d, c) for c in ("n_a", "n_b", "n_groups")), F.array_join(pick(d, "groups"), ";").alias("groups"), F.flatten(pick(d, "links")).alias("links")))
-
-    return tokens.select(F.inline(let(held, bounded)))
+    return map_arrow(docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")), StructType(fields), run, keeps="alignment")
 
 
 def vocabulary_size(path: str) -> int:
@@ -246,7 +247,7 @@ def vocabulary_size(path: str) -> int:
 
 def counted_pairs(documents: DataFrame, bits: int) -> DataFrame:
     """pair, count (documents that hold it linked), best (its count is the highest of its A id); a pair is A's id shifted by `bits`, and B's."""
-    counts = documents.select(F.explode(F.array_distinct("pairs")).alias("pair")).groupBy("pair").agg(F.count("*").alias("count"))
+    counts = documents.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("count"))
     of_a = Window.partitionBy(F.shiftright("pair", bits))  # at most B's vocabulary
     return counts.withColumn("best", F.col("count") == F.max("count").over(of_a))
 
@@ -263,25 +264,23 @@ def align(docs: DataFrame, a_path: str, b_path: str, broadcast_pairs: int = BROA
     bits = (vocabulary_size(b_path) - 1).bit_length()
     wide = vocabulary_size(a_path) << bits > 1 << 31
     folder = stage_folder(spark)
-    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
-    lean = aligned(tokenised(docs, a_path, b_path), bits, wide).select("doc_id", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), F.col("links").alias("pairs"), digest.alias("groups_sha256"))
+    lean = aligned(docs, a_path, b_path, bits, wide)
     lean.withColumn("row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(f"{folder}/documents")
     documents = spark.read.parquet(f"{folder}/documents")
     counted_pairs(documents, bits).write.parquet(f"{folder}/pairs")
     pairs = spark.read.parquet(f"{folder}/pairs")
     held, total = pairs.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
-    links = documents.select("row", F.explode("pairs").alias("pair"))
+    links = documents.select("row", "times", F.posexplode("pairs").alias("place", "pair")).select("row", "pair", F.get("times", F.col("place")).cast("long").alias("times"))
     if held <= broadcast_pairs:
         met = links.join(F.broadcast(pairs), "pair")
     else:
         often = F.col("count") * broadcast_pairs > total
         known = links.join(F.broadcast(pairs.where(often)), "pair", "left")
-        rest = known.where("count IS NULL").select("row", "pair").groupBy("row", "pair").agg(F.count("*").alias("times")).join(pairs.where(~often), "pair")
-        met = known.where("count IS NOT NULL").select("row", "count", "best", F.lit(1).cast("long").alias("times")).unionByName(rest.select("row", "count", "best", "times"))
-    times = F.col("times") if "times" in met.columns else F.lit(1).cast("long")
-    sums = met.groupBy("row").agg(F.sum(F.when(F.col("best"), times).otherwise(F.lit(0))).alias("n_best"), F.sum(F.col("count") * times).alias("count_sum"))
+        rest = known.where("count IS NULL").select("row", "pair", "times").join(pairs.where(~often), "pair")
+        met = known.where("count IS NOT NULL").select("row", "count", "best", "times").unionByName(rest.select("row", "count", "best", "times"))
+    sums = met.groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(F.lit(0))).alias("n_best"), F.sum(F.col("count") * F.col("times")).alias("count_sum"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     result = f"{folder}-alignment"
-    documents.drop("pairs").join(sums, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256").write.parquet(result)
+    documents.drop("pairs", "times").join(sums, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256").write.parquet(result)
     remove_folder(spark, folder)
     return spark.read.parquet(result)

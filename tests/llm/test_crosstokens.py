@@ -7,6 +7,7 @@ import public_tokenizers
 import sentencepiece
 from tokenizers import Tokenizer
 
+from foliant.llm import crosstokens
 from foliant.llm.crosstokens import align, byte_of_char
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -68,3 +69,15 @@ def test_rows_without_ids_and_repeated_rows(spark):
     got = [tuple(r) for r in align(docs, A, B).collect()]
     assert sorted(r[1:] for r in got)[0] == (0, 0, 0, 0, 0, 0, "") and len(got) == 3
     assert align(docs.limit(0), A, B).collect() == []
+
+
+def test_pieces_are_aligned_once_and_forgotten(monkeypatch):
+    known = crosstokens.Aligned((A, B), 15)
+    seen, whole = [], known.tokens.whole
+    monkeypatch.setattr(known.tokens, "whole", lambda texts: seen.extend(texts) or whole(texts))
+    digests = [d for k in range(5) for d in known.documents([f"same words {k}", " two  spaces"])[3]]
+    assert sum(t.count("same") for t in seen) == 1 and sum(t.count("spaces") for t in seen) == 1
+    monkeypatch.setattr(crosstokens, "KEPT_PIECES", 1)
+    again = [d for k in range(5) for d in known.documents([f"same words {k}", " two  spaces"])[3]]
+    assert again == digests == [w[-1] for w in plain([t for k in range(5) for t in (f"same words {k}", " two  spaces")])]
+    assert len(known.texts) < 8
