@@ -14,7 +14,7 @@ from foliant.llm.substrings import MIX, STEP, STEP_BACK, powers, window_hashes,
 
 SLAB = 1 << 18
 ROWS = 1 << 15
-CLASSES = 256
+CLASSES = 512
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 

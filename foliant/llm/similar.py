@@ -39,6 +39,7 @@ SAMPLED, COMMON, COMMON_KEPT = 8192, 3, 65_536
 HELD_TOKENS = 200_000
 BUCKET_TOKENS, LEAST_BUCKETS = 400_000, 24
 PAIRS_STEP = 1 << 16
+HELD_PAIRS = 1 << 20
 HEADS = 3
 WIDE = 1024
 STAR_ROUNDS, STAR_LEAST = 8, 0.005
@@ -185,8 +186,14 @@ def first_shared(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.where(held.any(axis=1), least, np.uint64(0))
 
 
+def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair once, with the sum of what its rows share."""
+    pairs, place = np.unique(np.concatenate([p for p, _ in held]), return_inverse=True)
+    return pairs, np.bincount(place, np.concatenate([c for _, c in held]), len(pairs)).astype(np.int64)
+
+
 def shared_in_bucket(similarity: float, turn: int | None, buckets: int):
-    """Counts, for one bucket, what pairs of classes of fitting sizes share: a, b, shared, least (what they must share in all); all pairs, or the stars of a turn, each of which has other heads."""
+    """Counts, for one bucket, what pairs of classes of fitting sizes share: a, b, shared, least (what they must share in all); all pairs, or the stars of a turn, each of which has other heads.  A pair leaves a bucket once, however many shingles it shares there."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
@@ -200,22 +207,35 @@ def shared_in_bucket(similarity: float, turn: int | None, buckets: int):
         n = n.astype(np.int64)
         likes = np.floor(np.log(n) / -np.log(similarity)).astype(np.int64)  # sizes of one kind fit each other
         rank = (node.view(np.uint64) ^ MIX[turn or 0]) * MIX[1]
+        def rows(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            pairs, shared = summed(held)
+            i, j = pairs // len(node), pairs % len(node)
+            a, b, least = np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), least_shared(n[i], n[j], similarity)
+            for k in range(0, len(a), 100_000):
+                part = slice(k, k + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(x[part].astype(np.int64)) for x in (a, b, shared, least)], ["a", "b", "shared", "least"])
+
+        held, size = [], 0
         for left, right in crossing_pairs(token, owner, label) if turn is None else star_pairs(token, owner, label, likes, rank):
             fits = np.minimum(n[left], n[right]) >= similarity * np.maximum(n[left], n[right]) - 1e-9
             pairs, shared = np.unique(np.minimum(left, right)[fits] * len(node) + np.maximum(left, right)[fits], return_counts=True)
             i, j = pairs // len(node), pairs % len(node)
             near = may_be_similar(n[i], n[j], odd[i], odd[j], similarity)
-            i, j, shared = i[near], j[near], shared[near]
-            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-            least = least_shared(n[i], n[j], similarity)
+            pairs, i, j, shared = pairs[near], i[near], j[near], shared[near]
             both = first_shared(head[i], head[j])
             named = both > 0
-            shared = np.where(named, least, shared)
+            shared = np.where(named, least_shared(n[i], n[j], similarity), shared)
             here = ~named | (bucket_of(both, buckets) == key[0].as_py())
-            a, b, shared, least = a[here], b[here], shared[here], least[here]
-            for k in range(0, len(a), 100_000):
-                part = slice(k, k + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(x[part].astype(np.int64)) for x in (a, b, shared, least)], ["a", "b", "shared", "least"])
+            held.append((pairs[here], shared[here]))
+            size += int(here.sum())
+            if size >= HELD_PAIRS:
+                held = [summed(held)]
+                size = len(held[0][0])
+                if size > HELD_PAIRS // 2:
+                    yield from rows(held)
+                    held, size = [], 0
+        if size:
+            yield from rows(held)
 
     return run
 

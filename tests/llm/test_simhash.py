@@ -168,3 +168,19 @@ def test_filters_never_lose_similar_sets():
                     n_a, n_b = own.sizes[a : a + 1], own.sizes[b : b + 1]
                     assert shingles.may_be_similar(n_a, n_b, odd[a : a + 1], odd[b : b + 1], 0.8).all()
                     assert len(prefix[a] & prefix[b]) >= shingles.least_shared(n_a, n_b, 0.8)[0]
+
+
+def test_a_pair_leaves_a_bucket_once(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(similar, "PAIRS_STEP", 4)
+    monkeypatch.setattr(similar, "bucket_of", lambda token, buckets: np.zeros(np.shape(token), np.int32))
+    sets = [np.arange(1, 21, dtype=np.uint64)] * 3
+    node, label, n, counts = np.arange(3), np.arange(3), np.full(3, 20, np.int32), np.full(3, 5, np.int32)
+    odd = np.zeros((3, shingles.CLASSES // 64 + 2 * similar.HEADS), np.uint64)
+    for heads in (0, 1):
+        odd[:, shingles.CLASSES // 64] = heads
+        arrays = [similar.pack_arrays(node, label, n, counts), similar.pack_arrays(odd.reshape(-1)), similar.pack_arrays(np.concatenate([s[:5] for s in sets]).astype(np.uint32))]
+        batch = pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in arrays], ["classes", "odds", "tokens"])
+        got = [tuple(r.values()) for out in similar.shared_in_bucket(0.8, None, 1)((pa.scalar(0),), iter([batch])) for r in out.to_pylist()]
+        assert sorted(r[:2] for r in got) == [(0, 1), (0, 2), (1, 2)] and all(r[2] >= 5 for r in got if not heads)
