@@ -9,8 +9,8 @@ too.  The result is that of comparing all pairs, up to collisions of 64-bit hash
 fingerprints save the pairs within large groups, which would grow with the square.
 
 The order of the prefixes puts the shingles last that are common in a bounded sample; it is exact in
-any order.  Prefix shingles are dealt into buckets as packed arrays, and a bucket counts what pairs
-of classes of fitting sizes share; a pair that shares one of the first shingles of its prefixes, rare or
+any order.  Prefix shingles that one class alone has are left out once, before any round.  The others
+are dealt into buckets as packed arrays, and a bucket counts what pairs of classes of fitting sizes share; a pair that shares one of the first shingles of its prefixes, rare or
 common, is named by that shingle's bucket alone.
 
 Cases: a null text counts as empty; texts without words are one class; rows that repeat an id with
@@ -32,7 +32,7 @@ from foliant.llm.common import checkpoint, column_values, map_arrow, release, re
 from foliant.llm.components import least_members
 from foliant.llm.shingles import CLASSES, LOWER, SLAB, Powers, Shingled, least_shared, may_be_similar, prefix_lengths, shingled, similar
 from foliant.llm.simhash import BUDGET, trie_links
-from foliant.llm.substrings import MIX, groups_of, pack_arrays, unpack_arrays
+from foliant.llm.substrings import DEALT, MIX, Dealer, groups_of, pack_arrays, pack_places, places_of, settled, unpack_arrays, unpack_places
 
 SIZE, SIMILARITY = 5, 0.8
 SAMPLED, COMMON, COMMON_KEPT = 8192, 3, 65_536
@@ -101,6 +101,60 @@ def bucket_of(token: np.ndarray, buckets: int) -> np.ndarray:
     return np.minimum(np.where(part < 0.25, 3.2 * part, 0.8 + (part - 0.25) / 3.75) * buckets, buckets - 1).astype(np.int32)
 
 
+def buckets_for(spark: SparkSession, classes: DataFrame) -> int:
+    """Buckets for the prefixes of classes, of BUCKET_TOKENS shingles each."""
+    tokens = classes.agg(F.sum(F.length("prefix"))).first()[0] or 0
+    return max(min(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-tokens // 8 // BUCKET_TOKENS))
+
+
+def several_have(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """In a bucket: the classes and places of shingles that come more than once."""
+    node, place, token = (np.concatenate(x) for x in zip(*(unpack_places(v, np.uint32) for v in entries)))
+    order = np.argsort(token, kind="stable")
+    number, first = groups_of(token[order])
+    held = order[(np.diff(first, append=len(order)) > 1)[number]]
+    return node[held], place[held]
+
+
+def shared_prefixes(classes: DataFrame, buckets: int) -> DataFrame:
+    """The classes (node, n, prefix, odd) whose prefixes have a shingle that another's has, with such shingles alone: the others name no pair."""
+
+    def flush(nodes: list[int], prefixes: list[bytes]) -> Iterator[pa.RecordBatch]:
+        counts = [len(p) // 8 for p in prefixes]
+        token = np.frombuffer(b"".join(prefixes), np.uint64)
+        node, place = np.repeat(np.array(nodes, np.int64), counts), np.concatenate([np.arange(n) for n in counts])
+        bucket = bucket_of(token, buckets)
+        order = np.lexsort((place, node, bucket))
+        token, node, place, bucket = token[order].astype(np.uint32), node[order], place[order], bucket[order]
+        _, first = groups_of(bucket)
+        dealer = Dealer(buckets)
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(bucket)]):
+            dealer.entries(int(bucket[a]), pack_places(node[a:b], place[a:b], token[a:b]))
+        yield from dealer.batches()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        nodes, prefixes, size = [], [], 0
+        for batch in batches:
+            for node, prefix in zip(column_values(batch, "node"), column_values(batch, "prefix")):
+                if prefix:
+                    nodes.append(node), prefixes.append(prefix)
+                    size += len(prefix) // 8
+                if size >= HELD_TOKENS:
+                    yield from flush(nodes, prefixes)
+                    nodes, prefixes, size = [], [], 0
+        if nodes:
+            yield from flush(nodes, prefixes)
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            prefixes = [np.frombuffer(p, np.uint64)[places_of(h)].tobytes() for p, h in zip(column_values(batch, "prefix"), column_values(batch, "hits"))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prefixes, pa.binary()), batch.column(3)], ["node", "n", "prefix", "odd"])
+
+    places = settled(map_arrow(classes.select("node", "prefix"), DEALT, deal, "similar"), buckets, several_have)
+    held = classes.join(places.withColumnRenamed("_id", "node"), "node").select("node", "n", "prefix", "odd", "hits")
+    return map_arrow(held, "node long, n long, prefix binary, odd binary", shorten, "similar")
+
+
 def dealt_prefixes(classes: DataFrame, buckets: int) -> DataFrame:
     """The prefixes of classes (node, label, n, prefix, odd) by bucket: packed arrays of the classes, their parities, and their shingles there."""
 
@@ -296,12 +350,14 @@ def similar_classes(docs: DataFrame, folder: str, size: int = SIZE, similarity:
     classes = spark.read.parquet(f"{folder}/classes")
     links = verified(spark, rows, classes, checkpoint(spark, simhash_pairs(classes, budget)), size, similarity)
     release(spark)
-    tokens = classes.agg(F.sum(F.length("prefix"))).first()[0] or 0
-    buckets = max(min(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-tokens // 8 // BUCKET_TOKENS))
+    shared_prefixes(classes.select("node", "n", "prefix", "odd"), buckets_for(spark, classes)).write.parquet(f"{folder}/shared")
+    release(spark)
+    shared = spark.read.parquet(f"{folder}/shared")
+    buckets = buckets_for(spark, shared)
 
     def more(links: DataFrame, turn: int | None) -> DataFrame:
         known = least_members(links).select("node", F.col("root").alias("label"))
-        labelled = classes.select("node", "n", "prefix", "odd").join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        labelled = shared.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
         dealt = dealt_prefixes(labelled, buckets).repartition(buckets, "bucket").groupBy("bucket")
         counted = dealt.applyInArrow(shared_in_bucket(similarity, turn, buckets), "a long, b long, shared long, least long")
         pairs = counted.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least")).where("shared >= least").select("a", "b")

@@ -184,3 +184,17 @@ def test_a_pair_leaves_a_bucket_once(monkeypatch):
         batch = pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in arrays], ["classes", "odds", "tokens"])
         got = [tuple(r.values()) for out in similar.shared_in_bucket(0.8, None, 1)((pa.scalar(0),), iter([batch])) for r in out.to_pylist()]
         assert sorted(r[:2] for r in got) == [(0, 1), (0, 2), (1, 2)] and all(r[2] >= 5 for r in got if not heads)
+
+
+def test_only_prefix_shingles_that_two_classes_have_are_dealt(spark):
+    rng = random.Random(5)
+    alone = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(200)]
+    near = alone[0].split()
+    near[50] = "changed"
+    rows = similar.numbered_rows(spark.createDataFrame([*enumerate(alone), (500, " ".join(near)), (501, None)], "doc_id long, text string"), "doc_id", "text")
+    classes = similar.marked(rows, 5, 0.8, np.array([], np.uint64)).select("node", "n", "prefix", "odd")
+    for buckets in (1, 7):
+        got = {r.node: r.prefix for r in similar.shared_prefixes(classes, buckets).collect()}
+        assert set(got) == {similar.text_class(alone[0].encode()), similar.text_class(" ".join(near).encode())}
+        held = [set(np.frombuffer(p, np.uint64).tolist()) for p in got.values()]
+        assert held[0] == held[1] and held[0]
