@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from html import unescape
 
 import pandas as pd
@@ -256,35 +256,44 @@ def append_events(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, however often `body` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def clean_table(text: Column) -> Column:
     """Markdown tables of a spreadsheet without columns that are noise (empty or unnamed head, no data); never all columns.
 
     Built-in functions only: lines are grouped into runs of table rows, a run's columns are judged by
-    all its rows, and the rest of the text stays.
+    all its rows, and the rest of the text stays.  Each step is worked out once for a run, so the work follows its cells.
     """
-    marked = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), trimmed(x).startswith("|").alias("table")))
-    runs = F.aggregate(
-        marked,
-        F.expr("cast(array() as array<struct<table:boolean,lines:array<string>>>)"),
-        lambda done, x: F.when(
-            (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["table"] == x["table"]),
-            F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(x["table"].alias("table"), F.concat(F.try_element_at(done, F.lit(-1))["lines"], F.array(x["line"])).alias("lines")))),
-        ).otherwise(F.concat(done, F.array(F.struct(x["table"].alias("table"), F.array(x["line"]).alias("lines"))))),
-    )
-    return F.array_join(F.transform(runs, lambda run: F.when(run["table"], _clean_rows(run["lines"])).otherwise(F.array_join(run["lines"], "\n"))), "\n")
+
+    def runs(lines: Column, table: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda k: (k == 1) | (F.element_at(table, k) != F.try_element_at(table, F.greatest(k - 1, F.lit(1)))))
+        run = lambda starts, a, i: _with(F.slice(lines, a, F.coalesce(F.try_element_at(starts, i + 2), F.size(lines) + 1) - a), lambda own: F.when(F.element_at(table, a), _clean_rows(own)).otherwise(F.array_join(own, "\n")))
+        return _with(starts, lambda s: F.array_join(F.transform(s, lambda a, i: run(s, a, i)), "\n"))
+
+    is_row = lambda lines: F.transform(lines, lambda x: trimmed(x).startswith("|"))
+    return F.when(text.isNotNull(), _with(F.split(text, "\n"), lambda lines: _with(is_row(lines), lambda table: runs(lines, table))))
 
 
 def _clean_rows(lines: Column) -> Column:
     """One run of table rows without its noise columns."""
-    width = F.array_max(F.transform(lines, lambda x: F.size(table_cells(x))))
-    rows = F.transform(lines, lambda x: F.transform(F.sequence(F.lit(1), width), lambda k: F.coalesce(F.try_element_at(table_cells(x), k), F.lit(""))))
-    data = F.filter(rows, lambda r, i: (i > 0) & ~separator_row(r))
-    head = F.element_at(rows, 1)
-    noisy = lambda k: (noise_cell(F.element_at(head, k)) | F.element_at(head, k).startswith("Unnamed")) & F.forall(data, lambda r: noise_cell(F.element_at(r, k)))
-    kept = F.filter(F.sequence(F.lit(1), width), lambda k: ~noisy(k))
-    shown = F.when(F.size(kept) > 0, kept).otherwise(F.sequence(F.lit(1), width))
-    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(shown, lambda k: F.when(noise_cell(F.element_at(r, k)), "").otherwise(F.element_at(r, k))), " | "), F.lit(" |"))
-    return F.array_join(F.transform(rows, line), "\n")
+
+    def shown(rows: Column, data: Column, head: Column, columns: Column) -> Column:
+        noisy = lambda k: (noise_cell(F.element_at(head, k)) | F.element_at(head, k).startswith("Unnamed")) & F.forall(data, lambda r: noise_cell(F.element_at(r, k)))
+        line = lambda show: lambda r: F.concat(F.lit("| "), F.array_join(F.transform(show, lambda k: _with(F.element_at(r, k), lambda c: F.when(noise_cell(c), "").otherwise(c))), " | "), F.lit(" |"))
+        some = lambda kept: F.when(F.size(kept) > 0, kept).otherwise(columns)
+        return _with(F.filter(columns, lambda k: ~noisy(k)), lambda kept: _with(some(kept), lambda show: F.array_join(F.transform(rows, line(show)), "\n")))
+
+    def judged(rows: Column) -> Column:
+        data = F.filter(rows, lambda r, i: (i > 0) & ~separator_row(r))
+        columns = lambda head: F.sequence(F.lit(1), F.size(head))
+        return _with(data, lambda d: _with(F.element_at(rows, 1), lambda head: _with(columns(head), lambda c: shown(rows, d, head, c))))
+
+    filled = lambda cells, width: F.transform(cells, lambda c: F.concat(c, F.array_repeat(F.lit(""), width - F.size(c))))
+    widths = lambda cells: F.array_max(F.transform(cells, F.size))
+    return _with(F.transform(lines, table_cells), lambda cells: _with(widths(cells), lambda width: _with(filled(cells, width), judged)))
 
 
 def clean_extracted(kind: Column, text: Column) -> Column:
