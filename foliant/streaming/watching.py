@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -35,43 +34,48 @@ class Watching(StatefulProcessor):
         self.held = handle.getValueState("held", HELD)
         self.waiting = handle.getValueState("waiting", WAITING)
 
-    def _forget_timers(self) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+    def _let_through(self, held: tuple | None, change: tuple) -> tuple[tuple | None, list[tuple]]:
+        """What is held after a change, nothing if the file is gone, and the change, unless the file is as it was."""
+        n, fingerprint, at = change
+        same = held is not None and held[0] == fingerprint
+        return None if fingerprint == GONE else (fingerprint, at), [] if same else [(n, fingerprint)]
 
-    def _let_through(self, n: int, fingerprint: str, at: int) -> list[tuple]:
-        """The change, unless the file is as it was; a file that is gone is not held."""
-        before = self.held.get() if self.held.exists() else None
-        self.waiting.clear()
-        if fingerprint == GONE:
+    def _hold(self, held: tuple | None, before: tuple | None) -> None:
+        if held is None and before is not None:
             self.held.clear()
-        else:
-            self.held.update((fingerprint, at))
-            self.handle.registerTimer(at + self.quiet + self.keep)
-        same = before is not None and before[0] == fingerprint
-        return [] if same else [(n, fingerprint)]
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat([r[["n", "fingerprint", "at"]] for r in rows]).sort_values(["at", "n"])
-        self._forget_timers()
-        out = []
-        wait = self.waiting.get() if self.waiting.exists() else None
-        for n, fingerprint, at in batch.itertuples(index=False):
+        elif held is not None and held is not before:
+            self.held.update(held)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        """A key's state is read and written once a batch, however many bursts its notices make; its only timer follows from it."""
+        before, wait = self.held.get(), self.waiting.get()
+        if wait is not None:
+            self.handle.deleteTimer(wait[2] + self.quiet)
+        elif before is not None:
+            self.handle.deleteTimer(before[1] + self.quiet + self.keep)
+        held, out = before, []
+        for at, n, fingerprint in sorted((r["at"], r["n"], r["fingerprint"]) for r in rows):
             if wait is not None and at - wait[2] >= self.quiet:
-                out += self._let_through(*wait)
-                self._forget_timers()
-            wait = (int(n), fingerprint, int(at))
+                held, told = self._let_through(held, wait)
+                out += told
+            wait = (n, fingerprint, at)
+        self._hold(held, before)
         self.waiting.update(wait)
         self.handle.registerTimer(wait[2] + self.quiet)
-        yield pd.DataFrame([(key[0], *o) for o in out], columns=["path", "n", "fingerprint"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = []
-        if self.waiting.exists():
-            out = self._let_through(*self.waiting.get())
+        yield from (Row(path=key[0], n=n, fingerprint=fingerprint) for n, fingerprint in out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        wait, out = self.waiting.get(), []
+        if wait is not None:
+            before = self.held.get()
+            held, out = self._let_through(before, wait)
+            self.waiting.clear()
+            self._hold(held, before)
+            if held is not None:
+                self.handle.registerTimer(held[1] + self.quiet + self.keep)
         else:
             self.held.clear()  # nobody asked for long
-        yield pd.DataFrame([(key[0], *o) for o in out], columns=["path", "n", "fingerprint"])
+        yield from (Row(path=key[0], n=n, fingerprint=fingerprint) for n, fingerprint in out)
 
     def close(self) -> None:
         """Nothing is open."""
@@ -82,7 +86,7 @@ def watched(notices: DataFrame, quiet: int, keep: int) -> DataFrame:
     spark = notices.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     own = notices.select("path", "n", F.coalesce("fingerprint", F.lit(GONE)).alias("fingerprint"), F.unix_millis("observed_at").alias("at"), "observed_at").withWatermark("observed_at", "0 seconds")
-    return own.groupBy("path").transformWithStateInPandas(Watching(quiet, keep), "path string, n long, fingerprint string", "append", "eventTime")
+    return own.groupBy("path").transformWithState(Watching(quiet, keep), "path string, n long, fingerprint string", "append", "eventTime")
 
 
 def watched_once(spark: SparkSession, notices: DataFrame, place: str, quiet: int, keep: int) -> DataFrame:
