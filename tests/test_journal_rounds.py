@@ -26,7 +26,7 @@ def test_large_replay_has_few_rounds(spark, tmp_path):
     times = [datetime(2024, 1, 1, tzinfo=timezone.utc)]
 
     def clock():
-        times.append(times[-1] + timedelta(seconds=5))  # 10 s a round, so that the next may claim 7.5 times as many
+        times.append(times[-1] + timedelta(seconds=5))  # 10 s a round, so that the next may claim 16 times as many
         return times[-1]
 
     assert journal.replay(own, "w", work, at_once=None, clock=clock) == {"recovered": 0, "processed": 65_000}
@@ -40,10 +40,18 @@ def test_large_replay_has_few_rounds(spark, tmp_path):
 
 
 def test_slow_rounds_do_not_outgrow_the_lease():
-    assert journal.paced(10_000, timedelta(seconds=10), 300) == 75_000
-    assert journal.paced(75_000, timedelta(seconds=150), 300) == 37_500
-    assert journal.paced(10_000, timedelta(seconds=500), 300) == 10_000
-    assert journal.paced(10_000, timedelta(0), 300) == 750_000
+    assert journal.paced(10_000, 10, 10, 300) == 160_000
+    assert journal.paced(160_000, 160, 10, 300) == 80_000  # half of a claim that took 150 s
+    assert journal.paced(10_000, 500, 10, 300) == 10_000
+    assert journal.paced(10_000, 60, 60, 300) == 50_000  # 300 s at most
+    assert journal.paced(10_000, 0, 0, 300) == 160_000
+
+
+def test_slow_looks_at_open_events_do_not_keep_rounds_small():
+    size, rounds = journal.CLAIM, 1
+    while size < 50_000_000:  # a look takes more than the lease, whatever the claim
+        size, rounds = journal.paced(size, 400, 400, 300), rounds + 1
+    assert rounds <= 14
 
 
 def test_large_claims_are_exact_and_do_not_sort_all(spark):
