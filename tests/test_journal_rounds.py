@@ -63,3 +63,21 @@ def test_large_claims_are_exact_and_do_not_sort_all(spark):
         assert got.select("sequence").exceptAll(want.select("sequence")).isEmpty() and got.count() == want.count() == count
     everything = journal.claim(rows, 1 << 30)
     assert everything.count() == 133_334 and "TakeOrdered" not in everything._jdf.queryExecution().toString()
+
+
+def test_retries_of_the_query_were_made(spark, monkeypatch):
+    from collections import Counter
+
+    from foliant.streaming import changes
+
+    tried, work = Counter(), changes._materialize
+
+    def counted(events):
+        tried.update(r["sequence"] for r in events.select("sequence").collect())
+        return work(events)
+
+    monkeypatch.setattr(changes, "_materialize", counted)
+    ended = {r["status"]: (r["n"], r["retries"]) for r in changes.journal_replay(spark, "/root/testdata/sf0.001").collect()}
+    failed = [s for s, n in tried.items() if n == 3]
+    assert len(failed) == ended["failed"][0] > 0 and ended["failed"][1] == 2 * len(failed)
+    assert set(tried.values()) == {1, 3} and all(s % 4 == 0 for s in failed)
